@@ -1,10 +1,11 @@
 """All oracle SQL, keyed like the query registry."""
 
-from oracle import voice_sql
+from oracle import blocks_sql, voice_sql
 from oracle.views import with_views
 
 _BODIES: dict[str, str] = {}
 _BODIES.update(voice_sql.QUERIES)
+_BODIES.update(blocks_sql.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:

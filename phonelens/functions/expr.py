@@ -53,7 +53,7 @@ def stable(df: DataFrame, digits: int = 10) -> DataFrame:
 
 def zero_sum(x: Column | str) -> Column:
     """G-sum: sum where a group of only NULLs gives 0, as pandas does."""
-    return F.coalesce(F.sum(_c(x)), F.lit(0).cast("double"))
+    return F.coalesce(F.sum(_c(x)), F.lit(0))
 
 
 def nan_text(c: Column | str) -> Column:

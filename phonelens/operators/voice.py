@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from phonelens.functions.expr import date_of, day_of, hour_of, safe_ratio, zero_sum
 from phonelens.functions.grain import ROW, fan_out_aggregate, grain_value, is_grain
 from phonelens.operators._common import (
-    CONTACT, KEY, grain_mode, n_values, over_grain, row_val, when_any)
+    CONTACT, KEY, grain_median, grain_mode, n_values, over_grain, row_val, when_any)
 
 
 def _voice(log: DataFrame) -> DataFrame:
@@ -38,15 +38,14 @@ def voice_features_a(log: DataFrame) -> DataFrame:
     grains = {
         "contact": F.col(CONTACT), "hour": F.col("_hour"), "day": F.col("_day"),
         "city": F.col("city_name"), "county": F.col("county_name"), "calltype": F.col("calltype_id"),
-        "imei1": F.when(_t1(), F.col("imei_m")), "city1": F.when(_t1(), F.col("city_name")),
+        "dur": F.col("call_dur"), "imei1": F.when(_t1(), F.col("imei_m")), "city1": F.when(_t1(), F.col("city_name")),
         "county1": F.when(_t1(), F.col("county_name")),
     }
-    row = is_grain(ROW)
     level1 = [
         F.count("call_dur").alias("n_dur"), zero_sum("call_dur").alias("sum_dur"),
         F.count(CONTACT).alias("n_contact"), F.count_if(_t1()).alias("n1"),
         F.count(F.when(_t1(), F.col("imei_m"))).alias("n1_imei"),
-        F.avg("call_dur").alias("dur_mean"), F.median(F.when(row, F.col("call_dur"))).alias("dur_median"),
+        F.avg("call_dur").alias("dur_mean"),
         F.max("call_dur").alias("dur_max"), F.min("call_dur").alias("dur_min"),
     ]
     level2 = [
@@ -59,7 +58,7 @@ def voice_features_a(log: DataFrame) -> DataFrame:
         over_grain(F.avg, "contact", "sum_dur").alias("phone2oppo_sum_mean"),
         over_grain(F.median, "contact", "sum_dur").alias("phone2oppo_sum_median"),
         over_grain(F.max, "contact", "sum_dur").alias("phone2oppo_sum_max"),
-        row_val("dur_mean").alias("call_dur_mean"), row_val("dur_median").alias("call_dur_median"),
+        row_val("dur_mean").alias("call_dur_mean"), grain_median("dur").alias("call_dur_median"),
         row_val("dur_max").alias("call_dur_max"), row_val("dur_min").alias("call_dur_min"),
         n_values("city").alias("city_name_nunique"), n_values("county").alias("county_name_nunique"),
         n_values("calltype").alias("calltype_id_unique"),

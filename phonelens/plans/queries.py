@@ -13,6 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from phonelens.functions.expr import stable
+from pyspark.sql import functions as F
+
+from phonelens.operators import app as A
+from phonelens.operators import sms as SM
+from phonelens.operators import stats as ST
+from phonelens.operators import user as U
 from phonelens.operators import voice as V
 from phonelens.sources import views
 
@@ -83,3 +89,53 @@ def _q_dmd(spark, d):
 @register("daily_in_out_ratio")
 def _q_dior(spark, d):
     return V.daily_in_out_ratio(_voice(spark, d))
+
+
+# ---- step 2: app, sms and user blocks ---------------------------------------
+@register("app_features")
+def _q_af(spark, d):
+    """F1 over the whole app log."""
+    return A.app_features(views.app(spark, d))
+
+
+@register("app_months")
+def _q_am(spark, d):
+    return A.app_months(views.app(spark, d))
+
+
+@register("monthly_flow_change")
+def _q_mfc(spark, d):
+    return A.monthly_flow_change(views.app(spark, d))
+
+
+@register("sms_features_a")
+def _q_sfa(spark, d):
+    return SM.sms_features_a(views.sms(spark, d))
+
+
+@register("sms_features_b")
+def _q_sfb(spark, d):
+    return SM.sms_features_b(views.sms(spark, d))
+
+
+@register("user_arpu_mean")
+def _q_uam(spark, d):
+    return U.user_arpu_mean(views.users(spark, d), views.ARPU_COLS)
+
+
+# ---- step 3: generic two-level aggregates and modes -------------------------
+@register("contact_pair_stats")
+def _q_cps(spark, d):
+    return ST.value_counts(_voice(spark, d), ["phone_no_m", "opposite_no_m"], "call_dur")
+
+
+@register("hour_mode")
+def _q_hm(spark, d):
+    """Favourite SMS hour per phone."""
+    return ST.value_mode(views.sms(spark, d), "phone_no_m", F.hour("request_datetime"), "hour")
+
+
+@register("day_mode")
+def _q_dm(spark, d):
+    """Favourite day of month of voice calls per phone."""
+    return ST.value_mode(_voice(spark, d), "phone_no_m", F.dayofmonth("start_datetime"), "voc_day")
