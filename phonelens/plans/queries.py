@@ -16,6 +16,9 @@ from phonelens.functions.expr import stable
 from pyspark.sql import functions as F
 
 from phonelens.operators import app as A
+from phonelens.operators import coverage as C
+from phonelens.operators import device as D
+from phonelens.operators import graph as G
 from phonelens.operators import sms as SM
 from phonelens.operators import stats as ST
 from phonelens.operators import user as U
@@ -139,3 +142,107 @@ def _q_hm(spark, d):
 def _q_dm(spark, d):
     """Favourite day of month of voice calls per phone."""
     return ST.value_mode(_voice(spark, d), "phone_no_m", F.dayofmonth("start_datetime"), "voc_day")
+
+
+def _labels(spark, d):
+    """Labelled (training) users: the class split of the source's logs."""
+    return views.train_users(spark, d)
+
+
+# ---- step 4: handsets ------------------------------------------------------
+@register("handset_day_max")
+def _q_hdm(spark, d):
+    return D.handset_day_max(_voice(spark, d))
+
+
+@register("handset_county_max")
+def _q_hcm(spark, d):
+    return D.handset_county_max(_voice(spark, d))
+
+
+@register("shared_handset_score")
+def _q_shs(spark, d):
+    return D.shared_handset_score(_voice(spark, d))
+
+
+@register("phones_per_handset")
+def _q_pph(spark, d):
+    return D.phones_per_handset(_voice(spark, d), more_than=1)
+
+
+@register("handsets_per_phone_by_class")
+def _q_hppc(spark, d):
+    return D.handsets_per_phone_by_class(_voice(spark, d), _labels(spark, d), more_than=40)
+
+
+# ---- step 5: contact graph -------------------------------------------------
+@register("contact_edges")
+def _q_ce(spark, d):
+    """G1 for both channels."""
+    return G.contact_edges(_voice(spark, d), "call").unionByName(G.contact_edges(views.sms(spark, d), "sms"))
+
+
+@register("no_outgoing")
+def _q_no(spark, d):
+    return G.no_outgoing(_voice(spark, d))
+
+
+@register("callback_count")
+def _q_cc(spark, d):
+    return G.callback_count(_voice(spark, d))
+
+
+@register("reciprocated_rows")
+def _q_rr(spark, d):
+    return G.reciprocated_rows(_voice(spark, d))
+
+
+@register("repeat_ratio")
+def _q_rep(spark, d):
+    return G.repeat_ratio(_voice(spark, d))
+
+
+@register("callback_with_fallback")
+def _q_cwf(spark, d):
+    return G.callback_with_fallback(_voice(spark, d))
+
+
+@register("callback_share")
+def _q_cs(spark, d):
+    return G.callback_share(G.callback_count(_voice(spark, d)), _labels(spark, d))
+
+
+# ---- step 6: coverage and segments -----------------------------------------
+@register("log_coverage")
+def _q_lc(spark, d):
+    logs = {"voice": _voice(spark, d), "sms": views.sms(spark, d), "app": views.app(spark, d)}
+    return C.log_coverage(_labels(spark, d), logs)
+
+
+@register("test_coverage")
+def _q_tc(spark, d):
+    return C.test_coverage(views.test_users(spark, d), _voice(spark, d))
+
+
+@register("low_usage_segment")
+def _q_lus(spark, d):
+    return C.low_usage_segment(_labels(spark, d), views.app(spark, d), max_months=2)
+
+
+def _segment(spark, d):
+    return C.low_usage_phones(_labels(spark, d), views.app(spark, d), max_months=2)
+
+
+@register("segment_voice_contacts")
+def _q_svc(spark, d):
+    return C.segment_contacts(_segment(spark, d), _voice(spark, d), _labels(spark, d), more_than=40)
+
+
+@register("segment_sms_contacts")
+def _q_ssc(spark, d):
+    return C.segment_contacts(_segment(spark, d), views.sms(spark, d), _labels(spark, d), more_than=40)
+
+
+@register("segment_callback")
+def _q_scb(spark, d):
+    return C.segment_callback(_segment(spark, d), _voice(spark, d))
