@@ -246,3 +246,131 @@ def _q_ssc(spark, d):
 @register("segment_callback")
 def _q_scb(spark, d):
     return C.segment_callback(_segment(spark, d), _voice(spark, d))
+
+
+# ---- step 7: data sets ---------------------------------------------------------
+def _users_split(spark, d):
+    from phonelens.plans.dataset import with_test_unlabelled
+    return with_test_unlabelled(views.users(spark, d))
+
+
+@register("dataset_left")
+def _q_dl(spark, d):
+    """F9 + baseline assembly over all users of both splits."""
+    from phonelens.plans.dataset import baseline_dataset
+    return baseline_dataset(_users_split(spark, d), _voice(spark, d), views.sms(spark, d),
+                            views.app(spark, d), views.ARPU_COLS)
+
+
+def _outer(spark, d):
+    from phonelens.plans.dataset import outer_dataset
+    return outer_dataset(_users_split(spark, d), _voice(spark, d), views.sms(spark, d),
+                         views.app(spark, d), views.ARPU_COLS)
+
+
+@register("dataset_outer")
+def _q_do(spark, d):
+    return _outer(spark, d)
+
+
+@register("align_columns")
+def _q_ac(spark, d):
+    """Test rows of the outer data set in the training rows' columns."""
+    from phonelens.plans.dataset import align_columns
+    ds = _outer(spark, d)
+    train = ds.filter(F.col("split") == "train")
+    test = ds.filter(F.col("split") == "test").drop("label")
+    return align_columns(train, test)
+
+
+@register("fill_missing")
+def _q_fm(spark, d):
+    from phonelens.plans.dataset import fill_missing
+    return fill_missing(_outer(spark, d))
+
+
+# ---- step 9: learning operators on plain columns ---------------------------------
+def _plain_scores(spark, d):
+    """Labelled users with a plain score: their mean call duration (F7),
+    min-max scaled over all of them (M7).  Stands in for model output."""
+    from phonelens.operators import learn as L
+    f = V.voice_features_b(_voice(spark, d)).select("phone_no_m", F.col("call_dur_mean").alias("prob"))
+    j = _labels(spark, d).select("phone_no_m", "label").join(f, "phone_no_m", "left")
+    return L.minmax_scale(j, "prob")
+
+
+@register("category_codes")
+def _q_ccodes(spark, d):
+    from phonelens.operators import learn as L
+    u = views.users(spark, d).select("phone_no_m", "city_name", "county_name")
+    return L.category_codes(u, ["city_name", "county_name"])
+
+
+@register("stratified_folds")
+def _q_sf(spark, d):
+    from phonelens.operators import learn as L
+    return L.stratified_folds(_labels(spark, d).select("phone_no_m", "label"), k=5, seed=1024)
+
+
+@register("holdout_split")
+def _q_hs(spark, d):
+    from phonelens.operators import learn as L
+    return L.holdout_split(_labels(spark, d).select("phone_no_m", "label"), 0.3, seed=2020)
+
+
+@register("minmax_scale")
+def _q_mms(spark, d):
+    """Mean call duration scaled within each of 5 stratified folds."""
+    from phonelens.operators import learn as L
+    f = V.voice_features_b(_voice(spark, d)).select("phone_no_m", "call_dur_mean")
+    folds = L.stratified_folds(_labels(spark, d).select("phone_no_m", "label"), k=5, seed=1024)
+    return L.minmax_scale(folds.join(f, "phone_no_m", "left"), "call_dur_mean", by=["fold"], out="score")
+
+
+@register("fold_mean")
+def _q_fmean(spark, d):
+    """Per test phone, the mean over 5 folds of its mean call duration
+    scaled with each fold's training extremes (rows outside that fold)."""
+    from phonelens.operators import learn as L
+    f = V.voice_features_b(_voice(spark, d)).select("phone_no_m", "call_dur_mean")
+    folds = L.stratified_folds(_labels(spark, d).select("phone_no_m", "label"), k=5, seed=1024)
+    tr = folds.join(f, "phone_no_m")
+    per_fold = []
+    for k in range(5):
+        lo_hi = tr.filter(F.col("fold") != k).agg(F.min("call_dur_mean").alias("lo"),
+                                                   F.max("call_dur_mean").alias("hi")).first()
+        span = lo_hi["hi"] - lo_hi["lo"]
+        test = views.test_users(spark, d).select("phone_no_m").join(f, "phone_no_m")
+        per_fold.append(test.select("phone_no_m", F.lit(k).alias("fold"),
+                                    (F.lit(0.0) if span == 0 else
+                                     (F.col("call_dur_mean") - F.lit(lo_hi["lo"])) / F.lit(span)).alias("prob")))
+    allf = per_fold[0]
+    for p in per_fold[1:]:
+        allf = allf.unionByName(p)
+    return L.fold_mean(allf, "prob")
+
+
+@register("percentile_cut")
+def _q_pc(spark, d):
+    from phonelens.operators import learn as L
+    return L.percentile_cut(_plain_scores(spark, d), 89.0, "prob")
+
+
+@register("f1_search")
+def _q_f1s(spark, d):
+    from phonelens.operators import learn as L
+    return L.f1_search(_plain_scores(spark, d), "prob", "label")
+
+
+@register("f1_score")
+def _q_f1(spark, d):
+    from phonelens.operators import learn as L
+    s = _plain_scores(spark, d)
+    dec = L.percentile_cut(s, 89.0, "prob").select("phone_no_m", F.col("label").alias("pred"))
+    return L.f1_score(dec.join(s.select("phone_no_m", "label"), "phone_no_m"), "pred", "label")
+
+
+@register("auc_rank")
+def _q_auc(spark, d):
+    from phonelens.operators import learn as L
+    return L.auc_rank(_plain_scores(spark, d), "prob", "label")
