@@ -1,13 +1,14 @@
 """One-scan, two-level aggregation per key.
 
-Per-phone features mix plain aggregates (count, mean, median), distinct
-counts under conditions, modes and aggregates of aggregates (calls per
+Per-phone features mix plain aggregates (count, mean), distinct counts
+under conditions, modes, medians and aggregates of aggregates (calls per
 contact, calls per day).  Written as separate ``groupBy``s and joins each
-would re-read the log.  Here every row is emitted once per *grain*
-(``row``, ``contact``, ``hour`` ...), aggregated by (key, grain, value) with
-map-side combine, and then folded into one row per key.  A hot key is
-spread by its values in the first shuffle and arrives pre-aggregated in the
-second; nothing ever holds a key's rows in one place.
+would re-read the log.  Here one ``GROUPING SETS`` aggregation (Spark's
+``Expand``, whole-stage code-generated) groups every row by (key) and by
+(key, value) for each *grain* (contact, hour, handset ...), with map-side
+combine, and a second aggregation folds those groups into one row per key.
+A hot key is spread by its values in the first shuffle and reaches the
+second pre-aggregated; no key's rows are ever held in one place.
 """
 
 from __future__ import annotations
@@ -19,14 +20,18 @@ GRAIN = "_grain"
 ROW = "row"
 
 
-def is_grain(name: str) -> Column:
-    return F.col(GRAIN) == F.lit(name)
-
-
 def grain_value(name: str) -> str:
     return f"_v_{name}"
 
 
+def is_grain(name: str) -> Column:
+    """Level-2 predicate: the level-1 row is a group of grain ``name``
+    (for a value grain, only groups of a non-NULL value)."""
+    if name == ROW:
+        return F.col(GRAIN) == F.lit(ROW)
+    return (F.col(GRAIN) == F.lit(name)) & F.col(grain_value(name)).isNotNull()
+
+
 def fan_out_aggregate(
     df: DataFrame,
     key: str,
@@ -36,27 +41,20 @@ def fan_out_aggregate(
 ) -> DataFrame:
     """Aggregate ``df`` per ``key`` through grains.
 
-    grains: name -> value column; rows whose value is NULL leave that grain
-        (so a conditional grain is ``F.when(cond, value)``).  The grain
-        ``row`` (one group per key) always exists.
-    level1: aggregates per (key, grain, value) over the raw rows.
-    level2: aggregates per key over the level-1 rows; use ``is_grain`` to
-        select a grain and ``grain_value`` for its value column.
+    grains: name -> value column; NULL values are ignored by the grain, so
+        a conditional grain is ``F.when(cond, value)``.  The grain ``row``
+        (one group per key) always exists.
+    level1: aggregates per group over the raw rows (plain columns only).
+    level2: aggregates per key over the level-1 groups; select a grain with
+        ``is_grain`` and read its value from ``grain_value(name)``.
     """
     names = list(grains)
-    structs = [F.struct(F.lit(ROW).alias(GRAIN), F.lit(True).alias("_ok"),
-                        *[F.lit(None).cast(df.select(grains[n]).schema[0].dataType).alias(grain_value(n))
-                          for n in names])]
-    for n in names:
-        fields = []
-        for m in names:
-            if m == n:
-                fields.append(grains[m].alias(grain_value(m)))
-            else:
-                fields.append(F.lit(None).cast(df.select(grains[m]).schema[0].dataType).alias(grain_value(m)))
-        structs.append(F.struct(F.lit(n).alias(GRAIN), grains[n].isNotNull().alias("_ok"), *fields))
-    fanned = (df.filter(F.col(key).isNotNull())
-              .select("*", F.inline(F.filter(F.array(*structs), lambda s: s["_ok"]))))
-    group_cols = [key, GRAIN] + [grain_value(n) for n in names]
-    first = fanned.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"), *level1)
+    vcols = [grain_value(n) for n in names]
+    base = df.filter(F.col(key).isNotNull()).select(
+        "*", *[grains[n].alias(v) for n, v in zip(names, vcols)])
+    sets = [[key]] + [[key, v] for v in vcols]
+    flags = [F.grouping(v).alias(f"_gg{i}") for i, v in enumerate(vcols)]
+    first = base.groupingSets(sets, key, *vcols).agg(F.count(F.lit(1)).alias("_n"), *level1, *flags)
+    grain = F.coalesce(*[F.when(F.col(f"_gg{i}") == 0, F.lit(n)) for i, n in enumerate(names)], F.lit(ROW))
+    first = first.withColumn(GRAIN, grain)
     return first.groupBy(key).agg(*level2)

@@ -19,6 +19,12 @@ def n_values(grain: str) -> Column:
     return F.count_if(is_grain(grain))
 
 
+def n_values_if(grain: str, cond: Column) -> Column:
+    """Distinct values of a grain whose level-1 group meets ``cond`` (e.g.
+    contacts the phone called: the contact group has a caller row)."""
+    return F.count_if(is_grain(grain) & cond)
+
+
 def over_grain(agg, grain: str, col: str) -> Column:
     """An aggregate of a level-1 column over the groups of one grain."""
     return agg(F.when(is_grain(grain), F.col(col)))

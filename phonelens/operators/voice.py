@@ -3,6 +3,10 @@
 Input: a voice log with ``phone_no_m, opposite_no_m, calltype_id
 (1 = caller, 2 = called), start_datetime, call_dur, city_name, county_name,
 imei_m``.  Output: one row per non-NULL phone.
+
+Conditional distinct counts ("distinct contacts as caller") need no grain
+of their own: the (phone, contact) group counts its caller rows, and a
+contact was called when that count is positive.
 """
 
 from __future__ import annotations
@@ -11,9 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phonelens.functions.expr import date_of, day_of, hour_of, safe_ratio, zero_sum
-from phonelens.functions.grain import ROW, fan_out_aggregate, grain_value, is_grain
+from phonelens.functions.grain import fan_out_aggregate, is_grain
 from phonelens.operators._common import (
-    CONTACT, KEY, grain_median, grain_mode, n_values, over_grain, row_val, when_any)
+    CONTACT, KEY, grain_median, grain_mode, n_values, n_values_if, over_grain, row_val, when_any)
+
+
+def _t1():
+    return F.col("calltype_id") == 1
+
+
+def _t2():
+    return F.col("calltype_id") == 2
 
 
 def _voice(log: DataFrame) -> DataFrame:
@@ -23,12 +35,9 @@ def _voice(log: DataFrame) -> DataFrame:
         day_of("start_datetime").alias("_day"))
 
 
-def _t1():
-    return F.col("calltype_id") == 1
-
-
-def _t2():
-    return F.col("calltype_id") == 2
+def _direction_counts():
+    """Level-1 counts shared by every grain: rows as caller / called."""
+    return [F.count_if(_t1()).alias("n1"), F.count_if(_t2()).alias("n2")]
 
 
 def voice_features_a(log: DataFrame) -> DataFrame:
@@ -38,20 +47,20 @@ def voice_features_a(log: DataFrame) -> DataFrame:
     grains = {
         "contact": F.col(CONTACT), "hour": F.col("_hour"), "day": F.col("_day"),
         "city": F.col("city_name"), "county": F.col("county_name"), "calltype": F.col("calltype_id"),
-        "dur": F.col("call_dur"), "imei1": F.when(_t1(), F.col("imei_m")), "city1": F.when(_t1(), F.col("city_name")),
-        "county1": F.when(_t1(), F.col("county_name")),
+        "dur": F.col("call_dur"), "imei": F.col("imei_m"),
     }
     level1 = [
+        *_direction_counts(),
         F.count("call_dur").alias("n_dur"), zero_sum("call_dur").alias("sum_dur"),
-        F.count(CONTACT).alias("n_contact"), F.count_if(_t1()).alias("n1"),
-        F.count(F.when(_t1(), F.col("imei_m"))).alias("n1_imei"),
-        F.avg("call_dur").alias("dur_mean"),
-        F.max("call_dur").alias("dur_max"), F.min("call_dur").alias("dur_min"),
+        F.count(CONTACT).alias("n_contact"), F.count(F.when(_t1(), F.col("imei_m"))).alias("n1_imei"),
+        F.avg("call_dur").alias("dur_mean"), F.max("call_dur").alias("dur_max"), F.min("call_dur").alias("dur_min"),
     ]
+    caller = F.col("n1") > 0
     level2 = [
         row_val("n_contact").alias("opposite_count"), n_values("contact").alias("opposite_unique"),
         row_val("n1").alias("_n1"), row_val("n1_imei").alias("_n1_imei"),
-        n_values("imei1").alias("_imeis"), n_values("city1").alias("_city1"), n_values("county1").alias("_county1"),
+        n_values_if("imei", caller).alias("_imeis"), n_values_if("city", caller).alias("_city1"),
+        n_values_if("county", caller).alias("_county1"),
         over_grain(F.avg, "contact", "n_dur").alias("phone2opposite_mean"),
         over_grain(F.median, "contact", "n_dur").alias("phone2opposite_median"),
         over_grain(F.max, "contact", "n_dur").alias("phone2opposite_max"),
@@ -86,16 +95,16 @@ def voice_features_a(log: DataFrame) -> DataFrame:
 
 def _f7_level1():
     return [
+        *_direction_counts(),
         F.count("start_datetime").alias("n_ts"), F.avg("call_dur").alias("dur_mean"),
-        zero_sum("call_dur").alias("dur_sum"), F.stddev_samp("call_dur").alias("dur_std"),
+        zero_sum("call_dur").alias("dur_sum"),
         F.count(CONTACT).alias("n_contact"),
         F.count(F.when(_t1(), F.col(CONTACT))).alias("n1_contact"),
         F.count(F.when(_t2(), F.col(CONTACT))).alias("n2_contact"),
-        F.count_if(_t1()).alias("n1"), F.count_if(_t2()).alias("n2"),
         F.count_if(_t1() & (F.col("call_dur") < 5)).alias("n1_short"),
+        F.count("_date").alias("n_dated"),
         F.count(F.when(_t1(), F.col("_date"))).alias("n1_dated"),
         F.count(F.when(_t2(), F.col("_date"))).alias("n2_dated"),
-        F.count("_date").alias("n_dated"),
     ]
 
 
@@ -104,21 +113,18 @@ def voice_features_b(log: DataFrame) -> DataFrame:
     mean duration, places, handsets, caller rows per active caller day,
     share of short caller calls, total seconds."""
     v = _voice(log)
-    grains = {
-        "contact": F.col(CONTACT), "contact1": F.when(_t1(), F.col(CONTACT)),
-        "contact2": F.when(_t2(), F.col(CONTACT)), "date": F.col("_date"),
-        "date1": F.when(_t1(), F.col("_date")), "city": F.col("city_name"),
-        "county": F.col("county_name"), "imei": F.col("imei_m"),
-    }
+    grains = {"contact": F.col(CONTACT), "date": F.col("_date"), "city": F.col("city_name"),
+              "county": F.col("county_name"), "imei": F.col("imei_m")}
     level2 = [
         n_values("contact").alias("oppsite_no_m_voc_nunique"),
         row_val("n1").alias("_n1"), row_val("n2").alias("_n2"),
-        n_values("contact1").alias("_diff1"), n_values("contact2").alias("_diff2"),
+        n_values_if("contact", F.col("n1") > 0).alias("_diff1"),
+        n_values_if("contact", F.col("n2") > 0).alias("_diff2"),
         row_val("n_ts").alias("start_datetime_count"), n_values("date").alias("date_unique"),
         row_val("dur_mean").alias("call_dur_mean"),
         n_values("city").alias("city_name_nunique"), n_values("county").alias("county_name_nunique"),
         n_values("imei").alias("imei_m_nunique"),
-        row_val("n1_dated").alias("_n1_dated"), n_values("date1").alias("_dates1"),
+        row_val("n1_dated").alias("_n1_dated"), n_values_if("date", F.col("n1") > 0).alias("_dates1"),
         row_val("n1_short").alias("_n1_short"), row_val("dur_sum").alias("dure_sum"),
     ]
     agg = fan_out_aggregate(v, KEY, grains, _f7_level1(), level2)
@@ -149,11 +155,10 @@ def voice_direction_counts(log: DataFrame) -> DataFrame:
     """Dead F7 measures: rows in all / as caller / as called (counted over
     contacts) and active dates as caller / as called."""
     v = _voice(log)
-    grains = {"date1": F.when(_t1(), F.col("_date")), "date2": F.when(_t2(), F.col("_date"))}
     level2 = [row_val("n_contact").alias("call_sum"), row_val("n1").alias("_n1"), row_val("n2").alias("_n2"),
               row_val("n1_contact").alias("_s1"), row_val("n2_contact").alias("_s2"),
-              n_values("date1").alias("_d1"), n_values("date2").alias("_d2")]
-    agg = fan_out_aggregate(v, KEY, grains, _f7_level1(), level2)
+              n_values_if("date", F.col("n1") > 0).alias("_d1"), n_values_if("date", F.col("n2") > 0).alias("_d2")]
+    agg = fan_out_aggregate(v, KEY, {"date": F.col("_date")}, _f7_level1(), level2)
     return agg.select(
         KEY, "call_sum",
         when_any("_n1", F.col("_s1")).alias("call_sum_01"), when_any("_n2", F.col("_s2")).alias("call_sum_02"),
@@ -165,12 +170,11 @@ def voice_busiest_day(log: DataFrame) -> DataFrame:
     """Dead F7 measures: most rows on one date, all / as caller / as called
     (NULL when the phone has no dated row of that kind)."""
     v = _voice(log)
-    grains = {"date": F.col("_date"), "date1": F.when(_t1(), F.col("_date")),
-              "date2": F.when(_t2(), F.col("_date"))}
+    d = is_grain("date")
     level2 = [over_grain(F.max, "date", "_n").alias("call_day_max"),
-              over_grain(F.max, "date1", "_n").alias("call_day_01_max"),
-              over_grain(F.max, "date2", "_n").alias("call_day_02_max")]
-    return fan_out_aggregate(v, KEY, grains, [], level2)
+              F.max(F.when(d & (F.col("n1") > 0), F.col("n1"))).alias("call_day_01_max"),
+              F.max(F.when(d & (F.col("n2") > 0), F.col("n2"))).alias("call_day_02_max")]
+    return fan_out_aggregate(v, KEY, {"date": F.col("_date")}, _direction_counts(), level2)
 
 
 def voice_duration_spread(log: DataFrame) -> DataFrame:
@@ -183,11 +187,10 @@ def calls_per_active_day(log: DataFrame) -> DataFrame:
     """Commented F7 measures: rows per active date, all / as caller / as
     called (``averge_call``, ``averge_call_01``, ``averge_call_02``)."""
     v = _voice(log)
-    grains = {"date": F.col("_date"), "date1": F.when(_t1(), F.col("_date")),
-              "date2": F.when(_t2(), F.col("_date"))}
     level2 = [row_val("n_dated").alias("_a"), row_val("n1_dated").alias("_b"), row_val("n2_dated").alias("_c"),
-              n_values("date").alias("_da"), n_values("date1").alias("_db"), n_values("date2").alias("_dc")]
-    agg = fan_out_aggregate(v, KEY, grains, _f7_level1(), level2)
+              n_values("date").alias("_da"), n_values_if("date", F.col("n1") > 0).alias("_db"),
+              n_values_if("date", F.col("n2") > 0).alias("_dc")]
+    agg = fan_out_aggregate(v, KEY, {"date": F.col("_date")}, _f7_level1(), level2)
     return agg.select(
         KEY,
         safe_ratio("_a", F.nullif(F.col("_da"), F.lit(0))).alias("averge_call"),

@@ -49,3 +49,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="phonelens-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def materialize(df):
+    """Cut lineage: write ``df`` to the session's checkpoint folder (a
+    shared folder on a cluster) and read it back, so a multi-pass operator
+    does not recompute its input, and lost executors cost a re-read, not a
+    re-run of the upstream plan."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
