@@ -1,6 +1,6 @@
 """All oracle SQL, keyed like the query registry."""
 
-from oracle import blocks_sql, graph_sql, learn_sql, voice_sql
+from oracle import blocks_sql, graph_sql, learn_sql, profile_sql, voice_sql
 from oracle.views import with_views
 
 _BODIES: dict[str, str] = {}
@@ -8,6 +8,7 @@ _BODIES.update(voice_sql.QUERIES)
 _BODIES.update(blocks_sql.QUERIES)
 _BODIES.update(graph_sql.QUERIES)
 _BODIES.update(learn_sql.QUERIES)
+_BODIES.update(profile_sql.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:

@@ -59,7 +59,8 @@ LEFT JOIN dc ON dc.phone_no_m = m.phone_no_m AND dc.rk = 1
 _DATED = """base AS (
   SELECT *, CAST(start_datetime AS DATE) AS d FROM voice WHERE phone_no_m IS NOT NULL)"""
 
-VOICE_FEATURES_B = f"""
+def _voice_features_b(S=S):
+    return f"""
 WITH {_DATED},
 m AS (
   SELECT phone_no_m,
@@ -90,6 +91,10 @@ SELECT phone_no_m, oppsite_no_m_voc_nunique,
 FROM m
 """
 
+
+VOICE_FEATURES_B = _voice_features_b()
+VOICE_FEATURES_B_RAW = _voice_features_b(lambda e, n: f"CAST(({e}) AS DOUBLE) AS {n}")
+
 SHORT_CALL_RATIO = f"""
 SELECT phone_no_m,
        CASE WHEN count(*) FILTER (WHERE call_dur < 5) > 0 THEN count(*) FILTER (WHERE call_dur < 5) END AS tmp1,

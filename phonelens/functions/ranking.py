@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phonelens.session import ensure_checkpoint_dir
+from phonelens.session import materialize
 
 # Offsets table rows = partitions x groups; broadcast it only below this.
 MAX_BROADCAST_OFFSETS = 200_000
@@ -25,8 +25,7 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], rank_col: str = "_
 
     ``by`` must be low-cardinality (classes, column names); group keys
     must not be NULL."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
+    df = materialize(df)   # the range sort reads its input twice (sample, then sort)
     srt = (df.orderBy(*[F.col(c) for c in by], *order)
            .withColumn("_pid", F.spark_partition_id())
            .withColumn("_mid", F.monotonically_increasing_id())

@@ -374,3 +374,28 @@ def _q_f1(spark, d):
 def _q_auc(spark, d):
     from phonelens.operators import learn as L
     return L.auc_rank(_plain_scores(spark, d), "prob", "label")
+
+
+# ---- step 8: profile and class distributions ---------------------------------
+C10_MEASURES = ["oppsite_no_m_voc_nunique", "call_diff_01", "call_diff_02", "start_datetime_count",
+                "date_unique", "call_dur_mean", "imei_m_nunique", "averge_call_01", "ratio", "dure_sum"]
+
+
+@register("column_profile")
+def _q_cp(spark, d):
+    """C9 over the F7 feature table."""
+    from phonelens.operators import profile as P
+    f = V.voice_features_b(_voice(spark, d))
+    return P.column_profile(f, P.numeric_columns(f, exclude=["phone_no_m"]))
+
+
+@register("class_quantiles")
+def _q_cq(spark, d):
+    from phonelens.operators import profile as P
+    return P.class_quantiles(V.voice_features_b(_voice(spark, d)), _labels(spark, d), C10_MEASURES)
+
+
+@register("class_histogram")
+def _q_ch(spark, d):
+    from phonelens.operators import profile as P
+    return P.class_histogram(V.voice_features_b(_voice(spark, d)), _labels(spark, d), C10_MEASURES, bins=20)
