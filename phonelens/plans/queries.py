@@ -399,3 +399,45 @@ def _q_cq(spark, d):
 def _q_ch(spark, d):
     from phonelens.operators import profile as P
     return P.class_histogram(V.voice_features_b(_voice(spark, d)), _labels(spark, d), C10_MEASURES, bins=20)
+
+
+# ---- step 10: training and scoring (rows-only checks) ---------------------------
+# Rounds are cut to 20 here so the registry runs in minutes; the library
+# defaults are the source's (1000 / 2000).
+REGISTRY_ROUNDS = 20
+
+
+def _flow_inputs(spark, d, outer: bool):
+    from phonelens.plans.model import split_train_test
+    ds = _outer(spark, d) if outer else _q_dl(spark, d)
+    return split_train_test(ds)
+
+
+@register("train_score_gbt")
+def _q_tsg(spark, d):
+    """First pipeline: 5 folds, boosted trees, F1 cut-off search, fold-mean
+    scaled scores, decision per test phone."""
+    from phonelens.plans.model import TreeParams, kfold_train_score
+    train, test, feats = _flow_inputs(spark, d, outer=False)
+    res = kfold_train_score(train, test, feats, k=5, seed=1024, params=TreeParams(max_iter=REGISTRY_ROUNDS))
+    return res.submission
+
+
+@register("submission")
+def _q_sub(spark, d):
+    """Second pipeline: 3 folds on the outer data set, mean score minus 0.3."""
+    from phonelens.plans.model import SECOND_PIPELINE, kfold_mean_offset
+    from dataclasses import replace
+    train, test, feats = _flow_inputs(spark, d, outer=True)
+    return kfold_mean_offset(train, test, feats, k=3, seed=2020,
+                             params=replace(SECOND_PIPELINE, max_iter=REGISTRY_ROUNDS)).submission
+
+
+@register("feature_importance")
+def _q_fi(spark, d):
+    """Mean importance per feature over the second pipeline's fold models."""
+    from phonelens.plans.model import SECOND_PIPELINE, kfold_mean_offset
+    from dataclasses import replace
+    train, test, feats = _flow_inputs(spark, d, outer=True)
+    return kfold_mean_offset(train, test, feats, k=3, seed=2020,
+                             params=replace(SECOND_PIPELINE, max_iter=REGISTRY_ROUNDS)).importances
