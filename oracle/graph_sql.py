@@ -148,7 +148,20 @@ SELECT seg.label, count(*) FILTER (WHERE coalesce(cc.call, 0) <> 0) AS with_out,
 FROM seg LEFT JOIN cc ON cc.phone_no_m = seg.phone_no_m GROUP BY 1
 """
 
+CALLBACK_TIMES_RATIO = f"""
+WITH {_CC}, {_RR},
+rows_ AS (SELECT phone_no_m, count(*) AS c FROM voice WHERE phone_no_m IS NOT NULL GROUP BY 1),
+t AS (
+  SELECT phone_no_m, recall, call FROM cc WHERE call > 0
+  UNION ALL
+  SELECT cc.phone_no_m, coalesce(rr.recall, 0), rows_.c
+  FROM cc JOIN rows_ ON rows_.phone_no_m = cc.phone_no_m LEFT JOIN rr ON rr.phone_no_m = cc.phone_no_m
+  WHERE cc.call = 0)
+SELECT phone_no_m, {S("call * (CAST(recall AS DOUBLE) / NULLIF(call, 0))", "kkk")} FROM t
+"""
+
 QUERIES = {
+    "callback_times_ratio": CALLBACK_TIMES_RATIO,
     "handset_day_max": HANDSET_DAY_MAX,
     "handset_county_max": HANDSET_COUNTY_MAX,
     "shared_handset_score": SHARED_HANDSET_SCORE,

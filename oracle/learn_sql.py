@@ -154,7 +154,14 @@ t AS (SELECT sum(CASE WHEN label = 1 THEN rk + (c - 1) / 2.0 ELSE 0 END) AS R,
 SELECT {S("(R - P * (P + 1) / 2.0) / NULLIF(P * N, 0)", "auc")} FROM t
 """
 
+USERS_VOICE_FEATURES_B = f"""
+WITH vb AS ({voice_sql.VOICE_FEATURES_B})
+SELECT u.phone_no_m, u.label, u.split, vb.* EXCLUDE (phone_no_m)
+FROM users u LEFT JOIN vb ON vb.phone_no_m = u.phone_no_m
+"""
+
 QUERIES = {
+    "users_voice_features_b": USERS_VOICE_FEATURES_B,
     "dataset_left": DATASET_LEFT,
     "dataset_outer": DATASET_OUTER,
     "align_columns": ALIGN_COLUMNS,

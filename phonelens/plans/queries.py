@@ -441,3 +441,17 @@ def _q_fi(spark, d):
     train, test, feats = _flow_inputs(spark, d, outer=True)
     return kfold_mean_offset(train, test, feats, k=3, seed=2020,
                              params=replace(SECOND_PIPELINE, max_iter=REGISTRY_ROUNDS)).importances
+
+
+# ---- flagship and remaining small operators --------------------------------------
+@register("users_voice_features_b")
+def _q_flag(spark, d):
+    """Flagship: every user left-joined to the F7 voice features."""
+    u = views.users(spark, d).select("phone_no_m", "label", "split")
+    return u.join(V.voice_features_b(_voice(spark, d)), "phone_no_m", "left")
+
+
+@register("callback_times_ratio")
+def _q_ctr(spark, d):
+    """Call x re_ratio over the call-back table with fallback."""
+    return G.callback_times_ratio(G.callback_with_fallback(_voice(spark, d)))
