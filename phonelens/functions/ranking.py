@@ -24,12 +24,11 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], rank_col: str = "_
     ``order`` (ties get distinct, arbitrary-but-fixed ranks).
 
     ``by`` must be low-cardinality (classes, column names); group keys
-    must not be NULL."""
-    df = materialize(df)   # the range sort reads its input twice (sample, then sort)
-    srt = (df.orderBy(*[F.col(c) for c in by], *order)
-           .withColumn("_pid", F.spark_partition_id())
-           .withColumn("_mid", F.monotonically_increasing_id())
-           .checkpoint(eager=True))
+    must not be NULL.  The range sort reads ``df`` twice (bounds sample,
+    then sort): materialize an expensive input first."""
+    srt = materialize(df.orderBy(*[F.col(c) for c in by], *order)
+                      .withColumn("_pid", F.spark_partition_id())
+                      .withColumn("_mid", F.monotonically_increasing_id()))
     counts = srt.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
     before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", *by, "_first",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phonelens.functions.ranking import exact_quantiles
+from phonelens.session import materialize
 
 PROFILE_QUANTILES = [0.25, 0.5, 0.75]
 CLASS_QUANTILES = [0.1, 0.25, 0.5, 0.75, 0.9]
@@ -34,7 +35,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     mean, sample std, min, quartiles, max, most frequent value (smallest on
     ties) and its count."""
     columns = columns or numeric_columns(df)
-    long = to_long(df, columns)
+    long = materialize(to_long(df, columns))      # read by three aggregations
     stats = long.groupBy("column").agg(
         F.count(F.lit(1)).alias("rows"), F.count("value").alias("count"),
         F.count_if(F.col("value").isNull()).alias("nulls"), F.count_distinct("value").alias("distinct"),
@@ -55,7 +56,7 @@ def class_quantiles(features: DataFrame, labels: DataFrame, measures: list[str],
     """Quantiles of each per-phone measure within each class:
     ``(label, measure, prob, q)``."""
     j = features.join(labels.select(key, "label"), key)
-    long = to_long(j, measures, ids=["label"], name="measure")
+    long = materialize(to_long(j, measures, ids=["label"], name="measure"))
     return exact_quantiles(long, "value", probs, by=["label", "measure"])
 
 
@@ -65,7 +66,7 @@ def class_histogram(features: DataFrame, labels: DataFrame, measures: list[str],
     range over both classes), counted per class: ``(label, measure, bin,
     lo, hi, n)``.  The maximum falls in the last bin."""
     j = features.join(labels.select(key, "label"), key)
-    long = to_long(j, measures, ids=["label"], name="measure").filter(F.col("value").isNotNull())
+    long = materialize(to_long(j, measures, ids=["label"], name="measure").filter(F.col("value").isNotNull()))
     rng = long.groupBy("measure").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     w = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
