@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from phonelens.operators import graph
 from phonelens.operators._common import CONTACT, KEY
+from phonelens.session import materialize
 
 
 def _phones(log: DataFrame) -> DataFrame:
@@ -64,14 +65,15 @@ def segment_contacts(segment: DataFrame, log: DataFrame, labels: DataFrame,
     """Per class, segment phones, those with more than
     ``more_than`` distinct contacts in ``log``, those with none, and all
     phones of the class-split log."""
-    contacts = (log.filter(F.col(KEY).isNotNull()).groupBy(KEY)
-                .agg(F.count_distinct(CONTACT).alias("_contacts")))
+    # one row per phone of the log: feeds both the segment and the class counts
+    contacts = materialize(log.filter(F.col(KEY).isNotNull()).groupBy(KEY)
+                           .agg(F.count_distinct(CONTACT).alias("_contacts")))
     seg = (segment.select(KEY, "label").join(contacts, KEY, "left")
            .select("label", F.coalesce(F.col("_contacts"), F.lit(0)).alias("contacts")))
     seg_stats = seg.groupBy("label").agg(F.count(F.lit(1)).alias("segment_phones"),
                                          F.count_if(F.col("contacts") > more_than).alias("over_bound"),
                                          F.count_if(F.col("contacts") == 0).alias("no_contact"))
-    class_log = (_phones(log).join(labels.select(KEY, "label"), KEY)
+    class_log = (contacts.select(KEY).join(labels.select(KEY, "label"), KEY)
                  .groupBy("label").agg(F.count(F.lit(1)).alias("log_phones")))
     return seg_stats.join(class_log, "label", "full")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from phonelens.functions.expr import date_of, safe_ratio
 from phonelens.operators._common import KEY
+from phonelens.session import materialize
 
 IMEI = "imei_m"
 
@@ -46,8 +47,8 @@ def shared_handset_score(log: DataFrame) -> DataFrame:
     one row per phone on the left and one row on the right, so the join
     never multiplies rows; AQE splits it if it is skewed.
     """
-    pairs = (log.filter(F.col(KEY).isNotNull()).groupBy(KEY, IMEI)
-             .agg(F.count(F.lit(1)).alias("_rows")))
+    pairs = materialize(log.filter(F.col(KEY).isNotNull()).groupBy(KEY, IMEI)
+                        .agg(F.count(F.lit(1)).alias("_rows")))   # read twice below
     per_handset = (pairs.filter(F.col(IMEI).isNotNull()).groupBy(IMEI)
                    .agg(F.count(F.lit(1)).alias("_phones")))
     j = pairs.join(per_handset, IMEI, "left")

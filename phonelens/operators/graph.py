@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from phonelens.functions.expr import safe_ratio
 from phonelens.operators._common import CONTACT, KEY
+from phonelens.session import materialize
 
 OUT, IN = "out", "in"
 
@@ -34,22 +35,36 @@ def contact_edges(log: DataFrame, channel: str = "call", reverse: bool = False)
             .withColumn("channel", F.lit(channel)))
 
 
-def _pair_flags(log: DataFrame) -> DataFrame:
-    """One row per (phone, contact) with whether the pair has out / in
-    rows; the NULL contact keeps phones whose rows all lack a contact."""
+def contact_pairs(log: DataFrame) -> DataFrame:
+    """One row per (phone, contact) of the log: rows ``n``, caller rows
+    ``n_out``, called rows ``n_in``.  The NULL contact keeps phones whose
+    rows all lack a contact.  Every call-back measure derives from this one
+    aggregation (one scan, one shuffle of pre-aggregated pairs)."""
     return (log.filter(F.col(KEY).isNotNull()).groupBy(KEY, CONTACT)
-            .agg((F.count_if(F.col("calltype_id") == 1) > 0).alias("_out"),
-                 (F.count_if(F.col("calltype_id") == 2) > 0).alias("_in")))
+            .agg(F.count(F.lit(1)).alias("n"),
+                 F.count_if(F.col("calltype_id") == 1).alias("n_out"),
+                 F.count_if(F.col("calltype_id") == 2).alias("n_in")))
+
+
+def _callbacks_per_phone(pairs: DataFrame) -> DataFrame:
+    has = F.col(CONTACT).isNotNull()
+    out = has & (F.col("n_out") > 0)
+    return pairs.groupBy(KEY).agg(F.count_if(out & (F.col("n_in") > 0)).alias("recall"),
+                                  F.count_if(out).alias("call"), F.sum("n").alias("rows"))
+
+
+def _reciprocated(pairs: DataFrame) -> DataFrame:
+    p = pairs.filter(F.col(CONTACT).isNotNull())
+    a = p.select(F.col(KEY).alias("_a"), F.col(CONTACT).alias("_b"))
+    b = p.select(F.col(KEY).alias("_b"), F.col(CONTACT).alias("_a"), "n")
+    return (a.join(b, ["_a", "_b"]).groupBy("_a").agg(F.sum("n").alias("recall"))
+            .withColumnRenamed("_a", KEY))
 
 
 def callback_count(log: DataFrame) -> DataFrame:
     """Per phone of the log, contacts it called that also called it
     (``recall``) and contacts it called (``call``); distinct contacts."""
-    flags = _pair_flags(log)
-    has = F.col(CONTACT).isNotNull()
-    return flags.groupBy(KEY).agg(
-        F.count_if(has & F.col("_out") & F.col("_in")).alias("recall"),
-        F.count_if(has & F.col("_out")).alias("call"))
+    return _callbacks_per_phone(contact_pairs(log)).select(KEY, "recall", "call")
 
 
 def no_outgoing(log: DataFrame) -> DataFrame:
@@ -64,13 +79,9 @@ def reciprocated_rows(log: DataFrame) -> DataFrame:
     contact has the phone as contact; phones with 0 are absent.
 
     The per-phone, per-contact scan of the source is one self-join of the
-    pair counts on swapped keys; each side has one row per pair."""
-    pairs = (log.filter(F.col(KEY).isNotNull() & F.col(CONTACT).isNotNull())
-             .groupBy(KEY, CONTACT).agg(F.count(F.lit(1)).alias("_n")))
-    a = pairs.select(F.col(KEY).alias("_a"), F.col(CONTACT).alias("_b"))
-    b = pairs.select(F.col(KEY).alias("_b"), F.col(CONTACT).alias("_a"), "_n")
-    return (a.join(b, ["_a", "_b"]).groupBy("_a").agg(F.sum("_n").alias("recall"))
-            .withColumnRenamed("_a", KEY))
+    pair counts on swapped keys; each side has one row per pair, so a hot
+    contact never multiplies rows."""
+    return _reciprocated(contact_pairs(log))
 
 
 def repeat_ratio(log: DataFrame) -> DataFrame:
@@ -85,16 +96,18 @@ def callback_with_fallback(log: DataFrame) -> DataFrame:
     (distinct contacts); the others fall back to row counts over the log:
     ``recall`` = reciprocated rows (G5, 0 if none), ``call`` = the phone's
     rows.  ``re_ratio`` = recall / call, NULL when call is 0.  ``measure``
-    says which of the two definitions a row uses."""
-    g2 = callback_count(log)
-    with_out = g2.filter(F.col("call") > 0).withColumn("measure", F.lit("distinct_contacts"))
-    fallback_phones = g2.filter(F.col("call") == 0).select(KEY)
-    rows = log.filter(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count(F.lit(1)).alias("call"))
-    fb = (fallback_phones.join(rows, KEY, "left")
-          .join(reciprocated_rows(log), KEY, "left")
-          .select(KEY, F.coalesce(F.col("recall"), F.lit(0)).alias("recall"), "call",
-                  F.lit("rows").alias("measure")))
-    out = with_out.unionByName(fb)
+    says which of the two definitions a row uses.  G2, the row counts and
+    G5 all come from the same pair aggregation."""
+    # three consumers prune the pairs differently, so Spark would re-read
+    # and re-shuffle the log for each; write the pairs once instead
+    pairs = materialize(contact_pairs(log))
+    per = _callbacks_per_phone(pairs).join(
+        _reciprocated(pairs).withColumnRenamed("recall", "_rr"), KEY, "left")
+    fallback = F.col("call") == 0
+    recall = F.when(fallback, F.coalesce(F.col("_rr"), F.lit(0))).otherwise(F.col("recall"))
+    call = F.when(fallback, F.col("rows")).otherwise(F.col("call"))
+    out = per.select(KEY, recall.alias("recall"), call.alias("call"),
+                     F.when(fallback, F.lit("rows")).otherwise(F.lit("distinct_contacts")).alias("measure"))
     return out.select(KEY, "recall", "call", safe_ratio("recall", "call").alias("re_ratio"), "measure")
 
 
