@@ -67,6 +67,16 @@ def mode_of(count: Column, value: Column) -> Column:
     return F.min(F.struct((-count).alias("neg_n"), value.alias("v")))
 
 
+def parse_datetime(text: Column | str, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """Text -> timestamp without zone; unparsable text gives NULL."""
+    return F.try_to_timestamp(_c(text), F.lit(fmt)).cast("timestamp_ntz")
+
+
+def month_of(ts: Column | str) -> Column:
+    """Month of the year."""
+    return F.month(_c(ts))
+
+
 def hour_of(ts: Column | str) -> Column:
     return F.hour(_c(ts))
 

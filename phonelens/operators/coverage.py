@@ -11,6 +11,12 @@ from phonelens.operators._common import CONTACT, KEY
 from phonelens.session import materialize
 
 
+def class_split(log: DataFrame, labels: DataFrame) -> DataFrame:
+    """The log's rows with their phone's class (the source read
+    per-class copies of each log)."""
+    return log.join(labels.select(KEY, "label"), KEY)
+
+
 def _phones(log: DataFrame) -> DataFrame:
     return log.filter(F.col(KEY).isNotNull()).select(KEY).distinct()
 

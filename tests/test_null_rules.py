@@ -88,3 +88,11 @@ def test_sms_type2_null_when_absent(spark):
     assert out["b"]["calltype_2"] == 1 and out["b"]["calltype_rate"] == 0.5
     b = by_key(SM.sms_features_b(df))
     assert b["b"]["calltype_id_sum"] == 1 and b["a"]["calltype_id_sum"] == 0
+
+
+def test_parse_datetime_and_month(spark):
+    from phonelens.functions.expr import month_of, parse_datetime
+    df = spark.createDataFrame([("2020-03-04 05:06:07",), ("junk",)], "t string")
+    got = df.select(parse_datetime("t").alias("ts")).select("ts", month_of("ts").alias("m")).collect()
+    assert got[0]["ts"].hour == 5 and got[0]["m"] == 3
+    assert got[1]["ts"] is None
