@@ -160,7 +160,25 @@ t AS (
 SELECT phone_no_m, {S("call * (CAST(recall AS DOUBLE) / NULLIF(call, 0))", "kkk")} FROM t
 """
 
+def _unpivot(sql: str, part: str, metrics: list[str]) -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT '{part}' AS part, label, '{m}' AS metric, CAST({m} AS BIGINT) AS value FROM ({sql}) x"
+        for m in metrics)
+
+
+SEGMENT_REPORT = "\nUNION ALL\n".join([
+    _unpivot(LOW_USAGE_SEGMENT.replace(f"WITH {_SEG}", f"WITH {_SEG}", 1), "app_months",
+             ["users", "app_phones", "low_usage"]),
+    _unpivot(_segment_contacts("voice"), "voice_contacts",
+             ["segment_phones", "over_bound", "no_contact", "log_phones"]),
+    _unpivot(_segment_contacts("sms"), "sms_contacts",
+             ["segment_phones", "over_bound", "no_contact", "log_phones"]),
+    _unpivot(SEGMENT_CALLBACK, "callback", ["with_out", "nonzero"]),
+    _unpivot(HANDSETS_PER_PHONE_BY_CLASS, "handsets", ["phones_over", "phones"]),
+])
+
 QUERIES = {
+    "segment_report": SEGMENT_REPORT,
     "callback_times_ratio": CALLBACK_TIMES_RATIO,
     "handset_day_max": HANDSET_DAY_MAX,
     "handset_county_max": HANDSET_COUNTY_MAX,

@@ -455,3 +455,10 @@ def _q_flag(spark, d):
 def _q_ctr(spark, d):
     """Call x re_ratio over the call-back table with fallback."""
     return G.callback_times_ratio(G.callback_with_fallback(_voice(spark, d)))
+
+
+@register("segment_report")
+def _q_sr(spark, d):
+    """The segment report (C4-C8) of the labelled users as one table."""
+    from phonelens.plans.report import segment_report
+    return segment_report(_labels(spark, d), views.app(spark, d), _voice(spark, d), views.sms(spark, d))
