@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phonelens.functions.joins import join_bounded
 from phonelens.session import materialize
 
 # Offsets table rows = partitions x groups; broadcast it only below this.
@@ -33,10 +34,7 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], rank_col: str = "_
     before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", *by, "_first",
                             F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-    n_offsets = offsets.count()
-    if n_offsets <= MAX_BROADCAST_OFFSETS:
-        offsets = F.broadcast(offsets)
-    out = srt.join(offsets, ["_pid", *by])
+    out = join_bounded(srt, offsets, ["_pid", *by], max_rows=MAX_BROADCAST_OFFSETS)
     return out.withColumn(rank_col, F.col("_off") + F.col("_mid") - F.col("_first")).drop(
         "_pid", "_mid", "_first", "_off")
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from phonelens.functions.joins import join_bounded
 from phonelens.functions.ranking import exact_quantiles
 from phonelens.session import materialize
 
@@ -71,7 +72,7 @@ def class_histogram(features: DataFrame, labels: DataFrame, measures: list[str],
     w = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("value") - F.col("_lo")) / w), F.lit(bins - 1))).cast("int")
-    binned = long.join(rng, "measure").select("label", "measure", b.alias("bin"), "_lo", "_hi")
+    binned = join_bounded(long, rng, "measure").select("label", "measure", b.alias("bin"), "_lo", "_hi")
     out = binned.groupBy("label", "measure", "bin", "_lo", "_hi").agg(F.count(F.lit(1)).alias("n"))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     return out.select("label", "measure", "bin", (F.col("_lo") + F.col("bin") * width).alias("lo"),
