@@ -332,9 +332,10 @@ def _q_fmean(spark, d):
     """Per test phone, the mean over 5 folds of its mean call duration
     scaled with each fold's training extremes (rows outside that fold)."""
     from phonelens.operators import learn as L
-    f = V.voice_features_b(_voice(spark, d)).select("phone_no_m", "call_dur_mean")
+    from phonelens.session import materialize
+    f = materialize(V.voice_features_b(_voice(spark, d)).select("phone_no_m", "call_dur_mean"))
     folds = L.stratified_folds(_labels(spark, d).select("phone_no_m", "label"), k=5, seed=1024)
-    tr = folds.join(f, "phone_no_m")
+    tr = materialize(folds.join(f, "phone_no_m"))
     per_fold = []
     for k in range(5):
         lo_hi = tr.filter(F.col("fold") != k).agg(F.min("call_dur_mean").alias("lo"),
