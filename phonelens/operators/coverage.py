@@ -3,6 +3,8 @@ returned as small DataFrames."""
 
 from __future__ import annotations
 
+from phonelens import constants as K
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,12 +54,12 @@ def months_per_phone(users: DataFrame, app_log: DataFrame) -> DataFrame:
                     F.col("_months").isNotNull().alias("in_app")))
 
 
-def low_usage_phones(users: DataFrame, app_log: DataFrame, max_months: int = 2) -> DataFrame:
+def low_usage_phones(users: DataFrame, app_log: DataFrame, max_months: int = K.LOW_USAGE_MONTHS) -> DataFrame:
     """Segment: labelled users with fewer than ``max_months`` app months."""
     return months_per_phone(users, app_log).filter(F.col("months") < max_months).select(KEY, "label")
 
 
-def low_usage_segment(users: DataFrame, app_log: DataFrame, max_months: int = 2) -> DataFrame:
+def low_usage_segment(users: DataFrame, app_log: DataFrame, max_months: int = K.LOW_USAGE_MONTHS) -> DataFrame:
     """C4: per class, users, users in the app log, and users with fewer
     than ``max_months`` months (0 included)."""
     m = months_per_phone(users, app_log)
@@ -67,7 +69,7 @@ def low_usage_segment(users: DataFrame, app_log: DataFrame, max_months: int = 2)
 
 
 def segment_contacts(segment: DataFrame, log: DataFrame, labels: DataFrame,
-                     more_than: int = 40) -> DataFrame:
+                     more_than: int = K.SOURCE_CONTACTS_OVER) -> DataFrame:
     """Per class, segment phones, those with more than
     ``more_than`` distinct contacts in ``log``, those with none, and all
     phones of the class-split log."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from phonelens import constants as K
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ def handset_county_max(log: DataFrame) -> DataFrame:
     return per.groupBy(KEY).agg(F.max("_n").alias("imei_county_mean"))
 
 
-def phones_per_handset(log: DataFrame, more_than: int = 1) -> DataFrame:
+def phones_per_handset(log: DataFrame, more_than: int = K.SHARED_HANDSET_PHONES_OVER) -> DataFrame:
     """H2: distinct phones per handset, handsets with more than
     ``more_than`` phones."""
     pairs = log.filter(F.col(KEY).isNotNull() & F.col(IMEI).isNotNull()).select(KEY, IMEI).distinct()
@@ -56,7 +58,8 @@ def shared_handset_score(log: DataFrame) -> DataFrame:
     return j.groupBy(KEY).agg(safe_ratio(F.sum(shared), F.sum("_rows")).alias("imei_phone"))
 
 
-def handsets_per_phone_by_class(log: DataFrame, labels: DataFrame, more_than: int = 40) -> DataFrame:
+def handsets_per_phone_by_class(log: DataFrame, labels: DataFrame,
+                                more_than: int = K.SOURCE_HANDSETS_OVER) -> DataFrame:
     """Per class, phones of the class-split voice log with more
     than ``more_than`` distinct handsets, and all phones of that log."""
     per_phone = (log.filter(F.col(KEY).isNotNull()).groupBy(KEY)

@@ -11,6 +11,8 @@ contact was called when that count is positive.
 
 from __future__ import annotations
 
+from phonelens import constants as K
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +23,11 @@ from phonelens.operators._common import (
 
 
 def _t1():
-    return F.col("calltype_id") == 1
+    return F.col("calltype_id") == K.CALLER
 
 
 def _t2():
-    return F.col("calltype_id") == 2
+    return F.col("calltype_id") == K.CALLED
 
 
 def _voice(log: DataFrame) -> DataFrame:
@@ -101,7 +103,7 @@ def _f7_level1():
         F.count(CONTACT).alias("n_contact"),
         F.count(F.when(_t1(), F.col(CONTACT))).alias("n1_contact"),
         F.count(F.when(_t2(), F.col(CONTACT))).alias("n2_contact"),
-        F.count_if(_t1() & (F.col("call_dur") < 5)).alias("n1_short"),
+        F.count_if(_t1() & (F.col("call_dur") < K.SHORT_CALL_SECONDS)).alias("n1_short"),
         F.count("_date").alias("n_dated"),
         F.count(F.when(_t1(), F.col("_date"))).alias("n1_dated"),
         F.count(F.when(_t2(), F.col("_date"))).alias("n2_dated"),
@@ -140,7 +142,7 @@ def voice_features_b(log: DataFrame) -> DataFrame:
     )
 
 
-def short_call_ratio(log: DataFrame, max_seconds: float = 5.0) -> DataFrame:
+def short_call_ratio(log: DataFrame, max_seconds: float = K.SHORT_CALL_SECONDS) -> DataFrame:
     """F7 ``ratio`` with its parts: caller rows under ``max_seconds``
     (``tmp1``, NULL if none), caller rows (``tmp2``), and their ratio.
     Phones with no caller row are absent, as in the source."""

@@ -24,7 +24,7 @@ def with_test_unlabelled(users: DataFrame) -> DataFrame:
 
 def baseline_dataset(users: DataFrame, voice: DataFrame, sms: DataFrame, app: DataFrame,
                      months: list[str], keep_as: str = "arpu_last") -> DataFrame:
-    """F9 + the first pipeline's assembly: every user left-joined to the
+    """F9 + the first flow's assembly: every user left-joined to the
     app (F1), voice (F2) and SMS (F3) blocks; only the last ARPU month is
     kept, under one name for both splits; city and county become codes
     fitted once on train ∪ test.  Each block is one row per phone and

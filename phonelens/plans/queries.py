@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from phonelens.functions.expr import stable
 from pyspark.sql import functions as F
 
+from phonelens import constants as K
+
 from phonelens.operators import app as A
 from phonelens.operators import coverage as C
 from phonelens.operators import device as D
@@ -167,12 +169,12 @@ def _q_shs(spark, d):
 
 @register("phones_per_handset")
 def _q_pph(spark, d):
-    return D.phones_per_handset(_voice(spark, d), more_than=1)
+    return D.phones_per_handset(_voice(spark, d), more_than=K.SHARED_HANDSET_PHONES_OVER)
 
 
 @register("handsets_per_phone_by_class")
 def _q_hppc(spark, d):
-    return D.handsets_per_phone_by_class(_voice(spark, d), _labels(spark, d), more_than=40)
+    return D.handsets_per_phone_by_class(_voice(spark, d), _labels(spark, d), more_than=K.FIXTURE_HANDSETS_OVER)
 
 
 # ---- step 5: contact graph -------------------------------------------------
@@ -235,12 +237,12 @@ def _segment(spark, d):
 
 @register("segment_voice_contacts")
 def _q_svc(spark, d):
-    return C.segment_contacts(_segment(spark, d), _voice(spark, d), _labels(spark, d), more_than=40)
+    return C.segment_contacts(_segment(spark, d), _voice(spark, d), _labels(spark, d), more_than=K.FIXTURE_CONTACTS_OVER)
 
 
 @register("segment_sms_contacts")
 def _q_ssc(spark, d):
-    return C.segment_contacts(_segment(spark, d), views.sms(spark, d), _labels(spark, d), more_than=40)
+    return C.segment_contacts(_segment(spark, d), views.sms(spark, d), _labels(spark, d), more_than=K.FIXTURE_CONTACTS_OVER)
 
 
 @register("segment_callback")
@@ -416,7 +418,7 @@ def _flow_inputs(spark, d, outer: bool):
 
 @register("train_score_gbt")
 def _q_tsg(spark, d):
-    """First pipeline: 5 folds, boosted trees, F1 cut-off search, fold-mean
+    """First flow: 5 folds, boosted trees, F1 cut-off search, fold-mean
     scaled scores, decision per test phone."""
     from phonelens.plans.model import TreeParams, kfold_train_score
     train, test, feats = _flow_inputs(spark, d, outer=False)
@@ -426,22 +428,22 @@ def _q_tsg(spark, d):
 
 @register("submission")
 def _q_sub(spark, d):
-    """Second pipeline: 3 folds on the outer data set, mean score minus 0.3."""
-    from phonelens.plans.model import SECOND_PIPELINE, kfold_mean_offset
+    """Second flow: 3 folds on the outer data set, mean score minus 0.3."""
+    from phonelens.plans.model import SECOND_FLOW, kfold_mean_offset
     from dataclasses import replace
     train, test, feats = _flow_inputs(spark, d, outer=True)
     return kfold_mean_offset(train, test, feats, k=3, seed=2020,
-                             params=replace(SECOND_PIPELINE, max_iter=REGISTRY_ROUNDS)).submission
+                             params=replace(SECOND_FLOW, max_iter=REGISTRY_ROUNDS)).submission
 
 
 @register("feature_importance")
 def _q_fi(spark, d):
-    """Mean importance per feature over the second pipeline's fold models."""
-    from phonelens.plans.model import SECOND_PIPELINE, kfold_mean_offset
+    """Mean importance per feature over the second flow's fold models."""
+    from phonelens.plans.model import SECOND_FLOW, kfold_mean_offset
     from dataclasses import replace
     train, test, feats = _flow_inputs(spark, d, outer=True)
     return kfold_mean_offset(train, test, feats, k=3, seed=2020,
-                             params=replace(SECOND_PIPELINE, max_iter=REGISTRY_ROUNDS)).importances
+                             params=replace(SECOND_FLOW, max_iter=REGISTRY_ROUNDS)).importances
 
 
 # ---- flagship and remaining small operators --------------------------------------

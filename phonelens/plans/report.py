@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from phonelens import constants as K
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,8 @@ def _long(df: DataFrame, part: str) -> DataFrame:
 
 
 def segment_report(labels: DataFrame, app: DataFrame, voice: DataFrame, sms: DataFrame,
-                   max_months: int = 2, contacts_over: int = 40, handsets_over: int = 40) -> DataFrame:
+                   max_months: int = K.LOW_USAGE_MONTHS, contacts_over: int = K.FIXTURE_CONTACTS_OVER,
+                   handsets_over: int = K.FIXTURE_HANDSETS_OVER) -> DataFrame:
     """C4-C8 for the labelled users: app usage, the low-usage segment's
     voice and SMS contacts, its call-backs, and handsets per phone."""
     segment = C.low_usage_phones(labels, app, max_months)
