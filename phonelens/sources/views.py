@@ -111,13 +111,24 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phone, label and split only (the user view without its joins)."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return c.select(
+        F.col("c_custkey").alias("phone_no_m"),
+        F.when(F.col("c_acctbal") < 0, 1).otherwise(0).cast("int").alias("label"),
+        F.when(F.col("c_custkey") % TEST_MODULUS == 0, F.lit("test")).otherwise(F.lit("train")).alias("split"),
+    )
+
+
 def train_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return users(spark, sf_dir).filter(F.col("split") == "train").drop("split")
+    """Labelled (training) users: phone and label."""
+    return labels(spark, sf_dir).filter(F.col("split") == "train").drop("split")
 
 
 def test_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test users carry no label, like the source's test table."""
-    return users(spark, sf_dir).filter(F.col("split") == "test").drop("split", "label")
+    return labels(spark, sf_dir).filter(F.col("split") == "test").drop("split", "label")
 
 
 VIEWS = {"voice": voice, "sms": sms, "app": app, "users": users}
