@@ -36,6 +36,29 @@ def grain_mode(grain: str) -> Column:
                                                   F.col(grain_value(grain)).alias("v"))))
 
 
+# Hours (0-23) and days of month (1-31) fit in 6 bits.
+SMALL_INT_BITS = 6
+
+
+def grain_mode_packed(grain: str, bits: int = SMALL_INT_BITS) -> Column:
+    """Mode of a grain whose values are integers in [0, 2**bits): the
+    count and the value packed in one long, ``count·2^bits + (2^bits-1-v)``,
+    so the largest packed number is the highest count with the smallest
+    value.  A plain ``max`` keeps the aggregation hash-based (a struct
+    minimum would force a sort-based one)."""
+    top = (1 << bits) - 1
+    v = F.col(grain_value(grain)).cast("long")
+    return F.max(F.when(is_grain(grain), F.col("_n") * F.lit(1 << bits) + (F.lit(top) - v)))
+
+
+def packed_mode_value(col: str, bits: int = SMALL_INT_BITS) -> Column:
+    return (F.lit((1 << bits) - 1) - F.pmod(F.col(col), F.lit(1 << bits))).cast("int")
+
+
+def packed_mode_count(col: str, bits: int = SMALL_INT_BITS) -> Column:
+    return F.shiftrightunsigned(F.col(col), bits)
+
+
 def when_any(flag: str, value: Column) -> Column:
     """value where a level-2 count ``flag`` is positive, else NULL (pandas
     left-joined a sub-table that had no row for the key)."""

@@ -12,13 +12,26 @@ from pyspark.sql import functions as F
 from phonelens.functions.expr import zero_sum
 
 
-def value_mode(df: DataFrame, key: str, value: Column | str, prefix: str) -> DataFrame:
+def value_mode(df: DataFrame, key: str, value: Column | str, prefix: str,
+               small_int_bits: int | None = None) -> DataFrame:
     """G-mode: per key the most frequent non-NULL value (smallest on ties),
     its count and the number of distinct values:
-    ``{prefix}_mode, {prefix}_mode_count, {prefix}_nunique``."""
+    ``{prefix}_mode, {prefix}_mode_count, {prefix}_nunique``.
+
+    With ``small_int_bits`` (values are integers in [0, 2**bits), e.g. hours)
+    count and value are packed in one long and the fold is a hash-based
+    ``max``; otherwise it is ``min(struct(-count, value))``."""
     v = F.col(value) if isinstance(value, str) else value
     counts = (df.filter(F.col(key).isNotNull()).select(F.col(key), v.alias("_v"))
               .filter(F.col("_v").isNotNull()).groupBy(key, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    if small_int_bits is not None:
+        b = small_int_bits
+        best = counts.groupBy(key).agg(
+            F.max(F.col("_n") * F.lit(1 << b) + (F.lit((1 << b) - 1) - F.col("_v").cast("long"))).alias("_p"),
+            F.count("_v").alias(f"{prefix}_nunique"))
+        return best.select(key, (F.lit((1 << b) - 1) - F.pmod(F.col("_p"), F.lit(1 << b))).cast("int")
+                           .alias(f"{prefix}_mode"),
+                           F.shiftrightunsigned(F.col("_p"), b).alias(f"{prefix}_mode_count"), f"{prefix}_nunique")
     best = counts.groupBy(key).agg(
         F.min(F.struct((-F.col("_n")).alias("neg_n"), F.col("_v").alias("v"))).alias("_m"),
         F.count("_v").alias(f"{prefix}_nunique"))

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from phonelens.functions.expr import date_of, day_of, hour_of, safe_ratio, zero_sum
 from phonelens.functions.grain import fan_out_aggregate, is_grain
 from phonelens.operators._common import (
-    CONTACT, KEY, grain_median, grain_mode, n_values, n_values_if, over_grain, row_val, when_any)
+    CONTACT, KEY, grain_median, grain_mode_packed, n_values, n_values_if, over_grain, packed_mode_count,
+    packed_mode_value, row_val, when_any)
 
 
 def _t1():
@@ -73,8 +74,8 @@ def voice_features_a(log: DataFrame) -> DataFrame:
         row_val("dur_max").alias("call_dur_max"), row_val("dur_min").alias("call_dur_min"),
         n_values("city").alias("city_name_nunique"), n_values("county").alias("county_name_nunique"),
         n_values("calltype").alias("calltype_id_unique"),
-        grain_mode("hour").alias("_hour_mode"), n_values("hour").alias("voc_hour_nunique"),
-        grain_mode("day").alias("_day_mode"), n_values("day").alias("voc_day_nunique"),
+        grain_mode_packed("hour").alias("_hour_mode"), n_values("hour").alias("voc_hour_nunique"),
+        grain_mode_packed("day").alias("_day_mode"), n_values("day").alias("voc_day_nunique"),
     ]
     agg = fan_out_aggregate(v, KEY, grains, level1, level2)
     return agg.select(
@@ -88,10 +89,10 @@ def voice_features_a(log: DataFrame) -> DataFrame:
         "phone2oppo_sum_mean", "phone2oppo_sum_median", "phone2oppo_sum_max",
         "call_dur_mean", "call_dur_median", "call_dur_max", "call_dur_min",
         "city_name_nunique", "county_name_nunique", "calltype_id_unique",
-        F.col("_hour_mode.v").alias("voc_hour_mode"), (-F.col("_hour_mode.neg_n")).alias("voc_hour_mode_count"),
-        "voc_hour_nunique",
-        F.col("_day_mode.v").alias("voc_day_mode"), (-F.col("_day_mode.neg_n")).alias("voc_day_mode_count"),
-        "voc_day_nunique",
+        packed_mode_value("_hour_mode").alias("voc_hour_mode"),
+        packed_mode_count("_hour_mode").alias("voc_hour_mode_count"), "voc_hour_nunique",
+        packed_mode_value("_day_mode").alias("voc_day_mode"),
+        packed_mode_count("_day_mode").alias("voc_day_mode_count"), "voc_day_nunique",
     )
 
 

@@ -137,13 +137,14 @@ def _q_cps(spark, d):
 @register("hour_mode")
 def _q_hm(spark, d):
     """Favourite SMS hour per phone."""
-    return ST.value_mode(views.sms(spark, d), "phone_no_m", F.hour("request_datetime"), "hour")
+    return ST.value_mode(views.sms(spark, d), "phone_no_m", F.hour("request_datetime"), "hour", small_int_bits=6)
 
 
 @register("day_mode")
 def _q_dm(spark, d):
     """Favourite day of month of voice calls per phone."""
-    return ST.value_mode(_voice(spark, d), "phone_no_m", F.dayofmonth("start_datetime"), "voc_day")
+    return ST.value_mode(_voice(spark, d), "phone_no_m", F.dayofmonth("start_datetime"), "voc_day",
+                         small_int_bits=6)
 
 
 def _labels(spark, d):

@@ -19,6 +19,26 @@ DEFAULT_CONF = {
 }
 
 
+def cluster_conf(input_bytes: int, cores: int, checkpoint_dir: str) -> dict[str, str]:
+    """Settings for a cluster run over ``input_bytes`` of logs on ``cores``
+    executor cores (to pass to ``SparkSession.builder.config``).
+
+    Shuffle partitions start at about one per 128 MB of input (at least
+    three waves of tasks) and AQE coalesces them to 128 MB after each
+    stage; scans split at 256 MB; skewed joins are split; checkpoints go to
+    the shared ``checkpoint_dir``."""
+    mb128 = 128 * 1024 * 1024
+    partitions = max(3 * cores, -(-input_bytes // mb128))
+    return {
+        **{k: v for k, v in DEFAULT_CONF.items() if not k.startswith("spark.ui.show")},
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(mb128),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.files.maxPartitionBytes": str(2 * mb128),
+        "spark.checkpoint.dir": checkpoint_dir,
+    }
+
+
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "phonelens") -> SparkSession:
     """A local session for tests and benchmarks (never used on a cluster)."""
     b = SparkSession.builder.master(f"local[{cpus}]").appName(app)
