@@ -421,9 +421,11 @@ def _flow_inputs(spark, d, outer: bool):
 def _q_tsg(spark, d):
     """First flow: 5 folds, boosted trees, F1 cut-off search, fold-mean
     scaled scores, decision per test phone."""
-    from phonelens.plans.model import TreeParams, kfold_train_score
+    from phonelens.plans.model import TreeParams, category_sizes, kfold_train_score
     train, test, feats = _flow_inputs(spark, d, outer=False)
-    res = kfold_train_score(train, test, feats, k=5, seed=1024, params=TreeParams(max_iter=REGISTRY_ROUNDS))
+    cats = category_sizes(train, test, ["city_name", "county_name"])
+    res = kfold_train_score(train, test, feats, k=K.FIRST_FOLDS, seed=K.FIRST_SEED,
+                            params=TreeParams(max_iter=REGISTRY_ROUNDS), categorical=cats)
     return res.submission
 
 
@@ -433,7 +435,7 @@ def _q_sub(spark, d):
     from phonelens.plans.model import SECOND_FLOW, kfold_mean_offset
     from dataclasses import replace
     train, test, feats = _flow_inputs(spark, d, outer=True)
-    return kfold_mean_offset(train, test, feats, k=3, seed=2020,
+    return kfold_mean_offset(train, test, feats, k=K.SECOND_FOLDS, seed=K.SECOND_SEED,
                              params=replace(SECOND_FLOW, max_iter=REGISTRY_ROUNDS)).submission
 
 
@@ -443,7 +445,7 @@ def _q_fi(spark, d):
     from phonelens.plans.model import SECOND_FLOW, kfold_mean_offset
     from dataclasses import replace
     train, test, feats = _flow_inputs(spark, d, outer=True)
-    return kfold_mean_offset(train, test, feats, k=3, seed=2020,
+    return kfold_mean_offset(train, test, feats, k=K.SECOND_FOLDS, seed=K.SECOND_SEED,
                              params=replace(SECOND_FLOW, max_iter=REGISTRY_ROUNDS)).importances
 
 
