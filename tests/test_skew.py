@@ -17,5 +17,6 @@ def test_hot_keys_are_spread():
     line = [x for x in out.stdout.splitlines() if x.startswith("{")][-1]
     shares = json.loads(line)["max_task_share"]
     assert shares.pop("naive_repartition_by_phone") > 0.3      # the check can see skew
+    assert shares.pop("naive_window_by_class") > 0.5
     for name, share in shares.items():
         assert share < 0.25, (name, share)                     # 8 tasks: fair share 0.125

@@ -54,12 +54,13 @@ def stage_shares(event_dir: str) -> dict[int, tuple[int, float]]:
 
 
 def main() -> None:
-    from pyspark.sql import SparkSession
+    from pyspark.sql import SparkSession, Window
     from pyspark.sql import functions as F
 
     from phonelens.operators import app as A
     from phonelens.operators import device as D
     from phonelens.operators import graph as G
+    from phonelens.operators import learn as L
     from phonelens.operators import voice as V
     from phonelens.session import DEFAULT_CONF, ensure_checkpoint_dir
     from phonelens.sources import views
@@ -74,9 +75,16 @@ def main() -> None:
         "callback_with_fallback": ("voice", "phone_no_m", G.callback_with_fallback),
         "shared_handset_score": ("voice", "imei_m", D.shared_handset_score),
         "app_features": ("app", "phone_no_m", A.app_features),
-        # negative control: every row of a phone sent to one task
+        "no_outgoing": ("voice", "phone_no_m", G.no_outgoing),
+        "contact_edges": ("voice", "phone_no_m", G.contact_edges),
+        # classes are naturally skewed (about 92% label 0): ranks per class
+        "stratified_folds": ("users", None, lambda u: L.stratified_folds(u.select("phone_no_m", "label"))),
+        "auc_rank": ("users", None, lambda u: L.auc_rank(u.select(F.col("arpu_1").alias("prob"), "label"))),
+        # negative controls: every row of a phone / of a class sent to one task
         "naive_repartition_by_phone": ("voice", "phone_no_m", lambda log: log.repartition(8, "phone_no_m")
                                        .groupBy("phone_no_m").agg(F.count_distinct("opposite_no_m").alias("n"))),
+        "naive_window_by_class": ("users", None, lambda u: u.withColumn(
+            "r", F.row_number().over(Window.partitionBy("label").orderBy("phone_no_m")))),
     }
     for name, (view, hot_col, fn) in cases.items():
         ev = os.path.join(scratch, name)
@@ -90,9 +98,11 @@ def main() -> None:
         spark.sparkContext.setLogLevel("ERROR")
         ensure_checkpoint_dir(spark)
         log = views.VIEWS[view](spark, sf_dir)
-        hot = F.pmod(F.xxhash64(*[c for c in log.columns if c != hot_col]), F.lit(3)) == 0
-        skewed = log.withColumn(hot_col, F.when(hot, F.lit(0)).otherwise(F.col(hot_col)).cast(
-            dict(log.dtypes)[hot_col]))
+        skewed = log
+        if hot_col is not None:
+            hot = F.pmod(F.xxhash64(*[c for c in log.columns if c != hot_col]), F.lit(3)) == 0
+            skewed = log.withColumn(hot_col, F.when(hot, F.lit(0)).otherwise(F.col(hot_col)).cast(
+                dict(log.dtypes)[hot_col]))
         fn(skewed).write.format("noop").mode("overwrite").save()
         spark.stop()
         shares = stage_shares(ev)
