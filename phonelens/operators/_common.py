@@ -30,12 +30,6 @@ def over_grain(agg, grain: str, col: str) -> Column:
     return agg(F.when(is_grain(grain), F.col(col)))
 
 
-def grain_mode(grain: str) -> Column:
-    """Mode (smallest on ties) of a grain's values, as struct(neg_n, v)."""
-    return F.min(F.when(is_grain(grain), F.struct((-F.col("_n")).alias("neg_n"),
-                                                  F.col(grain_value(grain)).alias("v"))))
-
-
 # Hours (0-23) and days of month (1-31) fit in 6 bits.
 SMALL_INT_BITS = 6
 

@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from phonelens.sources.schemas import SCHEMAS
 
+FORMATS = ("csv", "parquet")
+
+
+def path_of(base: str, name: str, fmt: str) -> str:
+    """``base/name.csv`` or ``base/name.parquet``; any Hadoop path works
+    (no local file-system probing, so this runs the same on a cluster)."""
+    return f"{base.rstrip('/')}/{name}.{fmt}"
+
 
-def load(spark: SparkSession, base: str, name: str, fmt: str | None = None) -> DataFrame:
+def load(spark: SparkSession, base: str, name: str, fmt: str = "csv") -> DataFrame:
     """Read one logical table (``train_voc``, ``test_user`` ...) from ``base``.
 
-    CSV is read with the registered schema and a header; Parquet keeps its
-    own schema.  Unknown names raise instead of returning nothing.
-    """
+    CSV is read with the registered schema and a header (no inference);
+    Parquet keeps its own schema.  Unknown names raise instead of returning
+    nothing."""
     if name not in SCHEMAS:
         raise ValueError(f"unknown table {name!r}; expected one of {sorted(SCHEMAS)}")
-    path = os.path.join(base, name)
-    if fmt is None:
-        fmt = "parquet" if os.path.exists(path + ".parquet") or os.path.isdir(path) else "csv"
+    if fmt not in FORMATS:
+        raise ValueError(f"unknown format {fmt!r}; expected one of {FORMATS}")
+    path = path_of(base, name, fmt)
     if fmt == "parquet":
-        return spark.read.parquet(path if os.path.isdir(path) else path + ".parquet")
+        return spark.read.parquet(path)
     return (spark.read.schema(SCHEMAS[name]).option("header", True)
             .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-            .csv(path + ".csv"))
+            .csv(path))
 
 
-def load_log_pair(spark: SparkSession, base: str, log: str, fmt: str | None = None) -> DataFrame:
+def load_log_pair(spark: SparkSession, base: str, log: str, fmt: str = "csv") -> DataFrame:
     """Train and test logs of one kind as one DataFrame."""
     return load(spark, base, f"train_{log}", fmt).unionByName(load(spark, base, f"test_{log}", fmt))

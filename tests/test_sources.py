@@ -42,3 +42,13 @@ def test_sinks_round_trip(spark):
     sinks.write_submission(df.select("phone_no_m", "label"), os.path.join(d, "sub"))
     csv = spark.read.option("header", True).csv(os.path.join(d, "sub"))
     assert sorted(r["phone_no_m"] for r in csv.collect()) == ["a", "b"]
+
+
+def test_parquet_round_trip_through_load(spark):
+    d = tempfile.mkdtemp(prefix="phonelens-pq-", dir="/tmp")
+    df = spark.createDataFrame([("a", "w", 1.5, "2020-01")], "phone_no_m string, busi_name string, flow double, month_id string")
+    df.write.parquet(os.path.join(d, "train_app.parquet"))
+    back = load(spark, d, "train_app", fmt="parquet")
+    assert back.first()["flow"] == 1.5
+    with pytest.raises(ValueError):
+        load(spark, d, "train_app", fmt="orc")
