@@ -45,7 +45,12 @@ def _direction_counts():
 
 def voice_features_a(log: DataFrame) -> DataFrame:
     """volumes, caller share, places, calls and seconds per contact,
-    duration statistics, favourite hour and day of month."""
+    duration statistics, favourite hour and day of month.
+
+    Medians are exact: ``percentile`` over (phone, value) counts, whose
+    buffer holds one entry per distinct value of the phone — durations in
+    whole seconds and per-contact counts, both small sets even for a phone
+    with a third of all rows."""
     v = _voice(log)
     grains = {
         "contact": F.col(CONTACT), "hour": F.col("_hour"), "day": F.col("_day"),

@@ -32,3 +32,17 @@ def test_feature_rows_are_distinct_keys(spark):
 def test_callback_bounded_by_calls(spark):
     cb = G.callback_count(views.voice(spark, SF))
     assert cb.filter(F.col("recall") > F.col("call")).count() == 0
+
+
+def test_two_level_matches_block_columns(spark):
+    from phonelens.operators import stats as ST
+    log = views.voice(spark, SF)
+    tl = {r["phone_no_m"]: r for r in ST.two_level(log, "phone_no_m", "opposite_no_m", "call_dur", "p").collect()}
+    fa = {r["phone_no_m"]: r for r in V.voice_features_a(log).collect()}
+    assert set(tl) == set(fa)
+    for k, r in fa.items():
+        assert tl[k]["p_count_max"] == r["phone2opposite_max"]
+        assert abs(tl[k]["p_count_mean"] - r["phone2opposite_mean"]) < 1e-9
+        assert tl[k]["p_count_median"] == r["phone2opposite_median"]
+        assert abs(tl[k]["p_sum_mean"] - r["phone2oppo_sum_mean"]) < 1e-6
+        assert tl[k]["p_sum_median"] == r["phone2oppo_sum_median"]
