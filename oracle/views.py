@@ -60,5 +60,10 @@ def sig(expr: str, digits: int = 10) -> str:
             f"ELSE round_even({e} * {scale}, 0) / {scale} END")
 
 
+SNAP_DIGITS = 14
+
+
 def S(expr: str, name: str, digits: int = 10) -> str:
-    return f"{sig(expr, digits)} AS {name}"
+    """Snap to 14 significant digits, then round to ``digits`` (the same
+    two steps as ``phonelens.functions.expr.stable``)."""
+    return f"{sig(sig(expr, SNAP_DIGITS), digits)} AS {name}"
