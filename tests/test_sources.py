@@ -52,3 +52,14 @@ def test_parquet_round_trip_through_load(spark):
     assert back.first()["flow"] == 1.5
     with pytest.raises(ValueError):
         load(spark, d, "train_app", fmt="orc")
+
+
+def test_write_submissions(spark):
+    from phonelens.plans.model import write_submissions
+    d = tempfile.mkdtemp(prefix="phonelens-subm-", dir="/tmp")
+    sub = spark.createDataFrame([("a", 0.7, True), ("b", 0.2, False)], "phone_no_m string, prob double, label boolean")
+    write_submissions(sub, d)
+    prob = spark.read.option("header", True).csv(os.path.join(d, "prob_submission"))
+    dec = spark.read.option("header", True).csv(os.path.join(d, "submission"))
+    assert prob.columns == ["phone_no_m", "prob"] and dec.columns == ["phone_no_m", "label"]
+    assert sorted(r["label"] for r in dec.collect()) == ["false", "true"]
