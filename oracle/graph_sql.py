@@ -50,23 +50,30 @@ WHERE phone_no_m IS NOT NULL AND NOT EXISTS (
   SELECT 1 FROM voice w WHERE w.phone_no_m = v.phone_no_m AND w.calltype_id = 1 AND w.opposite_no_m IS NOT NULL)
 """
 
-_CC = """cc AS (
-  WITH o AS (SELECT DISTINCT phone_no_m, opposite_no_m FROM voice
+def _cc(log: str = "voice") -> str:
+    return f"""cc AS (
+  WITH o AS (SELECT DISTINCT phone_no_m, opposite_no_m FROM {log}
              WHERE calltype_id = 1 AND opposite_no_m IS NOT NULL AND phone_no_m IS NOT NULL),
-       i AS (SELECT DISTINCT phone_no_m, opposite_no_m FROM voice
+       i AS (SELECT DISTINCT phone_no_m, opposite_no_m FROM {log}
              WHERE calltype_id = 2 AND opposite_no_m IS NOT NULL AND phone_no_m IS NOT NULL),
-       ph AS (SELECT DISTINCT phone_no_m FROM voice WHERE phone_no_m IS NOT NULL)
+       ph AS (SELECT DISTINCT phone_no_m FROM {log} WHERE phone_no_m IS NOT NULL)
   SELECT ph.phone_no_m, count(i.opposite_no_m) AS recall, count(o.opposite_no_m) AS call
   FROM ph LEFT JOIN o ON o.phone_no_m = ph.phone_no_m
           LEFT JOIN i ON i.phone_no_m = o.phone_no_m AND i.opposite_no_m = o.opposite_no_m
   GROUP BY 1)"""
 
-_RR = """rr AS (
-  WITH pc AS (SELECT phone_no_m, opposite_no_m, count(*) AS n FROM voice
+
+def _rr(log: str = "voice") -> str:
+    return f"""rr AS (
+  WITH pc AS (SELECT phone_no_m, opposite_no_m, count(*) AS n FROM {log}
               WHERE phone_no_m IS NOT NULL AND opposite_no_m IS NOT NULL GROUP BY 1, 2)
   SELECT a.phone_no_m, CAST(sum(b.n) AS BIGINT) AS recall
   FROM pc a JOIN pc b ON b.phone_no_m = a.opposite_no_m AND b.opposite_no_m = a.phone_no_m GROUP BY 1)"""
 
+
+_CC = _cc()
+_RR = _rr()
+
 CALLBACK_COUNT = f"WITH {_CC} SELECT phone_no_m, recall, call FROM cc"
 
 RECIPROCATED_ROWS = f"WITH {_RR} SELECT phone_no_m, recall FROM rr"
@@ -76,9 +83,10 @@ SELECT phone_no_m, {S("count(DISTINCT opposite_no_m) / count(*)", "repeat_ratio"
 FROM voice WHERE phone_no_m IS NOT NULL GROUP BY 1
 """
 
-CALLBACK_WITH_FALLBACK = f"""
-WITH {_CC}, {_RR},
-rows_ AS (SELECT phone_no_m, count(*) AS c FROM voice WHERE phone_no_m IS NOT NULL GROUP BY 1)
+def _callback_with_fallback(log: str) -> str:
+    return f"""
+WITH {_cc(log)}, {_rr(log)},
+rows_ AS (SELECT phone_no_m, count(*) AS c FROM {log} WHERE phone_no_m IS NOT NULL GROUP BY 1)
 SELECT phone_no_m, recall, call, {S("recall / NULLIF(call, 0)", "re_ratio")}, 'distinct_contacts' AS measure
 FROM cc WHERE call > 0
 UNION ALL
@@ -88,6 +96,10 @@ FROM cc JOIN rows_ ON rows_.phone_no_m = cc.phone_no_m LEFT JOIN rr ON rr.phone_
 WHERE cc.call = 0
 """
 
+
+CALLBACK_WITH_FALLBACK = _callback_with_fallback("voice")
+SMS_CALLBACK_WITH_FALLBACK = _callback_with_fallback("sms")
+
 CALLBACK_SHARE = f"""
 WITH {_CC}
 SELECT u.label, count(*) FILTER (WHERE call <> 0) AS with_out,
@@ -191,6 +203,7 @@ QUERIES = {
     "reciprocated_rows": RECIPROCATED_ROWS,
     "repeat_ratio": REPEAT_RATIO,
     "callback_with_fallback": CALLBACK_WITH_FALLBACK,
+    "sms_callback_with_fallback": SMS_CALLBACK_WITH_FALLBACK,
     "callback_share": CALLBACK_SHARE,
     "log_coverage": LOG_COVERAGE,
     "test_coverage": TEST_COVERAGE,

@@ -210,6 +210,12 @@ def _q_cwf(spark, d):
     return G.callback_with_fallback(_voice(spark, d))
 
 
+@register("sms_callback_with_fallback")
+def _q_scwf(spark, d):
+    """G3 on the SMS channel: graph and fallback both from the SMS log."""
+    return G.callback_with_fallback(views.sms(spark, d))
+
+
 @register("callback_share")
 def _q_cs(spark, d):
     return G.callback_share(G.callback_count(_voice(spark, d)), _labels(spark, d))
