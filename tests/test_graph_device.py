@@ -50,3 +50,19 @@ def test_shared_handset_score(spark):
     assert out["b"]["imei_phone"] == 3.0 and out["c"]["imei_phone"] == 3.0
     per = rows(D.phones_per_handset(fx.handset_small_voice(spark)))
     assert per == [("h3", 3)]
+
+
+def test_contact_edges_reverse_adds_incoming(spark):
+    log = fx.voice(spark, [("a", "b", 1, fx.ts(1), 1.0, "c", "k", "h1")])   # only a's side is logged
+    plain = {(r["phone_no_m"], r["contact"], r["direction"]) for r in G.contact_edges(log).collect()}
+    rev = {(r["phone_no_m"], r["contact"], r["direction"]) for r in G.contact_edges(log, reverse=True).collect()}
+    assert plain == {("a", "b", "out")}
+    assert rev == {("a", "b", "out"), ("b", "a", "in")}
+
+
+def test_callback_share_counts_nonzero_per_class(spark):
+    cb = spark.createDataFrame([("a", 2, 3), ("b", 0, 1), ("c", 0, 0), ("d", 1, 1)],
+                               "phone_no_m string, recall long, call long")
+    labels = spark.createDataFrame([("a", 1), ("b", 1), ("c", 0), ("d", 0)], "phone_no_m string, label int")
+    got = {r["label"]: (r["with_out"], r["nonzero"]) for r in G.callback_share(cb, labels).collect()}
+    assert got == {1: (2, 1), 0: (1, 1)}
