@@ -2,29 +2,36 @@
 
 Every query reads the shared tables through ``phonelens.sources.views``
 and runs one library operator over the whole of them.  Double columns are
-rounded to 10 significant digits so that the DuckDB twin (``oracle/``)
-can be compared value by value.
+rounded (snap to 14 significant digits, then 10) so that the DuckDB twin
+(``oracle/``) can be compared value by value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
-
-from phonelens.functions.expr import stable
 from pyspark.sql import functions as F
 
 from phonelens import constants as K
-
+from phonelens.functions.expr import stable
 from phonelens.operators import app as A
 from phonelens.operators import coverage as C
 from phonelens.operators import device as D
 from phonelens.operators import graph as G
+from phonelens.operators import learn as L
+from phonelens.operators import profile as P
 from phonelens.operators import sms as SM
 from phonelens.operators import stats as ST
 from phonelens.operators import user as U
 from phonelens.operators import voice as V
+from phonelens.plans.dataset import (
+    align_columns, baseline_dataset, fill_missing, outer_dataset, with_test_unlabelled)
+from phonelens.plans.model import (
+    SECOND_FLOW, TreeParams, category_sizes, kfold_mean_offset, kfold_train_score, split_train_test)
+from phonelens.plans.report import segment_report
+from phonelens.session import materialize
 from phonelens.sources import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -259,20 +266,17 @@ def _q_scb(spark, d):
 
 # ---- step 7: data sets ---------------------------------------------------------
 def _users_split(spark, d):
-    from phonelens.plans.dataset import with_test_unlabelled
     return with_test_unlabelled(views.users(spark, d))
 
 
 @register("dataset_left")
 def _q_dl(spark, d):
     """F9 + baseline assembly over all users of both splits."""
-    from phonelens.plans.dataset import baseline_dataset
     return baseline_dataset(_users_split(spark, d), _voice(spark, d), views.sms(spark, d),
                             views.app(spark, d), views.ARPU_COLS)
 
 
 def _outer(spark, d):
-    from phonelens.plans.dataset import outer_dataset
     return outer_dataset(_users_split(spark, d), _voice(spark, d), views.sms(spark, d),
                          views.app(spark, d), views.ARPU_COLS)
 
@@ -285,7 +289,6 @@ def _q_do(spark, d):
 @register("align_columns")
 def _q_ac(spark, d):
     """Test rows of the outer data set in the training rows' columns."""
-    from phonelens.plans.dataset import align_columns
     ds = _outer(spark, d)
     train = ds.filter(F.col("split") == "train")
     test = ds.filter(F.col("split") == "test").drop("label")
@@ -294,7 +297,6 @@ def _q_ac(spark, d):
 
 @register("fill_missing")
 def _q_fm(spark, d):
-    from phonelens.plans.dataset import fill_missing
     return fill_missing(_outer(spark, d))
 
 
@@ -302,7 +304,6 @@ def _q_fm(spark, d):
 def _plain_scores(spark, d):
     """Labelled users with a plain score: their mean call duration (F7),
     min-max scaled over all of them (M7).  Stands in for model output."""
-    from phonelens.operators import learn as L
     f = V.voice_features_b(_voice(spark, d)).select("phone_no_m", F.col("call_dur_mean").alias("prob"))
     j = _labels(spark, d).select("phone_no_m", "label").join(f, "phone_no_m", "left")
     return L.minmax_scale(j, "prob")
@@ -310,27 +311,23 @@ def _plain_scores(spark, d):
 
 @register("category_codes")
 def _q_ccodes(spark, d):
-    from phonelens.operators import learn as L
     u = views.users(spark, d).select("phone_no_m", "city_name", "county_name")
     return L.category_codes(u, ["city_name", "county_name"])
 
 
 @register("stratified_folds")
 def _q_sf(spark, d):
-    from phonelens.operators import learn as L
     return L.stratified_folds(_labels(spark, d).select("phone_no_m", "label"), k=5, seed=1024)
 
 
 @register("holdout_split")
 def _q_hs(spark, d):
-    from phonelens.operators import learn as L
     return L.holdout_split(_labels(spark, d).select("phone_no_m", "label"), 0.3, seed=2020)
 
 
 @register("minmax_scale")
 def _q_mms(spark, d):
     """Mean call duration scaled within each of 5 stratified folds."""
-    from phonelens.operators import learn as L
     f = V.voice_features_b(_voice(spark, d)).select("phone_no_m", "call_dur_mean")
     folds = L.stratified_folds(_labels(spark, d).select("phone_no_m", "label"), k=5, seed=1024)
     return L.minmax_scale(folds.join(f, "phone_no_m", "left"), "call_dur_mean", by=["fold"], out="score")
@@ -340,8 +337,6 @@ def _q_mms(spark, d):
 def _q_fmean(spark, d):
     """Per test phone, the mean over 5 folds of its mean call duration
     scaled with each fold's training extremes (rows outside that fold)."""
-    from phonelens.operators import learn as L
-    from phonelens.session import materialize
     f = materialize(V.voice_features_b(_voice(spark, d)).select("phone_no_m", "call_dur_mean"))
     folds = L.stratified_folds(_labels(spark, d).select("phone_no_m", "label"), k=5, seed=1024)
     tr = materialize(folds.join(f, "phone_no_m"))
@@ -362,19 +357,16 @@ def _q_fmean(spark, d):
 
 @register("percentile_cut")
 def _q_pc(spark, d):
-    from phonelens.operators import learn as L
     return L.percentile_cut(_plain_scores(spark, d), 89.0, "prob")
 
 
 @register("f1_search")
 def _q_f1s(spark, d):
-    from phonelens.operators import learn as L
     return L.f1_search(_plain_scores(spark, d), "prob", "label")
 
 
 @register("f1_score")
 def _q_f1(spark, d):
-    from phonelens.operators import learn as L
     s = _plain_scores(spark, d)
     dec = L.percentile_cut(s, 89.0, "prob").select("phone_no_m", F.col("label").alias("pred"))
     return L.f1_score(dec.join(s.select("phone_no_m", "label"), "phone_no_m"), "pred", "label")
@@ -382,7 +374,6 @@ def _q_f1(spark, d):
 
 @register("auc_rank")
 def _q_auc(spark, d):
-    from phonelens.operators import learn as L
     return L.auc_rank(_plain_scores(spark, d), "prob", "label")
 
 
@@ -394,20 +385,17 @@ C10_MEASURES = ["oppsite_no_m_voc_nunique", "call_diff_01", "call_diff_02", "sta
 @register("column_profile")
 def _q_cp(spark, d):
     """C9 over the F7 feature table."""
-    from phonelens.operators import profile as P
     f = V.voice_features_b(_voice(spark, d))
     return P.column_profile(f, P.numeric_columns(f, exclude=["phone_no_m"]))
 
 
 @register("class_quantiles")
 def _q_cq(spark, d):
-    from phonelens.operators import profile as P
     return P.class_quantiles(V.voice_features_b(_voice(spark, d)), _labels(spark, d), C10_MEASURES)
 
 
 @register("class_histogram")
 def _q_ch(spark, d):
-    from phonelens.operators import profile as P
     return P.class_histogram(V.voice_features_b(_voice(spark, d)), _labels(spark, d), C10_MEASURES, bins=20)
 
 
@@ -418,7 +406,6 @@ REGISTRY_ROUNDS = 20
 
 
 def _flow_inputs(spark, d, outer: bool):
-    from phonelens.plans.model import split_train_test
     ds = _outer(spark, d) if outer else _q_dl(spark, d)
     return split_train_test(ds)
 
@@ -427,7 +414,6 @@ def _flow_inputs(spark, d, outer: bool):
 def _q_tsg(spark, d):
     """First flow: 5 folds, boosted trees, F1 cut-off search, fold-mean
     scaled scores, decision per test phone."""
-    from phonelens.plans.model import TreeParams, category_sizes, kfold_train_score
     train, test, feats = _flow_inputs(spark, d, outer=False)
     cats = category_sizes(train, test, ["city_name", "county_name"])
     res = kfold_train_score(train, test, feats, k=K.FIRST_FOLDS, seed=K.FIRST_SEED,
@@ -438,8 +424,6 @@ def _q_tsg(spark, d):
 @register("submission")
 def _q_sub(spark, d):
     """Second flow: 3 folds on the outer data set, mean score minus 0.3."""
-    from phonelens.plans.model import SECOND_FLOW, kfold_mean_offset
-    from dataclasses import replace
     train, test, feats = _flow_inputs(spark, d, outer=True)
     return kfold_mean_offset(train, test, feats, k=K.SECOND_FOLDS, seed=K.SECOND_SEED,
                              params=replace(SECOND_FLOW, max_iter=REGISTRY_ROUNDS)).submission
@@ -448,8 +432,6 @@ def _q_sub(spark, d):
 @register("feature_importance")
 def _q_fi(spark, d):
     """Mean importance per feature over the second flow's fold models."""
-    from phonelens.plans.model import SECOND_FLOW, kfold_mean_offset
-    from dataclasses import replace
     train, test, feats = _flow_inputs(spark, d, outer=True)
     return kfold_mean_offset(train, test, feats, k=K.SECOND_FOLDS, seed=K.SECOND_SEED,
                              params=replace(SECOND_FLOW, max_iter=REGISTRY_ROUNDS)).importances
@@ -472,5 +454,4 @@ def _q_ctr(spark, d):
 @register("segment_report")
 def _q_sr(spark, d):
     """The segment report (C4-C8) of the labelled users as one table."""
-    from phonelens.plans.report import segment_report
     return segment_report(_labels(spark, d), views.app(spark, d), _voice(spark, d), views.sms(spark, d))
