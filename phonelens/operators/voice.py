@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from phonelens import constants as K
 from phonelens.functions.expr import date_of, day_of, hour_of, safe_ratio, zero_sum
 from phonelens.functions.grain import fan_out_aggregate, is_grain
+from phonelens.functions.ranking import exact_quantiles
 from phonelens.operators._common import (
-    CONTACT, KEY, grain_median, grain_mode_packed, n_values, n_values_if, over_grain, packed_mode_count,
+    CONTACT, KEY, grain_mode_packed, n_values, n_values_if, over_grain, packed_mode_count,
     packed_mode_value, row_val, when_any)
 
 
@@ -46,15 +47,16 @@ def voice_features_a(log: DataFrame) -> DataFrame:
     """volumes, caller share, places, calls and seconds per contact,
     duration statistics, favourite hour and day of month.
 
-    Medians are exact: ``percentile`` over (phone, value) counts, whose
-    buffer holds one entry per distinct value of the phone — durations in
-    whole seconds and per-contact counts, both small sets even for a phone
-    with a third of all rows."""
+    Medians are exact.  The duration median goes through the distributed
+    rank path (range sort by phone and duration), so a phone with a third of
+    all rows and any number of distinct durations is split over many tasks;
+    the per-contact medians use ``percentile`` whose buffer holds one entry
+    per distinct per-contact count or sum of the phone."""
     v = _voice(log)
     grains = {
         "contact": F.col(CONTACT), "hour": F.col("_hour"), "day": F.col("_day"),
         "city": F.col("city_name"), "county": F.col("county_name"), "calltype": F.col("calltype_id"),
-        "dur": F.col("call_dur"), "imei": F.col("imei_m"),
+        "imei": F.col("imei_m"),
     }
     level1 = [
         *_direction_counts(),
@@ -74,7 +76,7 @@ def voice_features_a(log: DataFrame) -> DataFrame:
         over_grain(F.avg, "contact", "sum_dur").alias("phone2oppo_sum_mean"),
         over_grain(F.median, "contact", "sum_dur").alias("phone2oppo_sum_median"),
         over_grain(F.max, "contact", "sum_dur").alias("phone2oppo_sum_max"),
-        row_val("dur_mean").alias("call_dur_mean"), grain_median("dur").alias("call_dur_median"),
+        row_val("dur_mean").alias("call_dur_mean"),
         row_val("dur_max").alias("call_dur_max"), row_val("dur_min").alias("call_dur_min"),
         n_values("city").alias("city_name_nunique"), n_values("county").alias("county_name_nunique"),
         n_values("calltype").alias("calltype_id_unique"),
@@ -82,6 +84,9 @@ def voice_features_a(log: DataFrame) -> DataFrame:
         grain_mode_packed("day").alias("_day_mode"), n_values("day").alias("voc_day_nunique"),
     ]
     agg = fan_out_aggregate(v, KEY, grains, level1, level2)
+    med = (exact_quantiles(log.filter(F.col(KEY).isNotNull()).select(KEY, "call_dur"), "call_dur", [0.5], by=[KEY])
+           .select(KEY, F.col("q").alias("call_dur_median")))
+    agg = agg.join(med, KEY, "left")
     return agg.select(
         KEY, "opposite_count", "opposite_unique",
         when_any("_n1", F.col("_n1_imei")).alias("voccalltype1"),

@@ -32,10 +32,15 @@ def test_feature_block_is_one_scan_with_expand(spark):
     assert "l_extendedprice" not in scan and "l_discount" not in scan
 
 
-def test_shuffles_are_pre_aggregated(spark):
-    plan = _plan(E.queries()["voice_features_a"](spark, SF))
+@pytest.mark.parametrize("name", ["voice_features_a", "voice_features_b", "app_features", "sms_features_a"])
+def test_shuffles_are_pre_aggregated_or_by_rank(spark, name):
+    """Every hash shuffle either follows a map-side aggregation or is keyed
+    by (phone, rank) / (task, group) of the distributed rank path, so no
+    shuffle is keyed by the phone alone over raw rows."""
+    plan = _plan(E.queries()[name](spark, SF))
     lines = plan.splitlines()
     for i, line in enumerate(lines):
         if "Exchange hashpartitioning" in line:
             below = "\n".join(lines[i + 1:i + 3])
-            assert "HashAggregate" in below or "ObjectHashAggregate" in below, line
+            by_rank = any(f"{c}#" in line for c in ("_lo", "_hi", "_pid"))
+            assert by_rank or "HashAggregate" in below or "ObjectHashAggregate" in below, line
