@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phonelens.functions.expr import zero_sum
+from phonelens.functions.ranking import exact_quantiles
+from phonelens.session import materialize
 
 
 def value_mode(df: DataFrame, key: str, value: Column | str, prefix: str,
@@ -50,9 +52,15 @@ def value_counts(df: DataFrame, keys: list[str], measure: str) -> DataFrame:
 
 def two_level(df: DataFrame, key: str, inner: str, measure: str, prefix: str) -> DataFrame:
     """G-2lvl: count and sum of ``measure`` per (key, inner), then mean,
-    median and max of each per key (``{prefix}_count_mean`` ...)."""
-    vc = value_counts(df, [key, inner], measure)
-    return vc.groupBy(key).agg(
+    median and max of each per key (``{prefix}_count_mean`` ...).
+
+    The median of counts keeps a buffer of distinct counts (small); the
+    median of sums, which can take as many values as the key has inner
+    values, goes through the distributed rank path."""
+    vc = materialize(value_counts(df, [key, inner], measure))      # read twice
+    agg = vc.groupBy(key).agg(
         F.avg("count").alias(f"{prefix}_count_mean"), F.median("count").alias(f"{prefix}_count_median"),
         F.max("count").alias(f"{prefix}_count_max"), F.avg("sum").alias(f"{prefix}_sum_mean"),
-        F.median("sum").alias(f"{prefix}_sum_median"), F.max("sum").alias(f"{prefix}_sum_max"))
+        F.max("sum").alias(f"{prefix}_sum_max"))
+    med = exact_quantiles(vc, "sum", [0.5], by=[key]).select(key, F.col("q").alias(f"{prefix}_sum_median"))
+    return agg.join(med, key, "left")

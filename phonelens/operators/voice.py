@@ -47,11 +47,12 @@ def voice_features_a(log: DataFrame) -> DataFrame:
     """volumes, caller share, places, calls and seconds per contact,
     duration statistics, favourite hour and day of month.
 
-    Medians are exact.  The duration median goes through the distributed
-    rank path (range sort by phone and duration), so a phone with a third of
-    all rows and any number of distinct durations is split over many tasks;
-    the per-contact medians use ``percentile`` whose buffer holds one entry
-    per distinct per-contact count or sum of the phone."""
+    Medians are exact.  The median of durations and the median of seconds
+    per contact go through one distributed rank path (range sort by phone,
+    measure and value), so a phone with a third of all rows, or with
+    millions of contacts, is split over many tasks.  The median of calls per
+    contact uses ``percentile``: its buffer holds one entry per distinct
+    call count of the phone, a small set."""
     v = _voice(log)
     grains = {
         "contact": F.col(CONTACT), "hour": F.col("_hour"), "day": F.col("_day"),
@@ -74,7 +75,6 @@ def voice_features_a(log: DataFrame) -> DataFrame:
         over_grain(F.median, "contact", "n_dur").alias("phone2opposite_median"),
         over_grain(F.max, "contact", "n_dur").alias("phone2opposite_max"),
         over_grain(F.avg, "contact", "sum_dur").alias("phone2oppo_sum_mean"),
-        over_grain(F.median, "contact", "sum_dur").alias("phone2oppo_sum_median"),
         over_grain(F.max, "contact", "sum_dur").alias("phone2oppo_sum_max"),
         row_val("dur_mean").alias("call_dur_mean"),
         row_val("dur_max").alias("call_dur_max"), row_val("dur_min").alias("call_dur_min"),
@@ -84,8 +84,13 @@ def voice_features_a(log: DataFrame) -> DataFrame:
         grain_mode_packed("day").alias("_day_mode"), n_values("day").alias("voc_day_nunique"),
     ]
     agg = fan_out_aggregate(v, KEY, grains, level1, level2)
-    med = (exact_quantiles(log.filter(F.col(KEY).isNotNull()).select(KEY, "call_dur"), "call_dur", [0.5], by=[KEY])
-           .select(KEY, F.col("q").alias("call_dur_median")))
+    keyed = log.filter(F.col(KEY).isNotNull())
+    durations = keyed.select(KEY, F.lit("dur").alias("_m"), F.col("call_dur").alias("_x"))
+    per_contact = (keyed.filter(F.col(CONTACT).isNotNull()).groupBy(KEY, CONTACT)
+                   .agg(zero_sum("call_dur").alias("_x")).select(KEY, F.lit("contact_sum").alias("_m"), "_x"))
+    q = exact_quantiles(durations.unionByName(per_contact), "_x", [0.5], by=[KEY, "_m"])
+    med = q.groupBy(KEY).agg(F.max(F.when(F.col("_m") == "dur", F.col("q"))).alias("call_dur_median"),
+                             F.max(F.when(F.col("_m") == "contact_sum", F.col("q"))).alias("phone2oppo_sum_median"))
     agg = agg.join(med, KEY, "left")
     return agg.select(
         KEY, "opposite_count", "opposite_unique",
