@@ -58,7 +58,26 @@ SELECT label, measure, bin, {S("lo + bin * ((hi - lo) / 20.0)", "lo")}, {S("lo +
 FROM b GROUP BY label, measure, bin, lo, hi
 """
 
+CLASS_DAILY_QUANTILES = f"""
+WITH {_TU},
+dm AS (SELECT phone_no_m, CAST(start_datetime AS DATE) AS d, avg(call_dur) AS dur_mean,
+              avg(call_dur) FILTER (WHERE calltype_id = 1) AS dur_mean_out,
+              avg(call_dur) FILTER (WHERE calltype_id = 2) AS dur_mean_in
+       FROM voice WHERE phone_no_m IS NOT NULL AND start_datetime IS NOT NULL GROUP BY 1, 2),
+lg AS (
+  SELECT tu.label, 'dur_mean' AS measure, dur_mean AS value FROM dm JOIN tu ON tu.phone_no_m = dm.phone_no_m
+  UNION ALL
+  SELECT tu.label, 'dur_mean_out', dur_mean_out FROM dm JOIN tu ON tu.phone_no_m = dm.phone_no_m
+  UNION ALL
+  SELECT tu.label, 'dur_mean_in', dur_mean_in FROM dm JOIN tu ON tu.phone_no_m = dm.phone_no_m),
+q AS (SELECT label, measure, quantile_cont(value, [0.1, 0.25, 0.5, 0.75, 0.9]) AS qs
+      FROM lg WHERE value IS NOT NULL GROUP BY 1, 2)
+SELECT label, measure, {S("[0.1, 0.25, 0.5, 0.75, 0.9][i]", "prob")}, {S("qs[i]", "q")}
+FROM q, (SELECT unnest(range(1, 6)) AS i) g
+"""
+
 QUERIES = {
+    "class_daily_quantiles": CLASS_DAILY_QUANTILES,
     "column_profile": COLUMN_PROFILE,
     "class_quantiles": CLASS_QUANTILES,
     "class_histogram": CLASS_HISTOGRAM,

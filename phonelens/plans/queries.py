@@ -455,3 +455,11 @@ def _q_ctr(spark, d):
 def _q_sr(spark, d):
     """The segment report (C4-C8) of the labelled users as one table."""
     return segment_report(_labels(spark, d), views.app(spark, d), _voice(spark, d), views.sms(spark, d))
+
+
+@register("class_daily_quantiles")
+def _q_cdq(spark, d):
+    """C10, daily measures: quantiles per class of each phone-day's mean
+    duration, all calls / as caller / as called."""
+    daily = V.daily_mean_duration(_voice(spark, d))
+    return P.class_quantiles(daily, _labels(spark, d), ["dur_mean", "dur_mean_out", "dur_mean_in"])
