@@ -38,13 +38,14 @@ def baseline_dataset(users: DataFrame, voice: DataFrame, sms: DataFrame, app: Da
 
 
 def outer_dataset(users: DataFrame, voice: DataFrame, sms: DataFrame, app: DataFrame,
-                  months: list[str], callbacks: DataFrame | None = None) -> DataFrame:
+                  months: list[str] | None, callbacks: DataFrame | None = None) -> DataFrame:
     """F8: users with the ARPU mean (F4), full-outer-joined to voice (F7),
     SMS (F5) and app months (F6).  Phones absent from the user table keep
     a NULL label and split; they are not training rows.  ``callbacks``
     (G3's ``recall``, ``call``) is the optional block the source loaded and
-    never merged (D8)."""
-    u = user_arpu_mean(users, months)
+    never merged (D8).  ``months=None`` keeps the user table as it is (the
+    source's test users, which have one month only)."""
+    u = users if months is None else user_arpu_mean(users, months)
     out = (u.join(voice_features_b(voice), KEY, "full")
            .join(sms_features_b(sms), KEY, "full")
            .join(app_months(app), KEY, "full"))

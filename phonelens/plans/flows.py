@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonelens import constants as K
-from phonelens.plans.dataset import baseline_dataset
-from phonelens.plans.model import FlowResult, TreeParams, category_sizes, kfold_train_score, split_train_test
-from phonelens.plans.model import write_submissions
+from phonelens.plans.dataset import align_columns, baseline_dataset, outer_dataset
+from phonelens.plans.model import (
+    SECOND_FLOW, FlowResult, TreeParams, category_sizes, kfold_mean_offset, kfold_train_score, split_train_test,
+    write_submissions)
+from phonelens.sources.sinks import write_submission
 from phonelens.sources.loader import load, load_log_pair
 from phonelens.sources.schemas import ARPU_MONTHS, TEST_ARPU
 from phonelens.operators.user import keep_last_month
@@ -42,3 +44,28 @@ def first_flow(spark: SparkSession, base: str, out: str | None = None, fmt: str
     if out is not None:
         write_submissions(res.submission, out)
     return res
+
+
+def second_flow(spark: SparkSession, base: str, out: str | None = None, fmt: str = "csv",
+                params: TreeParams | None = None) -> FlowResult:
+    """The source's second (switched-off) run: per split, users (training
+    users with the ARPU mean) full-outer-joined to the voice, SMS and app
+    blocks; features filled with 0; test columns aligned to training ones
+    (its month renamed ``arpu_``); 3 folds; mean score minus 0.3, written
+    as ``(phone_no_m, label)`` under ``out``."""
+    def logs(split):
+        return [load(spark, base, f"{split}_{name}", fmt) for name in ("voc", "sms", "app")]
+
+    train_u = load(spark, base, "train_user", fmt).withColumn("split", F.lit("train"))
+    test_u = (load(spark, base, "test_user", fmt).withColumnRenamed(TEST_ARPU, "arpu_")
+              .withColumn("label", F.lit(None).cast("int")).withColumn("split", F.lit("test")))
+    train_ds = outer_dataset(train_u, *logs("train"), ARPU_MONTHS)
+    test_ds = outer_dataset(test_u, *logs("test"), None)
+    test_ds = test_ds.select("phone_no_m", *align_columns(train_ds, test_ds).columns, "label")
+    train, _, feats = split_train_test(train_ds)
+    _, test, _ = split_train_test(test_ds.withColumn("split", F.lit("test")))
+    res = kfold_mean_offset(train, test, feats, k=K.SECOND_FOLDS, seed=K.SECOND_SEED,
+                            params=params or SECOND_FLOW)
+    if out is not None:
+        write_submission(res.submission, f"{out.rstrip('/')}/second_submission")
+    return res

@@ -4,6 +4,7 @@ import os
 import tempfile
 
 import numpy as np
+import pytest
 
 from phonelens.plans.flows import first_flow
 from phonelens.plans.model import TreeParams
@@ -17,11 +18,16 @@ def _csv(path, header, rows):
             f.write(",".join("" if v is None else str(v) for v in r) + "\n")
 
 
-def test_first_flow_on_csv_tables(spark):
+TEST_PHONES = [f"t{i}" for i in range(12)]
+
+
+@pytest.fixture(scope="module")
+def tables():
+    """The eight source tables as CSV with headers in a fresh folder."""
     rng = np.random.default_rng(3)
     d = tempfile.mkdtemp(prefix="phonelens-flow-", dir="/tmp")
     train = [f"p{i}" for i in range(60)]
-    test = [f"t{i}" for i in range(12)]
+    test = TEST_PHONES
     labels = {p: int(i % 4 == 0) for i, p in enumerate(train)}
     _csv(os.path.join(d, "train_user.csv"),
          ["phone_no_m", "city_name", "county_name", "idcard_cnt", *ARPU_MONTHS, "label"],
@@ -45,8 +51,25 @@ def test_first_flow_on_csv_tables(spark):
         _csv(os.path.join(d, f"{split}_voc.csv"), voc_h, voc)
         _csv(os.path.join(d, f"{split}_sms.csv"), sms_h, sms)
         _csv(os.path.join(d, f"{split}_app.csv"), app_h, app)
+    return d
+
+
+def test_first_flow_on_csv_tables(spark, tables):
+    d = tables
     out = os.path.join(d, "out")
     res = first_flow(spark, d, out, params=TreeParams(max_iter=5, min_instances=2))
     sub = spark.read.option("header", True).csv(os.path.join(out, "submission"))
-    assert sorted(r["phone_no_m"] for r in sub.collect()) == sorted(test)
+    assert sorted(r["phone_no_m"] for r in sub.collect()) == sorted(TEST_PHONES)
     assert res.fold_scores.count() == 5
+
+
+def test_second_flow_on_csv_tables(spark, tables):
+    from phonelens.plans.flows import second_flow
+    d = tables
+    out = os.path.join(d, "out2")
+    res = second_flow(spark, d, out, params=TreeParams(max_iter=3, min_instances=2, feature_subset="all",
+                                                       subsampling_rate=1.0, max_bins=32))
+    sub = spark.read.option("header", True).csv(os.path.join(out, "second_submission"))
+    assert sub.columns == ["phone_no_m", "label"] and sub.count() == 12
+    assert all(-0.3 <= float(r["label"]) <= 0.7 for r in sub.collect())
+    assert res.importances.count() > 0
