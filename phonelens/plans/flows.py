@@ -69,3 +69,25 @@ def second_flow(spark: SparkSession, base: str, out: str | None = None, fmt: str
     if out is not None:
         write_submission(res.submission, f"{out.rstrip('/')}/second_submission")
     return res
+
+
+def coverage_flow(spark: SparkSession, base: str, fmt: str = "csv") -> tuple[DataFrame, DataFrame]:
+    """The source's coverage script: training users missing from each
+    training log with the scam numbers among them (C1), and test users
+    missing from the test voice log (C2)."""
+    from phonelens.operators.coverage import log_coverage, test_coverage
+    users = load(spark, base, "train_user", fmt)
+    logs = {name: load(spark, base, f"train_{name}", fmt) for name in ("voc", "sms", "app")}
+    return (log_coverage(users, logs),
+            test_coverage(load(spark, base, "test_user", fmt), load(spark, base, "test_voc", fmt)))
+
+
+def segment_flow(spark: SparkSession, base: str, fmt: str = "csv") -> DataFrame:
+    """The source's segment report over the training tables, with the
+    source's bounds (fewer than 2 app months, more than 100 contacts, more
+    than 10 handsets)."""
+    from phonelens.plans.report import segment_report
+    labels = load(spark, base, "train_user", fmt).select("phone_no_m", "label")
+    return segment_report(labels, load(spark, base, "train_app", fmt), load(spark, base, "train_voc", fmt),
+                          load(spark, base, "train_sms", fmt), max_months=K.LOW_USAGE_MONTHS,
+                          contacts_over=K.SOURCE_CONTACTS_OVER, handsets_over=K.SOURCE_HANDSETS_OVER)

@@ -73,3 +73,14 @@ def test_second_flow_on_csv_tables(spark, tables):
     assert sub.columns == ["phone_no_m", "label"] and sub.count() == 12
     assert all(-0.3 <= float(r["label"]) <= 0.7 for r in sub.collect())
     assert res.importances.count() > 0
+
+
+def test_coverage_and_segment_flows(spark, tables):
+    from phonelens.plans.flows import coverage_flow, segment_flow
+    cov, test_cov = coverage_flow(spark, tables)
+    assert {r["log"]: r["missing"] for r in cov.collect()} == {"voc": 0, "sms": 0, "app": 0}
+    assert test_cov.first()["missing"] == 0
+    rep = {(r["part"], r["label"], r["metric"]): r["value"] for r in segment_flow(spark, tables).collect()}
+    # every training phone has one app month: all are in the low-usage segment
+    assert rep[("app_months", 0, "low_usage")] + rep[("app_months", 1, "low_usage")] == 60
+    assert rep[("voice_contacts", 1, "over_bound")] == 0
