@@ -3,7 +3,8 @@
 ``row_number() over (partition by label order by ...)`` puts a whole class
 in one task.  Here the rows are range-partitioned and sorted by (group,
 order) across all tasks, each task numbers its own rows, and a small table
-of per-(task, group) counts turns local numbers into global ranks.  The
+of per-(task, group) counts turns local numbers into global ranks (a large
+group, such as a phone with a third of all rows, spans many tasks).  The
 sorted data is checkpointed to the session's checkpoint folder so the
 numbering and the counts read the very same partitions.
 """
@@ -24,9 +25,12 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], rank_col: str = "_
     """Add a 0-based ``rank_col`` within each ``by`` group following
     ``order`` (ties get distinct, arbitrary-but-fixed ranks).
 
-    ``by`` must be low-cardinality (classes, column names); group keys
-    must not be NULL.  The range sort reads ``df`` twice (bounds sample,
-    then sort): materialize an expensive input first."""
+    ``by`` may have any cardinality: the offsets table has one row per
+    (task, group) present in that task — about groups + tasks rows, since a
+    group spans several tasks only when it is large.  It is broadcast when
+    small (classes, column names) and joined by shuffle otherwise (phones).
+    Group keys must not be NULL.  The range sort reads ``df`` twice (bounds
+    sample, then sort): materialize an expensive input first."""
     srt = materialize(df.orderBy(*[F.col(c) for c in by], *order)
                       .withColumn("_pid", F.spark_partition_id())
                       .withColumn("_mid", F.monotonically_increasing_id()))
