@@ -90,3 +90,22 @@ def test_align_columns(spark):
     out = DS.align_columns(train, test, rename={"arpu_x": "arpu_"})
     assert out.columns == ["f1", "arpu_"]
     assert out.first()["arpu_"] == 4.0
+
+
+def test_class_split_keeps_labelled_rows(spark):
+    u = _users(spark).filter("split = 'train'")
+    got = rows(C.class_split(_voice(spark), u), "phone_no_m", "label")
+    assert got == [("a", 1), ("a", 1)]
+
+
+def test_monthly_flow_change_and_daily_ratio(spark):
+    from phonelens.operators import app as A
+    from phonelens.operators import voice as V
+    app = fx.app(spark, [("a", "w", 10.0, "2020-01"), ("a", "w", 5.0, "2020-01"), ("a", "q", 40.0, "2020-03")])
+    got = rows(A.monthly_flow_change(app), "month_id", "month_flow", "flow_change")
+    assert got == [("2020-01", 15.0, None), ("2020-03", 40.0, 25.0)]
+    log = fx.voice(spark, [("a", "x", 1, fx.ts(1), 1.0, "c", "k", "h"), ("a", "y", 2, fx.ts(1), 1.0, "c", "k", "h"),
+                           ("a", "y", 2, fx.ts(1), 1.0, "c", "k", "h"), ("a", "y", 2, fx.ts(2), 1.0, "c", "k", "h")])
+    r = by_key(V.daily_in_out_ratio(log))["a"]
+    # day 1: 2 called / 1 caller = 2.0; day 2: no caller row -> NULL, left out of the mean
+    assert r["in_out_ratio_mean"] == 2.0 and r["active_days"] == 2
