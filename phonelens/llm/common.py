@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,3 +34,9 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     columns of the input can neither clash nor be scanned."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                        F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def conf_bytes(spark: SparkSession, key: str) -> int:
+    """A size setting ("16m", "128MB", "134217728b") in bytes."""
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)i?b?", str(spark.conf.get(key)).strip().lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]

@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonelens.llm import decontaminate, licenses, packing, quality, sharding, token_counts
+from phonelens.llm import (
+    decontaminate, lattice_lm, licenses, line_dedup, ngram_join, packing, quality, sharding, substring_dedup, token_counts)
 from phonelens.llm.common import read_table
 
 N_SHARDS = 24
@@ -16,6 +17,18 @@ PIECE_MODEL = "piece_bpe_32k.model"
 WORD_TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_line_dedup(spark, sf_dir) -> DataFrame:
+    """Operator 1 over all documents: the class of every line."""
+    return line_dedup.line_classes(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "line_no", "class_doc_id", "class_line_no", "kept")
+
+
+def op2_substring_dedup(spark, sf_dir) -> DataFrame:
+    """Operator 2 over all documents: windows of 50 words."""
+    return substring_dedup.without_repeats(read_table(spark, sf_dir, "documents"), with_text=False).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_hash_tree(spark, sf_dir) -> DataFrame:
     """Operator 3 over all documents: 24 shards, law ``key``."""
     root = sharding.tree(N_SHARDS)
@@ -29,12 +42,22 @@ def op4_quality_rules(spark, sf_dir) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_lattice_lm(spark, sf_dir) -> DataFrame:
+    """Operator 5 over all documents."""
+    return lattice_lm.lattice_scores(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
+
+
 def op6_token_counts(spark, sf_dir) -> DataFrame:
     """Operator 6 over all documents."""
     t = token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
     return t.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op7_ngram_join(spark, sf_dir) -> DataFrame:
+    """Operator 7 over all documents: four-word shingles, similarity 0.85."""
+    return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op8_decontaminate(spark, sf_dir) -> DataFrame:
     """Operator 8: all benchmark items in all documents."""
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -50,7 +73,8 @@ def op10_licenses(spark, sf_dir) -> DataFrame:
     return licenses.license_matches(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_hash_tree, op4_quality_rules, op6_token_counts, op8_decontaminate,
-                                   op9_packing, op10_licenses)}
+QUERIES = {f.__name__: f for f in (
+    op1_line_dedup, op2_substring_dedup, op3_hash_tree, op4_quality_rules, op5_lattice_lm, op6_token_counts,
+    op7_ngram_join, op8_decontaminate, op9_packing, op10_licenses)}
 
 ORACLE_SQL: dict[str, str] = {}

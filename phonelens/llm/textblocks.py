@@ -87,12 +87,13 @@ class Words:
         return span_hash(_byte_values(lower)[self.raw], self.start, self.end)
 
 
-def blocks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets) for runs of rows of about BLOCK_BYTES."""
+def blocks(batch: pa.RecordBatch, column: str = "text",
+           size: int = BLOCK_BYTES) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets) for runs of rows of about ``size`` bytes."""
     raw, offsets = string_buffer(batch.column(column))
     at = 0
     while at < batch.num_rows:
-        to = int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, "right")) - 1
+        to = int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1
         to = min(max(to, at + 1), batch.num_rows)
         yield slice(at, to), raw[offsets[at]: offsets[to]], offsets[at: to + 1] - offsets[at]
         at = to
