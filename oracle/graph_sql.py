@@ -110,7 +110,7 @@ FROM cc JOIN users u ON u.phone_no_m = cc.phone_no_m WHERE u.split = 'train' GRO
 _SEG = """tu AS (SELECT phone_no_m, label FROM users WHERE split = 'train'),
 m AS (SELECT phone_no_m, count(DISTINCT month_id) AS months FROM app WHERE phone_no_m IS NOT NULL GROUP BY 1),
 seg AS (SELECT tu.phone_no_m, tu.label FROM tu LEFT JOIN m ON m.phone_no_m = tu.phone_no_m
-        WHERE coalesce(m.months, 0) < 2)"""
+        WHERE coalesce(m.months, 0) < 8)"""
 
 LOG_COVERAGE = """
 WITH tu AS (SELECT * FROM users WHERE split = 'train')
@@ -132,7 +132,7 @@ AND phone_no_m NOT IN (SELECT phone_no_m FROM voice WHERE phone_no_m IS NOT NULL
 LOW_USAGE_SEGMENT = f"""
 WITH {_SEG}
 SELECT tu.label, count(*) AS users, count(m.phone_no_m) AS app_phones,
-       count(*) FILTER (WHERE coalesce(m.months, 0) < 2) AS low_usage
+       count(*) FILTER (WHERE coalesce(m.months, 0) < 8) AS low_usage
 FROM tu LEFT JOIN m ON m.phone_no_m = tu.phone_no_m GROUP BY 1
 """
 
@@ -172,6 +172,43 @@ t AS (
 SELECT phone_no_m, {S("call * (CAST(recall AS DOUBLE) / NULLIF(call, 0))", "kkk")} FROM t
 """
 
+RECALL_TRAIN = f"""
+WITH tv AS (SELECT * FROM voice WHERE phone_no_m IN (SELECT phone_no_m FROM users WHERE split = 'train')),
+{_cc("tv")}, {_rr("voice")},
+rows_ AS (SELECT phone_no_m, count(*) AS c FROM voice WHERE phone_no_m IS NOT NULL GROUP BY 1)
+SELECT phone_no_m, recall, call, {S("recall / NULLIF(call, 0)", "re_ratio")}, 'distinct_contacts' AS measure
+FROM cc WHERE call > 0
+UNION ALL
+SELECT cc.phone_no_m, coalesce(rr.recall, 0) AS recall, rows_.c AS call,
+       {S("coalesce(rr.recall, 0) / NULLIF(rows_.c, 0)", "re_ratio")}, 'rows' AS measure
+FROM cc JOIN rows_ ON rows_.phone_no_m = cc.phone_no_m LEFT JOIN rr ON rr.phone_no_m = cc.phone_no_m
+WHERE cc.call = 0
+"""
+
+CONTACT_EDGES_REVERSED = """
+SELECT phone_no_m, contact, direction, count(*) AS n, 'call' AS channel FROM (
+  SELECT phone_no_m, opposite_no_m AS contact, CASE calltype_id WHEN 1 THEN 'out' ELSE 'in' END AS direction
+  FROM voice WHERE calltype_id IN (1, 2)
+  UNION ALL
+  SELECT opposite_no_m, phone_no_m, 'in' FROM voice WHERE calltype_id = 1)
+WHERE phone_no_m IS NOT NULL AND contact IS NOT NULL GROUP BY 1, 2, 3
+"""
+
+CLASS_SPLIT_CALLS = f"""
+SELECT u.label, count(*) AS rows, count(DISTINCT v.phone_no_m) AS phones, {S("coalesce(sum(v.call_dur), 0)", "seconds")}
+FROM voice v JOIN users u ON u.phone_no_m = v.phone_no_m WHERE u.split = 'train' GROUP BY 1
+"""
+
+BOTH_SPLITS = """
+SELECT v.phone_no_m, count(*) AS rows FROM voice v JOIN users u ON u.phone_no_m = v.phone_no_m GROUP BY 1
+"""
+
+TEXT_TIME_PARTS = """
+SELECT CAST(month(request_datetime) AS INTEGER) AS month, strftime(request_datetime, '%H:%M:%S') AS time, count(*) AS rows
+FROM sms GROUP BY 1, 2
+"""
+
+
 def _unpivot(sql: str, part: str, metrics: list[str]) -> str:
     return "\nUNION ALL\n".join(
         f"SELECT '{part}' AS part, label, '{m}' AS metric, CAST({m} AS BIGINT) AS value FROM ({sql}) x"
@@ -190,6 +227,11 @@ SEGMENT_REPORT = "\nUNION ALL\n".join([
 ])
 
 QUERIES = {
+    "recall_train": RECALL_TRAIN,
+    "contact_edges_reversed": CONTACT_EDGES_REVERSED,
+    "class_split_calls": CLASS_SPLIT_CALLS,
+    "both_splits": BOTH_SPLITS,
+    "text_time_parts": TEXT_TIME_PARTS,
     "segment_report": SEGMENT_REPORT,
     "callback_times_ratio": CALLBACK_TIMES_RATIO,
     "handset_day_max": HANDSET_DAY_MAX,

@@ -91,16 +91,16 @@ SELECT j.phone_no_m, j.label, j.fold, {S("j.call_dur_mean", "call_dur_mean")},
 FROM j JOIN e USING (fold)
 """
 
-FOLD_MEAN = f"""
-WITH {_FOLDS}, {_DUR},
+FOLD_MEAN_BODY = f"""{_FOLDS}, {_DUR},
 tr AS (SELECT f.fold, dm.call_dur_mean FROM folds f JOIN dm USING (phone_no_m)),
 e AS (SELECT k.fold, min(tr.call_dur_mean) AS lo, max(tr.call_dur_mean) AS hi
       FROM (SELECT unnest(range(5)) AS fold) k JOIN tr ON tr.fold <> k.fold GROUP BY k.fold),
-te AS (SELECT u.phone_no_m, dm.call_dur_mean FROM users u JOIN dm USING (phone_no_m) WHERE u.split = 'test')
-SELECT te.phone_no_m,
-       {S("avg(CASE WHEN e.hi - e.lo = 0 THEN 0.0 ELSE (te.call_dur_mean - e.lo) / (e.hi - e.lo) END)", "prob")}
-FROM te, e GROUP BY te.phone_no_m
-"""
+te AS (SELECT u.phone_no_m, dm.call_dur_mean FROM users u JOIN dm USING (phone_no_m) WHERE u.split = 'test'),
+fm AS (SELECT te.phone_no_m,
+              avg(CASE WHEN e.hi - e.lo = 0 THEN 0.0 ELSE (te.call_dur_mean - e.lo) / (e.hi - e.lo) END) AS prob
+       FROM te, e GROUP BY te.phone_no_m)"""
+
+FOLD_MEAN = f"WITH {FOLD_MEAN_BODY} SELECT phone_no_m, {S('prob', 'prob')} FROM fm"
 
 _SCORES = f"""{_LABELLED}, {_DUR},
 j AS (SELECT tu.phone_no_m, tu.label, dm.call_dur_mean AS x FROM tu LEFT JOIN dm USING (phone_no_m)),
@@ -117,6 +117,16 @@ WITH {_SCORES}, {_CUT89}
 SELECT s.phone_no_m, {S("s.prob", "prob")}, coalesce(s.prob > cut.c, false) AS label FROM s, cut
 """
 
+FIXED_OFFSET = f"""
+WITH {_SCORES} SELECT phone_no_m, {S("prob - 0.3", "label")} FROM s
+"""
+
+ENSEMBLE_CUT = f"""
+WITH {FOLD_MEAN_BODY},
+cut AS (SELECT round_even(quantile_cont(prob, 0.89) * 10000, 0) / 10000 AS c FROM fm)
+SELECT fm.phone_no_m, {S("fm.prob", "prob")}, coalesce(fm.prob > cut.c, false) AS label FROM fm, cut
+"""
+
 F1_SCORE = f"""
 WITH {_SCORES}, {_CUT89},
 d AS (SELECT s.label, coalesce(s.prob > cut.c, false) AS pred FROM s, cut),
@@ -161,6 +171,8 @@ FROM users u LEFT JOIN vb ON vb.phone_no_m = u.phone_no_m
 """
 
 QUERIES = {
+    "fixed_offset": FIXED_OFFSET,
+    "ensemble_cut": ENSEMBLE_CUT,
     "users_voice_features_b": USERS_VOICE_FEATURES_B,
     "dataset_left": DATASET_LEFT,
     "dataset_outer": DATASET_OUTER,

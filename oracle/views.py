@@ -21,8 +21,7 @@ APP = """app AS (
   SELECT o.o_custkey AS phone_no_m, p.p_brand AS busi_name, l.l_extendedprice AS flow,
          strftime(o.o_orderdate, '%Y-%m') AS month_id
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-       JOIN part p ON l.l_partkey = p.p_partkey
-  WHERE o.o_orderdate >= TIMESTAMP '2001-01-01')"""
+       JOIN part p ON l.l_partkey = p.p_partkey)"""
 
 USERS = """arpu AS (
   SELECT o_custkey,

@@ -51,4 +51,5 @@ SHARED_HANDSET_PHONES_OVER = 1
 
 # Not from the source: bounds that split the shared test tables (FIXTURES.md)
 FIXTURE_CONTACTS_OVER = 40
+FIXTURE_LOW_MONTHS = 8
 FIXTURE_HANDSETS_OVER = 40

@@ -34,10 +34,12 @@ def np_round(x: Column | str, digits: int = 4) -> Column:
 def sig_round(x: Column | str, digits: int = 10) -> Column:
     """Round to ``digits`` significant digits (half to even).
 
-    Used to compare doubles whose last bits depend on summation order."""
+    Used to compare doubles whose last bits depend on summation order.
+    Infinite and near-denormal values stay as they are."""
     x = _c(x)
+    apart = (F.abs(x) == float("inf")) | (F.abs(x) < 1e-290)
     scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(x))))
-    return F.when(x.isNull() | (x == 0) | F.isnan(x), x).otherwise(F.rint(x * scale) / scale)
+    return F.when(x.isNull() | (x == 0) | F.isnan(x) | apart, x).otherwise(F.rint(x * scale) / scale)
 
 
 # Doubles are first snapped to 14 significant digits, which absorbs the
@@ -70,12 +72,6 @@ def nan_text(c: Column | str) -> Column:
     return F.coalesce(_c(c).cast("string"), F.lit("nan"))
 
 
-def mode_of(count: Column, value: Column) -> Column:
-    """G-mode as an aggregate over (value, count) rows: the value with the
-    highest count, the smallest value on ties.  Returns struct(neg_n, v)."""
-    return F.min(F.struct((-count).alias("neg_n"), value.alias("v")))
-
-
 def parse_datetime(text: Column | str, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     """Text -> timestamp without zone; unparsable text gives NULL."""
     return F.try_to_timestamp(_c(text), F.lit(fmt)).cast("timestamp_ntz")

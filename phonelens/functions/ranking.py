@@ -43,26 +43,46 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], rank_col: str = "_
         "_pid", "_mid", "_first", "_off")
 
 
+def cumulative(df: DataFrame, by: list[str], order: str, weight: str) -> DataFrame:
+    """Add ``_start`` (weights of the group's rows before this one) and
+    ``_total`` (the group's weight) to rows that are distinct on (by, order).
+
+    Distinct values sort apart, so a value that a third of all rows share
+    is one light row, and a group with many values spans many tasks.  Group
+    keys must not be NULL."""
+    keys = [F.col(c) for c in by]
+    srt = materialize(df.orderBy(*keys, F.col(order)).withColumn("_pid", F.spark_partition_id()))
+    here = Window.partitionBy("_pid", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = srt.groupBy("_pid", *by).agg(F.sum(weight).alias("_cnt"))
+    before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", *by, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
+                            F.sum("_cnt").over(Window.partitionBy(*by)).alias("_total"))
+    run = srt.withColumn("_run", F.sum(weight).over(here))
+    out = join_bounded(run, offsets, ["_pid", *by], max_rows=MAX_BROADCAST_OFFSETS)
+    return out.withColumn("_start", F.col("_off") + F.col("_run") - F.col(weight)).drop("_pid", "_run", "_off")
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
     """Linear-interpolation quantiles (numpy ``percentile`` / SQL
     ``quantile_cont``) of ``value`` per ``by`` group, one row per
     (group, prob): columns ``*by, prob, q``.
 
-    Position ``p·(n-1)``; the two neighbouring order statistics are fetched
-    by rank with an equi-join, so no group is ever collected."""
+    Rows are first counted per distinct value.  Position ``p·(n-1)`` lies
+    between two order statistics; a row knows from its start and weight
+    which positions it holds, so all others are filtered before the last
+    grouping, which sees two rows per (group, prob)."""
     by = by or []
     base = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
-    r = ranked(base, by, [F.col("_x")], "_rank")
-    sizes = r.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    r = cumulative(base.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_w")), by, "_x", "_w")
     wanted = F.array(*[F.lit(float(p)) for p in probs])
-    targets = sizes.select(*by, "_n", F.explode(wanted).alias("prob"))
-    targets = targets.select(*by, "prob", ((F.col("_n") - 1).cast("double") * F.col("prob")).alias("_pos"))
-    targets = targets.select("*", F.floor("_pos").cast("long").alias("_lo"),
-                             F.ceil("_pos").cast("long").alias("_hi"))
-    lo = r.select(*by, F.col("_rank").alias("_lo"), F.col("_x").alias("_xlo"))
-    hi = r.select(*by, F.col("_rank").alias("_hi"), F.col("_x").alias("_xhi"))
-    j = targets.join(lo, [*by, "_lo"]).join(hi, [*by, "_hi"])
-    frac = F.col("_pos") - F.col("_lo")
-    q = F.when(F.col("_lo") == F.col("_hi"), F.col("_xlo")).otherwise(
-        F.col("_xlo") + (F.col("_xhi") - F.col("_xlo")) * frac)
-    return j.select(*by, "prob", q.alias("q"))
+    pos = lambda p: (F.col("_total") - 1).cast("double") * p
+    holds = lambda at: (F.col("_start") <= at) & (at < F.col("_start") + F.col("_w"))
+    mine = F.filter(wanted, lambda p: holds(F.floor(pos(p))) | holds(F.ceil(pos(p))))
+    rows = r.withColumn("_mine", mine).filter(F.size("_mine") > 0).select("*", F.explode("_mine").alias("prob"))
+    p = pos(F.col("prob"))
+    ends = rows.groupBy(*by, "prob").agg(
+        F.max(F.when(holds(F.floor(p)), F.col("_x"))).alias("_xlo"),
+        F.max(F.when(holds(F.ceil(p)), F.col("_x"))).alias("_xhi"), F.max(p - F.floor(p)).alias("_frac"))
+    q = F.when(F.col("_frac") == 0, F.col("_xlo")).otherwise(
+        F.col("_xlo") + (F.col("_xhi") - F.col("_xlo")) * F.col("_frac"))
+    return ends.select(*by, "prob", q.alias("q"))

@@ -57,11 +57,3 @@ def when_any(flag: str, value: Column) -> Column:
     """value where a level-2 count ``flag`` is positive, else NULL (pandas
     left-joined a sub-table that had no row for the key)."""
     return F.when(F.col(flag) > 0, value)
-
-
-def grain_median(grain: str) -> Column:
-    """Exact median of a grain's values weighted by their row counts (the
-    median of the raw rows), without a per-group map at level 1."""
-    inside = is_grain(grain)
-    return F.percentile(F.when(inside, F.col(grain_value(grain))), F.lit(0.5),
-                        F.when(inside, F.col("_n")).otherwise(F.lit(0)))

@@ -90,6 +90,6 @@ def segment_callback(segment: DataFrame, log: DataFrame) -> DataFrame:
     Segment phones with no voice row count as (0, 0)."""
     cb = graph.callback_count(log)
     seg = (segment.select(KEY, "label").join(cb, KEY, "left")
-           .select(KEY, "label", F.coalesce(F.col("recall"), F.lit(0)).alias("recall"),
+           .select("label", F.coalesce(F.col("recall"), F.lit(0)).alias("recall"),
                    F.coalesce(F.col("call"), F.lit(0)).alias("call")))
-    return graph.callback_share(seg.drop("label"), seg.select(KEY, "label"))
+    return seg.groupBy("label").agg(*graph.share_counts())

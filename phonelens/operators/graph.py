@@ -11,7 +11,7 @@ type-1 rows of the phone's own log, ``in`` = type-2 rows; with
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phonelens.functions.expr import safe_ratio
@@ -54,11 +54,18 @@ def _callbacks_per_phone(pairs: DataFrame) -> DataFrame:
 
 
 def _reciprocated(pairs: DataFrame) -> DataFrame:
+    """Rows that a phone's contacts have with it, by one grouping: both
+    directions of a pair meet under (lesser, greater) phone.  A phone that
+    calls itself is a pair of one direction and counts its own rows."""
     p = pairs.filter(F.col(CONTACT).isNotNull())
-    a = p.select(F.col(KEY).alias("_a"), F.col(CONTACT).alias("_b"))
-    b = p.select(F.col(KEY).alias("_b"), F.col(CONTACT).alias("_a"), "n")
-    return (a.join(b, ["_a", "_b"]).groupBy("_a").agg(F.sum("n").alias("recall"))
-            .withColumnRenamed("_a", KEY))
+    forth = F.col(KEY) <= F.col(CONTACT)
+    both = p.groupBy(F.least(KEY, CONTACT).alias("_lo"), F.greatest(KEY, CONTACT).alias("_hi")).agg(
+        F.sum(F.when(forth, F.col("n"))).alias("_n_lo"), F.sum(F.when(~forth, F.col("n"))).alias("_n_hi"))
+    one = lambda phone, n: F.struct(phone.alias(KEY), n.alias("_n"))
+    lo, hi, n_lo, n_hi = (F.col(c) for c in ("_lo", "_hi", "_n_lo", "_n_hi"))
+    sides = F.when(lo == hi, F.array(one(lo, n_lo))).otherwise(F.array(one(lo, n_hi), one(hi, n_lo)))
+    rows = both.filter((lo == hi) | (n_lo.isNotNull() & n_hi.isNotNull())).select(F.inline(sides))
+    return rows.groupBy(KEY).agg(F.sum("_n").alias("recall"))
 
 
 def callback_count(log: DataFrame) -> DataFrame:
@@ -80,9 +87,8 @@ def reciprocated_rows(log: DataFrame) -> DataFrame:
     """Per phone, over its distinct contacts, the rows in which that
     contact has the phone as contact; phones with 0 are absent.
 
-    The per-phone, per-contact scan of the source is one self-join of the
-    pair counts on swapped keys; each side has one row per pair, so a hot
-    contact never multiplies rows."""
+    The per-phone, per-contact scan of the source is one grouping of the
+    pair counts by unordered pair; a hot contact never multiplies rows."""
     return _reciprocated(contact_pairs(log))
 
 
@@ -93,21 +99,24 @@ def repeat_ratio(log: DataFrame) -> DataFrame:
     return v.groupBy(KEY).agg(safe_ratio(F.count_distinct(CONTACT), F.count(F.lit(1))).alias("repeat_ratio"))
 
 
-def callback_with_fallback(log: DataFrame) -> DataFrame:
-    """The call-back table.  Phones with an outgoing edge take G2
-    (distinct contacts); the others fall back to row counts over the log:
-    ``recall`` = reciprocated rows (G5, 0 if none), ``call`` = the phone's
-    rows.  ``re_ratio`` = recall / call, NULL when call is 0.  ``measure``
-    says which of the two definitions a row uses.  G2, the row counts and
-    G5 all come from the same pair aggregation."""
-    # three consumers prune the pairs differently, so Spark would re-read
+def callback_with_fallback(log: DataFrame, pool: DataFrame | None = None) -> DataFrame:
+    """The call-back table of the phones in ``log``.  Phones with an
+    outgoing edge take G2 (distinct contacts); the others fall back to row
+    counts over ``pool`` (the logs of both splits; ``log`` itself when not
+    given): ``recall`` = reciprocated rows (G5, 0 if none), ``call`` = the
+    phone's rows.  ``re_ratio`` = recall / call, NULL when call is 0.
+    ``measure`` says which of the two definitions a row uses.  Each log is
+    aggregated to pairs once."""
+    # several consumers prune the pairs differently, so Spark would re-read
     # and re-shuffle the log for each; write the pairs once instead
     pairs = materialize(contact_pairs(log))
-    per = _callbacks_per_phone(pairs).join(
-        _reciprocated(pairs).withColumnRenamed("recall", "_rr"), KEY, "left")
+    wide = pairs if pool is None else materialize(contact_pairs(pool))
+    per = _callbacks_per_phone(pairs).drop("rows")
+    rows = wide.groupBy(KEY).agg(F.sum("n").alias("rows"))
+    per = per.join(rows, KEY, "left").join(_reciprocated(wide).withColumnRenamed("recall", "_rr"), KEY, "left")
     fallback = F.col("call") == 0
     recall = F.when(fallback, F.coalesce(F.col("_rr"), F.lit(0))).otherwise(F.col("recall"))
-    call = F.when(fallback, F.col("rows")).otherwise(F.col("call"))
+    call = F.when(fallback, F.coalesce(F.col("rows"), F.lit(0))).otherwise(F.col("call"))
     out = per.select(KEY, recall.alias("recall"), call.alias("call"),
                      F.when(fallback, F.lit("rows")).otherwise(F.lit("distinct_contacts")).alias("measure"))
     return out.select(KEY, "recall", "call", safe_ratio("recall", "call").alias("re_ratio"), "measure")
@@ -120,9 +129,13 @@ def callback_share(callbacks: DataFrame, labels: DataFrame) -> DataFrame:
     ``total`` > 0 the number of phones, so it is non-zero exactly when
     ``recall`` is; no global count is needed."""
     j = callbacks.join(labels.select(KEY, "label"), KEY)
+    return j.groupBy("label").agg(*share_counts())
+
+
+def share_counts() -> list[Column]:
+    """``with_out`` and ``nonzero`` of G7 as aggregates over recall and call."""
     out = F.col("call") != 0
-    return j.groupBy("label").agg(F.count_if(out).alias("with_out"),
-                                  F.count_if(out & (F.col("recall") != 0)).alias("nonzero"))
+    return [F.count_if(out).alias("with_out"), F.count_if(out & (F.col("recall") != 0)).alias("nonzero")]
 
 
 def callback_times_ratio(callbacks: DataFrame) -> DataFrame:

@@ -15,10 +15,14 @@ from phonelens.plans.dataset import align_columns, baseline_dataset, outer_datas
 from phonelens.plans.model import (
     SECOND_FLOW, FlowResult, TreeParams, category_sizes, kfold_mean_offset, kfold_train_score, split_train_test,
     write_submissions)
-from phonelens.sources.sinks import write_submission
+from phonelens.sources.sinks import write_named, write_submission
 from phonelens.sources.loader import load, load_log_pair
 from phonelens.sources.schemas import ARPU_MONTHS, TEST_ARPU
+from phonelens.operators import graph
+from phonelens.operators.app import app_features
+from phonelens.operators.sms import sms_features_a
 from phonelens.operators.user import keep_last_month
+from phonelens.operators.voice import voice_features_a
 
 
 def stack_users(train_user: DataFrame, test_user: DataFrame) -> DataFrame:
@@ -46,21 +50,50 @@ def first_flow(spark: SparkSession, base: str, out: str | None = None, fmt: str
     return res
 
 
+def feature_tables(spark: SparkSession, base: str, out: str, fmt: str = "csv") -> None:
+    """The source's feature run: app, voice and SMS blocks of each split's
+    own logs, written as the six tables that ``load`` finds by name."""
+    for split in ("train", "test"):
+        for name, log, block in (("app", "app", app_features), ("voice", "voc", voice_features_a),
+                                 ("sms", "sms", sms_features_a)):
+            write_named(block(load(spark, base, f"{split}_{log}", fmt)), out, f"{split}_{name}_features")
+
+
+def recall_flow(spark: SparkSession, base: str, out: str, fmt: str = "csv") -> None:
+    """The source's call-back run: per split and channel the table of the
+    split's own log, written as ``{split}_recall_{channel}``; phones without
+    an outgoing edge fall back to the voice rows of both splits."""
+    pool = load_log_pair(spark, base, "voc", fmt)
+    for split in ("train", "test"):
+        for channel, log in (("call", "voc"), ("sms", "sms")):
+            table = graph.callback_with_fallback(load(spark, base, f"{split}_{log}", fmt), pool)
+            write_named(table, out, f"{split}_recall_{channel}")
+
+
 def second_flow(spark: SparkSession, base: str, out: str | None = None, fmt: str = "csv",
-                params: TreeParams | None = None) -> FlowResult:
+                params: TreeParams | None = None, recall: str | None = None) -> FlowResult:
     """The source's second (switched-off) run: per split, users (training
     users with the ARPU mean) full-outer-joined to the voice, SMS and app
     blocks; features filled with 0; test columns aligned to training ones
     (its month renamed ``arpu_``); 3 folds; mean score minus 0.3, written
-    as ``(phone_no_m, label)`` under ``out``."""
+    as ``(phone_no_m, label)`` under ``out``.  The merged data sets are
+    written there too and read back.  ``recall``: the folder of a
+    ``recall_flow``, whose call tables then join the data sets."""
     def logs(split):
         return [load(spark, base, f"{split}_{name}", fmt) for name in ("voc", "sms", "app")]
 
     train_u = load(spark, base, "train_user", fmt).withColumn("split", F.lit("train"))
     test_u = (load(spark, base, "test_user", fmt).withColumnRenamed(TEST_ARPU, "arpu_")
               .withColumn("label", F.lit(None).cast("int")).withColumn("split", F.lit("test")))
-    train_ds = outer_dataset(train_u, *logs("train"), ARPU_MONTHS)
-    test_ds = outer_dataset(test_u, *logs("test"), None)
+    def merged(split, users, months):
+        calls = load(spark, recall, f"{split}_recall_call") if recall else None
+        ds = outer_dataset(users, *logs(split), months, callbacks=calls)
+        if out is None:
+            return ds
+        write_named(ds, out, f"{split}_dataset")
+        return load(spark, out, f"{split}_dataset")
+
+    train_ds, test_ds = merged("train", train_u, ARPU_MONTHS), merged("test", test_u, None)
     test_ds = test_ds.select("phone_no_m", *align_columns(train_ds, test_ds).columns, "label")
     train, _, feats = split_train_test(train_ds)
     _, test, _ = split_train_test(test_ds.withColumn("split", F.lit("test")))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonelens import constants as K
-from phonelens.functions.expr import stable
+from phonelens.functions.expr import month_of, parse_datetime, stable, time_of, zero_sum
 from phonelens.operators import app as A
 from phonelens.operators import coverage as C
 from phonelens.operators import device as D
@@ -242,11 +242,11 @@ def _q_tc(spark, d):
 
 @register("low_usage_segment")
 def _q_lus(spark, d):
-    return C.low_usage_segment(_labels(spark, d), views.app(spark, d), max_months=2)
+    return C.low_usage_segment(_labels(spark, d), views.app(spark, d), max_months=K.FIXTURE_LOW_MONTHS)
 
 
 def _segment(spark, d):
-    return C.low_usage_phones(_labels(spark, d), views.app(spark, d), max_months=2)
+    return C.low_usage_phones(_labels(spark, d), views.app(spark, d), max_months=K.FIXTURE_LOW_MONTHS)
 
 
 @register("segment_voice_contacts")
@@ -339,19 +339,15 @@ def _q_fmean(spark, d):
     scaled with each fold's training extremes (rows outside that fold)."""
     f = materialize(V.voice_features_b(_voice(spark, d)).select("phone_no_m", "call_dur_mean"))
     folds = L.stratified_folds(_labels(spark, d).select("phone_no_m", "label"), k=5, seed=1024)
-    tr = materialize(folds.join(f, "phone_no_m"))
-    per_fold = []
-    for k in range(5):
-        lo_hi = tr.filter(F.col("fold") != k).agg(F.min("call_dur_mean").alias("lo"),
-                                                   F.max("call_dur_mean").alias("hi")).first()
-        span = lo_hi["hi"] - lo_hi["lo"]
-        test = views.test_users(spark, d).select("phone_no_m").join(f, "phone_no_m")
-        per_fold.append(test.select("phone_no_m", F.lit(k).alias("fold"),
-                                    (F.lit(0.0) if span == 0 else
-                                     (F.col("call_dur_mean") - F.lit(lo_hi["lo"])) / F.lit(span)).alias("prob")))
-    allf = per_fold[0]
-    for p in per_fold[1:]:
-        allf = allf.unionByName(p)
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda k: k != F.col("fold")))
+    ends = folds.join(f, "phone_no_m").select(other.alias("fold"), "call_dur_mean").groupBy("fold").agg(
+        F.min("call_dur_mean").alias("lo"), F.max("call_dur_mean").alias("hi"))
+    test = views.test_users(spark, d).select("phone_no_m").join(f, "phone_no_m")
+    spread = F.col("hi") - F.col("lo")
+    allf = (test.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(4))))
+            .join(F.broadcast(ends), "fold")       # five rows
+            .select("phone_no_m", "fold", F.when(spread == 0, F.lit(0.0)).otherwise(
+                (F.col("call_dur_mean") - F.col("lo")) / spread).alias("prob")))
     return L.fold_mean(allf, "prob")
 
 
@@ -437,6 +433,56 @@ def _q_fi(spark, d):
                              params=replace(SECOND_FLOW, max_iter=REGISTRY_ROUNDS)).importances
 
 
+# ---- splits, edges and time parts -------------------------------------------------
+@register("recall_train")
+def _q_rt(spark, d):
+    """G3 of the training users' own voice rows, falling back to all rows."""
+    v = _voice(spark, d)
+    return G.callback_with_fallback(v.join(_labels(spark, d).select("phone_no_m"), "phone_no_m", "left_semi"), v)
+
+
+@register("contact_edges_reversed")
+def _q_cer(spark, d):
+    """G1 with other phones' caller rows as incoming edges."""
+    return G.contact_edges(_voice(spark, d), "call", reverse=True)
+
+
+@register("class_split_calls")
+def _q_csc(spark, d):
+    """The voice rows of each class, counted and summed."""
+    return C.class_split(_voice(spark, d), _labels(spark, d)).groupBy("label").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("phone_no_m").alias("phones"), zero_sum("call_dur").alias("seconds"))
+
+
+@register("both_splits")
+def _q_bs(spark, d):
+    """The voice rows of both splits as one log, counted per phone."""
+    v = _voice(spark, d)
+    of = lambda users: v.join(users.select("phone_no_m"), "phone_no_m", "left_semi")
+    both = of(views.train_users(spark, d)).unionByName(of(views.test_users(spark, d)))
+    return both.groupBy("phone_no_m").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("text_time_parts")
+def _q_ttp(spark, d):
+    """SMS times written as text, parsed, by month and time."""
+    text = F.date_format("request_datetime", "yyyy-MM-dd HH:mm:ss")
+    t = views.sms(spark, d).select(parse_datetime(text).alias("t"))
+    return t.groupBy(month_of("t").alias("month"), time_of("t").alias("time")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("fixed_offset")
+def _q_fo(spark, d):
+    """M14 / P11 over the plain scores."""
+    return L.fixed_offset(_plain_scores(spark, d))
+
+
+@register("ensemble_cut")
+def _q_ec(spark, d):
+    """M10 over fold means (M8): decisions above the rounded percentile."""
+    return L.percentile_cut(_q_fmean(spark, d), 89.0, "prob")
+
+
 # ---- flagship and remaining small operators --------------------------------------
 @register("users_voice_features_b")
 def _q_flag(spark, d):
@@ -454,7 +500,9 @@ def _q_ctr(spark, d):
 @register("segment_report")
 def _q_sr(spark, d):
     """The segment report (C4-C8) of the labelled users as one table."""
-    return segment_report(_labels(spark, d), views.app(spark, d), _voice(spark, d), views.sms(spark, d))
+    return segment_report(_labels(spark, d), views.app(spark, d), _voice(spark, d), views.sms(spark, d),
+                          max_months=K.FIXTURE_LOW_MONTHS, contacts_over=K.FIXTURE_CONTACTS_OVER,
+                          handsets_over=K.FIXTURE_HANDSETS_OVER)
 
 
 @register("class_daily_quantiles")

@@ -26,8 +26,8 @@ def _long(df: DataFrame, part: str) -> DataFrame:
 
 
 def segment_report(labels: DataFrame, app: DataFrame, voice: DataFrame, sms: DataFrame,
-                   max_months: int = K.LOW_USAGE_MONTHS, contacts_over: int = K.FIXTURE_CONTACTS_OVER,
-                   handsets_over: int = K.FIXTURE_HANDSETS_OVER) -> DataFrame:
+                   max_months: int = K.LOW_USAGE_MONTHS, contacts_over: int = K.SOURCE_CONTACTS_OVER,
+                   handsets_over: int = K.SOURCE_HANDSETS_OVER) -> DataFrame:
     """C4-C8 for the labelled users: app usage, the low-usage segment's
     voice and SMS contacts, its call-backs, and handsets per phone."""
     segment = C.low_usage_phones(labels, app, max_months)

@@ -19,16 +19,20 @@ DEFAULT_CONF = {
 }
 
 
+MAX_SHUFFLE_PARTITIONS = 20_000
+
+
 def cluster_conf(input_bytes: int, cores: int, checkpoint_dir: str) -> dict[str, str]:
     """Settings for a cluster run over ``input_bytes`` of logs on ``cores``
     executor cores (to pass to ``SparkSession.builder.config``).
 
-    Shuffle partitions start at about one per 128 MB of input (at least
-    three waves of tasks) and AQE coalesces them to 128 MB after each
-    stage; scans split at 256 MB; skewed joins are split; checkpoints go to
+    Shuffle partitions start at one per GB of input (at least three waves of
+    tasks, at most ``MAX_SHUFFLE_PARTITIONS``: map tasks times partitions is
+    the number of blocks the driver tracks), and AQE coalesces them to
+    128 MB after each stage; scans split at 256 MB; skewed joins are split; checkpoints go to
     the shared ``checkpoint_dir``."""
     mb128 = 128 * 1024 * 1024
-    partitions = max(3 * cores, -(-input_bytes // mb128))
+    partitions = min(MAX_SHUFFLE_PARTITIONS, max(3 * cores, -(-input_bytes // (8 * mb128))))
     return {
         **{k: v for k, v in DEFAULT_CONF.items() if not k.startswith("spark.ui.show")},
         "spark.sql.shuffle.partitions": str(partitions),

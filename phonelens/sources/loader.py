@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phonelens.sources.schemas import SCHEMAS
+from phonelens.sources.schemas import SCHEMAS, WRITTEN
 
 FORMATS = ("csv", "parquet")
 
@@ -19,10 +19,13 @@ def load(spark: SparkSession, base: str, name: str, fmt: str = "csv") -> DataFra
     """Read one logical table (``train_voc``, ``test_user`` ...) from ``base``.
 
     CSV is read with the registered schema and a header (no inference);
-    Parquet keeps its own schema.  Unknown names raise instead of returning
+    Parquet keeps its own schema; tables that runs write are Parquet
+    whatever ``fmt`` says.  Unknown names raise instead of returning
     nothing."""
+    if name in WRITTEN:
+        return spark.read.parquet(path_of(base, name, "parquet"))
     if name not in SCHEMAS:
-        raise ValueError(f"unknown table {name!r}; expected one of {sorted(SCHEMAS)}")
+        raise ValueError(f"unknown table {name!r}; expected one of {sorted([*SCHEMAS, *WRITTEN])}")
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; expected one of {FORMATS}")
     path = path_of(base, name, fmt)

@@ -36,3 +36,9 @@ SCHEMAS = {
     "train_voc": VOICE, "test_voc": VOICE,
     "train_user": TRAIN_USER, "test_user": TEST_USER,
 }
+
+# Tables that runs write (Parquet) and later runs load by name: the feature
+# tables of the first flow, the merged data sets of the second, and the
+# call-back tables.  Their columns follow from the operators.
+WRITTEN = [f"{split}_{name}" for split in ("train", "test") for name in (
+    "app_features", "voice_features", "sms_features", "dataset", "recall_call", "recall_sms")]

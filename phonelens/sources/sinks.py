@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from phonelens.sources.loader import path_of
+from phonelens.sources.schemas import WRITTEN
+
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Feature table / merged data-set / recall table sink (Parquet)."""
@@ -13,6 +16,13 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     w.parquet(path)
 
 
+def write_named(df: DataFrame, base: str, name: str) -> None:
+    """Write one of the tables that ``loader.load`` finds by name."""
+    if name not in WRITTEN:
+        raise ValueError(f"unknown table {name!r}; expected one of {WRITTEN}")
+    write_table(df, path_of(base, name, "parquet"))
+
+
 def write_submission(df: DataFrame, path: str) -> None:
     """Submission sink: CSV with a header, as many files as partitions."""
     df.write.mode("overwrite").option("header", True).csv(path)

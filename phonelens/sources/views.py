@@ -16,24 +16,11 @@ from pyspark.sql import functions as F
 # Order priorities pivoted into monthly-ARPU stand-ins.
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 ARPU_COLS = ["arpu_1", "arpu_2", "arpu_3", "arpu_4", "arpu_5"]
-APP_FROM = "2001-01-01"
 TEST_MODULUS = 5
 
 
-# Log-sized tables.  The shared files hold one row group each, which Spark
-# cannot split, so a scan is one task; these are spread over the cores
-# after the scan.  On real logs (many files / row groups) the scan already
-# has at least as many splits and nothing is added.
-_LARGE = {"lineitem", "orders", "events"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    if name in _LARGE:
-        target = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
-            df = df.repartition(target)
-    return df
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def _calltype_from_flag(flag: Column) -> Column:
@@ -76,10 +63,9 @@ def sms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def app(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """app = lineitem ⋈ orders ⋈ part, orders from 2001 on."""
+    """app = lineitem ⋈ orders ⋈ part."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
-    o = (table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-         .filter(F.col("o_orderdate") >= F.lit(APP_FROM).cast("timestamp_ntz")))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
     return j.select(

@@ -8,7 +8,7 @@ from phonelens.session import cluster_conf
 
 def test_cluster_conf_sizes_partitions_by_bytes():
     conf = cluster_conf(input_bytes=100 * 1024 ** 4, cores=8000, checkpoint_dir="hdfs:///ckpt")
-    assert int(conf["spark.sql.shuffle.partitions"]) == 100 * 1024 ** 4 // (128 * 1024 ** 2)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 20_000
     assert conf["spark.sql.adaptive.enabled"] == "true" and conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
     assert conf["spark.checkpoint.dir"] == "hdfs:///ckpt"
     small = cluster_conf(input_bytes=1024, cores=16, checkpoint_dir="/shared")
