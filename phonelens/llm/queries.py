@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from phonelens.llm import (
     decontaminate, lattice_lm, licenses, line_dedup, ngram_join, packing, quality, sharding, substring_dedup, token_counts)
+from phonelens.llm import oracle
 from phonelens.llm.common import read_table
 
 N_SHARDS = 24
@@ -77,4 +78,14 @@ QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_substring_dedup, op3_hash_tree, op4_quality_rules, op5_lattice_lm, op6_token_counts,
     op7_ngram_join, op8_decontaminate, op9_packing, op10_licenses)}
 
-ORACLE_SQL: dict[str, str] = {}
+# op5 (sums over segmentations), op6 and op9 (a library's merges, a greedy
+# packing) have none: tests/llm holds them against brute-force versions
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": oracle.lines_sql(line_dedup.SHINGLE, line_dedup.PERCENT),
+    "op2_substring_dedup": oracle.substring_sql(substring_dedup.N_WORDS),
+    "op3_hash_tree": oracle.sharding_sql(N_SHARDS),
+    "op4_quality_rules": oracle.quality_sql(),
+    "op7_ngram_join": oracle.jaccard_sql(4, 85),
+    "op8_decontaminate": oracle.decontaminate_sql(),
+    "op10_licenses": oracle.licenses_sql(),
+}
