@@ -9,6 +9,7 @@ cutting is allowed, one piece is cut to fill the rest.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -16,13 +17,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from phonelens.llm.common import id_and_text
+from phonelens.llm.textblocks import Words, blocks
 
-MEMO_ENTRIES = 300_000  # a worker's memory of encoded words; emptied when full, results unaffected
-WAITING = 2048          # pieces that a task holds before it packs them
+MEMO_ENTRIES = 400_000  # of each generation of a worker's memory of encoded words
+WAITING = 1024          # pieces that a task holds before it packs them
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, segment int, loss_tokens long")
 
@@ -110,35 +113,119 @@ class Packer:
         self.next_id += 1
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself
+    where printable and no blank, else the next code point from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class WordEncoder:
-    """Ids of a text as the concatenated ids of its words.
+    """Ids of texts as the concatenated ids of their words.
+
+    The tokenizer drops white space, folds case and never merges across white
+    space, so a word's ids depend neither on its neighbours nor on ASCII
+    case.  Words are split at ASCII white space only (other white space stays
+    in a "word" and the library sees it).  Two more facts of its pattern save
+    work: a run of letters is one pre-token, so words of lower-case letters
+    that are in normal form go to the library's merges without its normaliser
+    and pattern; and one sentence mark behind a letter or an ASCII digit is a
+    pre-token of its own.  Texts that hold a special string go to the library
+    whole.  Encoded words are remembered in two generations: when the younger
+    is full it becomes the older, so frequent words stay."""
 
-    The tokenizer drops white space and never merges across it, so a word's
-    ids do not depend on its neighbours; bytes.split() splits at ASCII white
-    space only (other white space stays in a "word" and the library sees it)."""
+    MARKS = ".,;:!?"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = _byte_letters() | {32: " "}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for p, i in vocabulary.items() if p.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
-        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo = {}
-        memo = self.memo
-        words = [None if any(s in t for s in self.special) else t.encode().split() for t in texts]
-        fresh = list({w for ws in words if ws for w in ws if w not in memo})
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at: at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-        out = []
-        for t, ws in zip(texts, words):
-            raw = (b"".join(map(memo.__getitem__, ws)) if ws is not None else
-                   np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-            out.append(np.frombuffer(raw, "<u4"))
-        return out
+        self.older: dict[bytes, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = {m: self._whole(m) for m in self.MARKS}
+        self.bar, = np.frombuffer(self._whole("|"), "<u4")  # between two words a piece of its own
+
+    def _ids(self, tokenizer, text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _whole(self, text: str) -> bytes:
+        return self._ids(self.tokenizer, text).tobytes()
+
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """Runs of letters: a piece with the end suffix ends each."""
+        ids = self._ids(self.merges, " ".join(words).encode().decode("latin-1").translate(self.letters))
+        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *stops], stops)]
+
+    def _barred(self, words: list[str]) -> list[bytes]:
+        """Other words without a bar: told apart by bars."""
+        ids = self._ids(self.tokenizer, " | ".join(words))
+        ends = np.r_[np.flatnonzero(ids == self.bar), len(ids)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *(e + 1 for e in ends)], ends)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        memo, older, marks = self.memo, self.older, self.marks
+        letters, other, marked = {}, {}, []
+        for w in words:
+            ids = older.get(w)
+            if ids is not None:
+                memo[w] = ids
+                continue
+            s = w.decode()
+            if len(s) > 1 and s[-1] in marks and (s[-2].isalpha() or s[-2] in "0123456789"):
+                marked.append((w, w[:-1], s[-1]))
+                w, s = w[:-1], s[:-1]
+                if w in memo:
+                    continue
+            if s.isalpha() and s == s.lower() and unicodedata.is_normalized("NFC", s):
+                letters[w] = s
+            elif "|" in s:
+                memo[w] = self._whole(s)
+            else:
+                other[w] = s
+        for some, encode in ((letters, self._merged), (other, self._barred)):
+            keys, texts = list(some), list(some.values())
+            for at in range(0, len(keys), 4096):
+                memo.update(zip(keys[at: at + 4096], encode(texts[at: at + 4096]), strict=True))
+        for w, stem, mark in marked:
+            memo[w] = memo[stem] + marks[mark]
+
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text (NULL: empty)."""
+        whole = np.zeros(len(column), bool)
+        for s in self.special:
+            whole |= pc.match_substring(column, s, ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False)
+        batch = pa.RecordBatch.from_arrays([pc.ascii_lower(column)], names=["text"])
+        for span, raw, offsets in blocks(batch):
+            if len(self.memo) > MEMO_ENTRIES:
+                self.memo, self.older = {}, self.memo
+            words = Words(raw, offsets)
+            _, at, place = np.unique(words.hashes(lower=False), return_index=True, return_inverse=True)
+            data = raw.tobytes()
+            names = [data[a:b] for a, b in zip(words.start[at].tolist(), words.end[at].tolist())]
+            self._learn([w for w in names if w not in self.memo])
+            known = [self.memo[w] for w in names]
+            flat = np.frombuffer(b"".join(known), "<u4")
+            size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+            first = np.cumsum(size) - size
+            count = size[place]
+            end = np.cumsum(count)
+            total = int(end[-1]) if len(end) else 0
+            ids = flat[np.repeat(first[place] - (end - count), count) + np.arange(total)]
+            cuts = np.r_[0, end][words.first]
+            for d in range(len(offsets) - 1):
+                if whole[span.start + d]:
+                    text = column[span.start + d].as_py()
+                    yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+                else:
+                    yield ids[cuts[d]: cuts[d + 1]]
 
 
 @lru_cache(maxsize=2)
@@ -177,14 +264,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = encoder.encode(part.column("text").fill_null("").to_pylist())
-                rows = []
-                for doc_id, x in zip(part.column("doc_id").to_pylist(), ids):
-                    x = np.append(x, np.uint32(end_id))
-                    rows += packer.add(Piece(doc_id, 0, x, loss_mask(len(x)), len(x)))
-                if rows:
-                    yield table(rows)
+            rows: list[tuple] = []
+            for doc_id, x in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
+                x = np.append(x, np.uint32(end_id))
+                rows += packer.add(Piece(doc_id, 0, x, loss_mask(len(x)), len(x)))
+            yield table(rows)
         yield table(list(packer.pack()))
     return id_and_text(docs).mapInArrow(run, SCHEMA)
