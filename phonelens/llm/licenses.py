@@ -59,12 +59,11 @@ def size_class(t: int) -> int:
 def grid(top: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int, int]:
     """(window, stride, bands) of a length class, in shingles."""
     if top <= 4:
-        low, stride = top, 1
+        low, stride = top, 1  # 80 % of up to four shingles is all of them
     else:
         low, stride = (4 if top == 8 else top // 2) + 1, top // 4
     window = top + stride - 1
-    shared = math.ceil(threshold * low)
-    j = shared / (window + low - shared)
+    j = min(s / (window + t - s) for t in range(low, top + 1) for s in [math.ceil(threshold * t)])
     return window, stride, 1 if j >= 1 else math.ceil(math.log(miss) / math.log(1 - j))
 
 
@@ -83,9 +82,9 @@ def _shingle_hashes(words: str) -> Column:
     return F.when(n >= SHINGLE, F.transform(side, lambda x: F.xxhash64(x)))
 
 
-def _signature(hashes: Column, bands: int) -> Column:
+def _signature(hashes: Column, bands: Column) -> Column:
     """Per band the least seeded hash, with the shingle hash that has it."""
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.array_min(
+    return F.transform(F.sequence(F.lit(0), bands - 1), lambda k: F.array_min(
         F.transform(hashes, lambda x: F.struct(F.xxhash64(x, k * SEED_STEP).alias("v"), x.alias("x")))))
 
 
@@ -105,7 +104,7 @@ def _signed_templates(spark: SparkSession, templates: dict[str, str], threshold:
     for top, rows in sorted(by.items()):
         df = spark.createDataFrame(rows, "license string, w array<string>, shingles array<string>")
         df = df.withColumn("h", _shingle_hashes("w")).select(
-            "license", "shingles", _signature(F.col("h"), grid(top, threshold)[2]).alias("sig"))
+            "license", "shingles", _signature(F.col("h"), F.lit(grid(top, threshold)[2])).alias("sig"))
         out += [(r.license, r.shingles, top, [(s.v, s.x) for s in r.sig]) for r in df.collect()]
     return out
 
@@ -132,36 +131,40 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None,
     # inline() is a barrier: hashes are made once, and the array test reads them
     d = d.select("doc_id", "w", F.inline(F.array(F.struct(_shingle_hashes("w").alias("h")))))
     d = d.filter(F.arrays_overlap("h", F.array(*[F.lit(x) for x in anchors])))
-    out = None
-    for top in sorted({s[2] for s in signed}):
-        found = _class_matches(d, [s for s in signed if s[2] == top], top, threshold)
-        out = found if out is None else out.unionByName(found)
+    out = _matches(d, signed, threshold)
     best = out.groupBy("doc_id", "license", "n_template").agg(
         F.max(F.struct("n_shared", (-F.col("start")).alias("s"))).alias("m"))
     return best.select("doc_id", "license", F.col("n_template").cast("long").alias("n_template"),
                        F.col("m.n_shared").cast("long").alias("n_shared"), (-F.col("m.s")).cast("long").alias("first_word"))
 
 
-def _class_matches(d: DataFrame, signed: list[tuple], top: int, threshold: float) -> DataFrame:
-    spark, (window, stride, bands) = d.sparkSession, grid(top, threshold)
-    anchors = sorted({x for *_, sig in signed for _, x in sig})
-    # windows that hold a minimum of a template: no other window can share a band
+def _windows(signed: list[tuple], top: int, threshold: float) -> Column:
+    """The windows of a length class that hold a minimum of one of its
+    templates: no other window can share a band."""
+    window, stride, bands = grid(top, threshold)
+    anchors = sorted({x for *_, t, sig in signed if t == top for _, x in sig})
     hits = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.get("h", i).isin(anchors))
     first = lambda i: F.greatest(F.lit(0), F.ceil((i - (window - 1)) / F.lit(stride)).cast("int"))
     at = F.flatten(F.transform(hits, lambda i: F.sequence(first(i), F.floor(i / F.lit(stride)).cast("int"))))
-    d = d.select("doc_id", "w", "h", F.explode(F.array_distinct(at)).alias("g"))
-    d = d.select("doc_id", "w", "h", (F.col("g") * stride).alias("start"))
-    ends = F.least(F.col("start") + window, F.size("h")) - 1
-    place = F.sequence(F.col("start"), ends)
+    return F.transform(F.array_distinct(at), lambda g: F.struct(
+        F.lit(top).alias("top"), F.lit(bands).alias("bands"), (g * stride).alias("start"),
+        F.least(g * stride + window, F.size("h")).alias("stop")))
+
+
+def _matches(d: DataFrame, signed: list[tuple], threshold: float) -> DataFrame:
+    spark = d.sparkSession
+    tops = sorted({t for *_, t, _ in signed})
+    d = d.select("doc_id", "w", "h", F.inline(F.concat(*[_windows(signed, t, threshold) for t in tops])))
+    place = F.sequence(F.col("start"), F.col("stop") - 1)
     text = F.transform(place, lambda i: F.concat_ws(" ", *[F.get("w", i + k) for k in range(SHINGLE)]))
-    d = d.select("doc_id", "start", F.inline(F.array(F.struct(
+    d = d.select("doc_id", "top", "bands", "start", F.inline(F.array(F.struct(
         F.transform(place, lambda i: F.get("h", i)).alias("own"), F.array_distinct(text).alias("text")))))
-    d = d.select("doc_id", "start", "text", F.posexplode(_signature(F.col("own"), bands)).alias("band", "m"))
-    d = d.select("doc_id", "start", "text", "band", F.col("m.v").alias("v"))
-    known = spark.createDataFrame([(name, shingles, k, v) for name, shingles, _, sig in signed
+    d = d.select("doc_id", "top", "start", "text", F.posexplode(_signature(F.col("own"), F.col("bands"))).alias("band", "m"))
+    d = d.select("doc_id", "top", "start", "text", "band", F.col("m.v").alias("v"))
+    known = spark.createDataFrame([(name, shingles, top, k, v) for name, shingles, top, sig in signed
                                    for k, (v, _) in enumerate(sig)],
-                                  "license string, shingles array<string>, band int, v long")
-    got = d.join(F.broadcast(known), ["band", "v"])
+                                  "license string, shingles array<string>, top int, band int, v long")
+    got = d.join(F.broadcast(known), ["top", "band", "v"])
     shared = F.size(F.array_intersect("text", "shingles"))
     got = got.select("doc_id", "start", "license", F.size("shingles").alias("n_template"), shared.alias("n_shared"))
     return got.filter(F.col("n_shared") >= F.lit(threshold) * F.col("n_template"))
