@@ -19,6 +19,8 @@ from phonelens.session import materialize
 
 # Offsets table rows = partitions x groups; broadcast it only below this.
 MAX_BROADCAST_OFFSETS = 200_000
+# Rows of one block of running sums (a divisor of 2**33, the id step between tasks).
+BLOCK_ROWS = 1024
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], rank_col: str = "_rank") -> DataFrame:
@@ -51,15 +53,18 @@ def cumulative(df: DataFrame, by: list[str], order: str, weight: str) -> DataFra
     is one light row, and a group with many values spans many tasks.  Group
     keys must not be NULL."""
     keys = [F.col(c) for c in by]
-    srt = materialize(df.orderBy(*keys, F.col(order)).withColumn("_pid", F.spark_partition_id()))
-    here = Window.partitionBy("_pid", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = srt.groupBy("_pid", *by).agg(F.sum(weight).alias("_cnt"))
-    before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", *by, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
+    # blocks of BLOCK_ROWS neighbours: running sums stay in a block, so the
+    # rows of one large group are many hash keys, not one per task
+    block = F.floor(F.monotonically_increasing_id() / BLOCK_ROWS)
+    srt = materialize(df.orderBy(*keys, F.col(order)).withColumn("_blk", block))
+    here = Window.partitionBy("_blk", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = srt.groupBy("_blk", *by).agg(F.sum(weight).alias("_cnt"))
+    before = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_blk", *by, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
                             F.sum("_cnt").over(Window.partitionBy(*by)).alias("_total"))
     run = srt.withColumn("_run", F.sum(weight).over(here))
-    out = join_bounded(run, offsets, ["_pid", *by], max_rows=MAX_BROADCAST_OFFSETS)
-    return out.withColumn("_start", F.col("_off") + F.col("_run") - F.col(weight)).drop("_pid", "_run", "_off")
+    out = join_bounded(run, offsets, ["_blk", *by], max_rows=MAX_BROADCAST_OFFSETS)
+    return out.withColumn("_start", F.col("_off") + F.col("_run") - F.col(weight)).drop("_blk", "_run", "_off")
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None) -> DataFrame:

@@ -84,3 +84,40 @@ def test_coverage_and_segment_flows(spark, tables):
     # every training phone has one app month: all are in the low-usage segment
     assert rep[("app_months", 0, "low_usage")] + rep[("app_months", 1, "low_usage")] == 60
     assert rep[("voice_contacts", 1, "over_bound")] == 0
+
+
+def test_feature_and_recall_runs_load_by_name(spark, tables):
+    from phonelens.plans.flows import feature_tables, recall_flow, second_flow
+    from phonelens.sources.loader import load
+    out = os.path.join(tables, "named")
+    feature_tables(spark, tables, out)
+    assert load(spark, out, "test_voice_features").count() == 12
+    assert {"phone_no_m", "busi_count"} <= set(load(spark, out, "train_app_features").columns)
+    recall_flow(spark, tables, out)
+    calls = {r["phone_no_m"]: r for r in load(spark, out, "train_recall_call").collect()}
+    # three contacts called (j = 0, 2, 4), none of which also called
+    assert len(calls) == 60 and calls["p0"]["call"] == 3 and calls["p0"]["recall"] == 0
+    assert load(spark, out, "test_recall_sms").count() == 12
+    res = second_flow(spark, tables, out, params=TreeParams(max_iter=2, min_instances=2), recall=out)
+    assert res.submission.count() == 12 and "recall" in load(spark, out, "train_dataset").columns
+
+
+def test_fallback_counts_rows_of_both_splits(spark):
+    from phonelens.operators.graph import callback_with_fallback
+    schema = "phone_no_m string, opposite_no_m string, calltype_id int"
+    train = spark.createDataFrame([("a", "t", 2), ("a", "t", 2), ("b", "a", 1)], schema)
+    test = spark.createDataFrame([("t", "a", 1), ("t", "a", 3)], schema)
+    got = {r["phone_no_m"]: r for r in callback_with_fallback(train, train.unionByName(test)).collect()}
+    # a never called out: its 2 rows, and t's 2 rows with it
+    assert set(got) == {"a", "b"} and (got["a"]["recall"], got["a"]["call"], got["a"]["measure"]) == (2, 2, "rows")
+    assert (got["b"]["recall"], got["b"]["call"]) == (0, 1)
+
+
+def test_two_hundred_counties(spark):
+    import pyspark.sql.functions as F
+    from phonelens.plans.model import kfold_train_score
+    rows = spark.range(400).select(F.concat(F.lit("p"), "id").alias("phone_no_m"), (F.col("id") % 200).cast("int").alias("county_name"),
+                                   (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    res = kfold_train_score(rows, rows.drop("label"), ["county_name", "x"], k=2, params=TreeParams(max_iter=2, min_instances=1),
+                            categorical={"county_name": 200})
+    assert res.submission.count() == 400

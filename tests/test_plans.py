@@ -16,7 +16,7 @@ def _plan(df):
     return qe.executedPlan().toString().split("== Initial Plan ==")[0]
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(E.REGISTRY) - SLOW))
 def test_no_cartesian_or_nested_loop(spark, name):
     plan = _plan(E.queries()[name](spark, SF))
     assert "CartesianProduct" not in plan
@@ -42,5 +42,5 @@ def test_shuffles_are_pre_aggregated_or_by_rank(spark, name):
     for i, line in enumerate(lines):
         if "Exchange hashpartitioning" in line:
             below = "\n".join(lines[i + 1:i + 3])
-            by_rank = any(f"{c}#" in line for c in ("_lo", "_hi", "_pid"))
+            by_rank = any(f"{c}#" in line for c in ("_lo", "_hi", "_pid", "_blk"))
             assert by_rank or "HashAggregate" in below or "ObjectHashAggregate" in below, line

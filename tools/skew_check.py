@@ -57,6 +57,7 @@ def main() -> None:
     from pyspark.sql import SparkSession, Window
     from pyspark.sql import functions as F
 
+    from phonelens.functions.ranking import exact_quantiles
     from phonelens.operators import app as A
     from phonelens.operators import device as D
     from phonelens.operators import graph as G
@@ -79,7 +80,12 @@ def main() -> None:
         "contact_edges": ("voice", "phone_no_m", G.contact_edges),
         # classes are naturally skewed (about 92% label 0): ranks per class
         "stratified_folds": ("users", None, lambda u: L.stratified_folds(u.select("phone_no_m", "label"))),
-        "auc_rank": ("users", None, lambda u: L.auc_rank(u.select(F.col("arpu_1").alias("prob"), "label"))),
+        # many distinct scores over the whole voice log; then nine rows of ten share one value
+        "auc_rank": ("voice", None, lambda v: L.auc_rank(v.select(
+            (F.xxhash64(*v.columns) / 1e18).alias("prob"), (F.col("calltype_id") == 1).cast("int").alias("label")))),
+        "tied_quantiles": ("voice", None, lambda v: exact_quantiles(v.select(
+            F.when(F.pmod(F.xxhash64(*v.columns), F.lit(10)) == 0, F.xxhash64(*v.columns) / 1e18).otherwise(1.0)
+            .alias("x")), "x", [0.1, 0.5, 0.97])),
         # negative controls: every row of a phone / of a class sent to one task
         "naive_repartition_by_phone": ("voice", "phone_no_m", lambda log: log.repartition(8, "phone_no_m")
                                        .groupBy("phone_no_m").agg(F.count_distinct("opposite_no_m").alias("n"))),
