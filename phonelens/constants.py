@@ -6,6 +6,7 @@ Fixed values (from the source, in its order):
 - first flow: 5 stratified folds, shuffle seed 1024; boosting with depth 6,
   50 bins, learning rate 0.02, 0.8 of columns, 0.8 of rows, 25 rows per
   leaf, 1000 rounds, seed 1000
+- boosting stops when the validation loss has not fallen for 200 rounds
 - cut-off search: 600 percentiles, 32 + 0.08 * i, cut rounded to 4 digits,
   ties keep the last
 - second flow: 3 stratified folds, shuffle seed 2020; boosting with 2000
@@ -35,6 +36,8 @@ CUT_START = 32.0
 CUT_STEP = 0.08
 CUT_DIGITS = 4
 
+PATIENCE = 200
+
 SECOND_FOLDS = 3
 SECOND_SEED = 2020
 SECOND_ROUNDS = 2000
