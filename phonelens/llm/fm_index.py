@@ -58,15 +58,14 @@ class WaveletMatrix:
         mask = (np.uint64(1) << inside) - np.uint64(1)
         return self.blocks[level][word] + np.bitwise_count(self.words[level][word] & mask)
 
-    def rank(self, c: np.ndarray, *points: np.ndarray) -> list[np.ndarray]:
-        """For each array of points, the rank of c[k] before points[k]."""
-        base = np.zeros(len(c), np.int64)
-        at = [base, *points]
+    def rank(self, c: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """Where c's occurrences before points[k] end in the sorted bottom
+        row of the matrix (differences of two such values count c)."""
         for k in range(self.levels):
             one = ((c >> (self.levels - 1 - k)) & 1).astype(bool)
-            ones = [self._ones(k, p) for p in at]
-            at = [np.where(one, self.zeros[k] + x, p - x) for p, x in zip(at, ones)]
-        return [p - at[0] for p in at[1:]]
+            ones = self._ones(k, points)
+            points = np.where(one, self.zeros[k] + ones, points - ones)
+        return points
 
 
 class FMIndex:
@@ -77,29 +76,40 @@ class FMIndex:
         self.text = np.concatenate([x for t in texts for x in (t, ends)])
         lengths = np.array([len(t) + 1 for t in texts])
         self.order = suffix_order(self.text)
-        self.owner = np.repeat(owners, lengths)[self.order]  # in suffix order
+        # in suffix order, with a guard at the end
+        self.owner_end = np.append(np.repeat(owners, lengths)[self.order], np.iinfo(np.int64).max)
         self.matrix = WaveletMatrix(self.text[self.order - 1])  # the word before each suffix
-        self.before = np.searchsorted(np.sort(self.text), np.arange(int(self.text.max()) + 2))
+        symbols = np.arange(int(self.text.max()) + 1)
+        # first suffix of each word, less the word's place in the bottom row
+        self.shift = np.searchsorted(np.sort(self.text), symbols) - self.matrix.rank(symbols, np.zeros(len(symbols), np.int64))
 
     def back(self, c: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of c + pattern from those of the patterns."""
-        a, b = self.matrix.rank(c, low, high)
-        return self.before[c] + a, self.before[c] + b
+        ends = self.matrix.rank(np.concatenate([c, c]), np.concatenate([low, high]))
+        shift = self.shift[c]
+        return shift + ends[: len(c)], shift + ends[len(c):]
 
-    def least_owner(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(least owner, a position of it in the text) for each interval.
+    def _distinct(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Intervals of patterns of one length are equal or apart: each is
+        named by its first suffix, and reading each once is linear."""
+        first, at, which = np.unique(low, return_index=True, return_inverse=True)
+        cuts = np.stack([first, high[at]], 1)
+        return cuts, which, np.minimum.reduceat(self.owner_end, cuts.ravel())[0::2]
 
-        Intervals of patterns of one length are equal or apart, so each
-        distinct one is read once: linear in the index."""
-        pairs, which = np.unique(np.stack([low, high], 1), axis=0, return_inverse=True)
-        cuts = pairs.ravel()
-        owner = np.append(self.owner, np.iinfo(np.int64).max)
-        least = np.minimum.reduceat(owner, cuts)[0::2]
-        first = np.empty(len(pairs), np.int64)
-        for k, (a, b) in enumerate(pairs.tolist()):
-            first[k] = a + int(self.owner[a:b].argmin())
-        which = which.ravel()
-        return least[which], self.order[first[which]]
+    def least_owner(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        _, which, least = self._distinct(low, high)
+        return least[which]
+
+    def earliest(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The first position in the text of the least owner of each interval
+        (in a run of repeats, the one with the most text to follow)."""
+        cuts, which, least = self._distinct(low, high)
+        at = np.array([self.order[a:b][self.owner_end[a:b] == m].min() for (a, b), m in zip(cuts.tolist(), least.tolist())],
+                      np.int64)
+        return at[which]
+
+
+CHECK_DEPTHS = (4, 8, 12, 16, 20, 25, 30, 35, 40, 43, 46, 48)  # words after which a search asks for smaller owners
 
 
 def earlier_spans(index: FMIndex, queries: list[np.ndarray], owners: np.ndarray, threshold: int,
@@ -109,7 +119,7 @@ def earlier_spans(index: FMIndex, queries: list[np.ndarray], owners: np.ndarray,
     queries are themselves indexed, so one occurrence is no match.
 
     Windows go left to right.  A window is searched from its last word
-    backwards; where the interval holds no text but the query's own, every
+    backwards; where the interval holds no text of a smaller owner, every
     window over that part fails at once and the search jumps past its start.
     A found window is followed forwards in the index's text for as long as
     the words agree, which reports the whole match."""
@@ -126,20 +136,21 @@ def earlier_spans(index: FMIndex, queries: list[np.ndarray], owners: np.ndarray,
         low, high = np.zeros(len(alive), np.int64), np.full(len(alive), total)
         left = np.full(len(alive), threshold)   # words of the window not matched yet
         going = np.arange(len(alive))
-        while len(going):
-            left[going] -= 1
-            c = words[at[alive[going]] + left[going]]
+        for depth in range(1, threshold + 1):
+            left[going] = threshold - depth
+            c = words[at[alive[going]] + threshold - depth]
             a, b = index.back(c, low[going], high[going])
             low[going], high[going] = a, b
-            going = going[(b - a > alone) & (left[going] > 0)]
-        full = (left == 0) & (high - low > alone)
+            on = b - a > alone
+            going, a, b = going[on], a[on], b[on]
+            if len(going) and (depth in CHECK_DEPTHS or depth == threshold):
+                going = going[index.least_owner(a, b) < owners[alive[going]]]
+            if not len(going):
+                break
         jump = left + 1
-        f = np.flatnonzero(full)
+        f = going                               # windows found whole
         if len(f):
-            least, place = index.least_owner(low[f], high[f])
-            found = least < owners[alive[f]]
-            jump[f] = 1
-            f, place = f[found], place[found]
+            place = index.earliest(low[f], high[f])
             q = alive[f]
             more = np.zeros(len(f), np.int64)
             run = np.arange(len(f))

@@ -28,7 +28,7 @@ from phonelens.llm.textblocks import Words, blocks, combine, longs
 
 N_WORDS = 50
 GRAM = 8
-INDEX_WORDS = 400_000  # words of one index; a shard with more builds several
+INDEX_WORDS = 1_000_000  # words of one index; a shard with more builds several
 
 
 def window_minima(hashes: np.ndarray, n: int, gram: int = GRAM) -> np.ndarray:
@@ -110,10 +110,11 @@ class _Shard:
         self.n = n
         self.seen: dict[tuple[int, bytes], int] = {}
         self.texts: list[bytes] = []
-        self.rows: list[tuple[int, int]] = []
+        self.rows: list[tuple[int, int, bool]] = []
         self.size = 0
         self.full: list[tuple[dict[bytes, int], FMIndex]] = []
         self.mini = None
+        self.least = 0
 
     def add(self, mini: int, doc: int, start: int, text: bytes) -> Iterator[tuple]:
         if mini != self.mini:
@@ -123,7 +124,7 @@ class _Shard:
             elif self.size > INDEX_WORDS // 2:
                 yield from self.search()
                 self.seen = {}
-            self.full, self.mini = [], mini
+            self.full, self.mini, self.least = [], mini, doc
         words = text.split()
         text = b" ".join(words)
         name = (mini, hashlib.blake2b(text, digest_size=16).digest())
@@ -133,7 +134,7 @@ class _Shard:
             return
         self.seen[name] = doc
         self.texts.append(text)
-        self.rows.append((doc, start))
+        self.rows.append((doc, start, doc > self.least))
         self.size += len(words) + 1
         if self.size > INDEX_WORDS:
             yield from self.search(keep=True)
@@ -143,14 +144,17 @@ class _Shard:
             return
         number: dict[bytes, int] = {}
         texts = [np.array([number.setdefault(w, len(number) + 1) for w in t.split(b" ")], np.int64) for t in self.texts]
-        owners = np.array([d for d, _ in self.rows], np.int64)
+        owners = np.array([d for d, *_ in self.rows], np.int64)
         index = FMIndex(texts, owners)
-        for (doc, start), spans in zip(self.rows, earlier_spans(index, texts, owners, self.n)):
+        # a minimizer's least document loses nothing to it
+        ask = [k for k, (*_, later) in enumerate(self.rows) if later]
+        asked = [self.rows[k] for k in ask]
+        for (doc, start, _), spans in zip(asked, earlier_spans(index, [texts[k] for k in ask], owners[ask], self.n)):
             for a, b in spans:
                 yield (doc, start + a, start + b)
         for names, earlier in self.full:  # of the same, very common minimizer
-            foreign = [np.array([names.get(w, 0) for w in t.split(b" ")], np.int64) for t in self.texts]
-            for (doc, start), spans in zip(self.rows, foreign_spans(earlier, foreign, owners, self.n)):
+            foreign = [np.array([names.get(w, 0) for w in self.texts[k].split(b" ")], np.int64) for k in ask]
+            for (doc, start, _), spans in zip(asked, foreign_spans(earlier, foreign, owners[ask], self.n)):
                 for a, b in spans:
                     yield (doc, start + a, start + b)
         if keep:
@@ -198,7 +202,7 @@ def covered_words(docs: DataFrame, n: int = N_WORDS) -> DataFrame:
     minis = d.mapInArrow(_minimizers(n), "mini long, doc_id long")
     shared = minis.groupBy("mini").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("mini")
     marks = minis.join(shared, "mini").groupBy("doc_id").agg(F.collect_set("mini").alias("minis"))
-    segments = d.join(marks, "doc_id").select("doc_id", "text", "minis").mapInArrow(
+    segments = d.join(marks.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "minis").mapInArrow(
         _segments(n), "mini long, doc_id long, start long, words binary")
     dealt = segments.repartition("mini").sortWithinPartitions("mini", "doc_id", "start")
     return dealt.mapInArrow(_search(n), "doc_id long, first long, stop long")
@@ -240,7 +244,7 @@ def without_repeats(docs: DataFrame, n: int = N_WORDS, with_text: bool = True) -
     d = id_and_text(docs)
     spans = covered_words(docs, n).distinct().groupBy("doc_id").agg(
         F.collect_list(F.struct("first", "stop")).alias("spans"))
-    whole = d.filter("doc_id is not null").join(stored(spans), "doc_id", "left").select("doc_id", "text", "spans")
+    whole = d.filter("doc_id is not null").join(stored(spans).hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans")
     none = F.lit(None).cast("array<struct<first:bigint,stop:bigint>>")
     rest = d.filter("doc_id is null").select("doc_id", "text", none.alias("spans"))
     return whole.union(rest).mapInArrow(_cut(with_text), RESULT)
