@@ -41,7 +41,7 @@ DEFAULT_RULES = (
     Rule("dup_line_ratio", None, 0.5),
     Rule("ellipsis_line_ratio", None, 0.3),
     Rule("bullet_line_ratio", None, 0.9),
-    Rule("stop_word_ratio", 0.005, None, from_words=100),
+    Rule("stop_word_ratio", 0.02, None, from_words=100),
 )
 
 
