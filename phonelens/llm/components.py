@@ -2,7 +2,7 @@
 
 Each task first contracts the edges it holds to a forest (numpy, in bounded
 pieces); then large-star and small-star steps alternate, each a grouping and
-a join, until the edges stop changing.  No task sees a whole component.
+a join, until the edges are stars.  No task sees a whole component.
 """
 
 from __future__ import annotations
@@ -69,20 +69,23 @@ def _small_star(e: DataFrame) -> DataFrame:
     return out.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
+def _is_forest_of_stars(e: DataFrame) -> bool:
+    """No node has two parents, and no parent is a child."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        e.select("v", F.lit(0), F.lit(1)))
+    per_node = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per_node.filter((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).limit(1).count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that is not the least of its component.
 
     ``edges`` has two long columns; NULL ends and loops are ignored, repeated
     edges count once, no edge gives no row."""
     a, b = edges.columns
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    e = e.filter((F.col("u") != F.col("v")) & F.col(f"`{'u'}`").isNotNull())
+    e = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    e = e.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     e = stored(e.mapInArrow(_contract, "u long, v long").distinct())
-    seen = None
-    while True:
-        # a star forest: no node is both a root and a child, no child has two roots
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 31)), F.sum(F.col("v") % (1 << 31))).first()
-        if not now[0] or now == seen:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
+    while not _is_forest_of_stars(e):
         e = stored(_small_star(_large_star(e)))
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
