@@ -26,6 +26,7 @@ from phonelens.llm.components import components
 
 CHUNK = 512
 MU = 0.0085  # DivideSkip's price of a probe against a merge step
+HUBS = 4     # components whose hubs are tried before a search
 
 
 class Links:
@@ -45,10 +46,39 @@ class Links:
         self.up[max(a, b)] = min(a, b)
 
 
+def _heap_merge(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(member, lists that hold it) for members in at least ``least`` lists."""
+    found: list[int] = []
+    count: list[int] = []
+    last, run = -1, 0
+    for m in heapq.merge(*(x.tolist() for x in lists)):
+        if m == last:
+            run += 1
+            continue
+        if run >= least:
+            found.append(last)
+            count.append(run)
+        last, run = m, 1
+    if run >= least:
+        found.append(last)
+        count.append(run)
+    return np.array(found, np.int64), np.array(count, np.int64)
+
+
+def _sort_merge(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same by one sort: cheaper in numpy for lists of some length."""
+    m = np.sort(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]]) if len(m) else m
+    run = np.diff(np.r_[first, len(m)])
+    keep = run >= least
+    return m[first[keep]], run[keep]
+
+
 class Lists:
     """Inverted lists token -> members, and which members hold a query's tokens often enough."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], heap: bool = True):
+        self.heap = heap
         self.sizes = np.array([len(s) for s in sets])
         tokens = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), self.sizes)
@@ -60,33 +90,24 @@ class Lists:
         self.n = len(sets)
         self.longest = int((self.stop - self.begin).max())
 
-    def search(self, query: np.ndarray, need: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(member, overlap) for members of ``wanted`` with overlap >= need."""
+    def search(self, query: np.ndarray, need: int, wanted: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray]:
+        """(member, overlap) for members of ``wanted`` with overlap >= need;
+        lists are read up to member ``upto`` only."""
         at = np.searchsorted(self.token, query)
         ok = at < len(self.token)
         at = at[ok]
         at = at[self.token[at] == query[ok]]
-        if len(at) < need:
+        stop = np.searchsorted(self.key, at * self.n + upto)
+        length = stop - self.begin[at]
+        order = np.argsort(length, kind="stable")
+        order = order[length[order] > 0]
+        if len(order) < need:
             return at[:0], at[:0]
-        length = self.stop[at] - self.begin[at]
-        at = at[np.argsort(length, kind="stable")]
-        skip = min(need - 1, max(1, int(need / (MU * math.log2(self.longest + 1) + 1))))
+        at, stop = at[order], stop[order]
+        skip = max(0, min(need - 1, int(need / (MU * math.log2(self.longest + 1) + 1))))
         short, long = at[: len(at) - skip], at[len(at) - skip:]
-        found: list[int] = []
-        count: list[int] = []
-        last, run = -1, 0
-        for m in heapq.merge(*(self.member[self.begin[i]: self.stop[i]].tolist() for i in short)):
-            if m == last:
-                run += 1
-                continue
-            if run >= need - skip:
-                found.append(last)
-                count.append(run)
-            last, run = m, 1
-        if run >= need - skip:
-            found.append(last)
-            count.append(run)
-        members, overlap = np.array(found, np.int64), np.array(count, np.int64)
+        spans = [self.member[self.begin[i]: j] for i, j in zip(short, stop)]
+        members, overlap = (_heap_merge if self.heap else _sort_merge)(spans, max(1, need - skip))
         keep = wanted[members]
         members, overlap = members[keep], overlap[keep]
         if len(members) and len(long):
@@ -98,7 +119,7 @@ class Lists:
         return members[enough], overlap[enough]
 
 
-def group_links(sets: list[np.ndarray], index_of: list[bool], percent: int) -> list[tuple[int, int]]:
+def group_links(sets: list[np.ndarray], index_of: list[bool], percent: int, heap: bool = True) -> list[tuple[int, int]]:
     """Spanning links of one group.
 
     Members with ``index_of`` are indexed; when all are, each is searched
@@ -109,30 +130,51 @@ def group_links(sets: list[np.ndarray], index_of: list[bool], percent: int) -> l
     own = len(indexed) == len(sets)
     if not indexed or (own and len(sets) < 2):
         return []
-    lists, links = Lists([sets[i] for i in indexed]), Links(len(sets))
-    queries = indexed if own else [i for i, x in enumerate(index_of) if not x]
-    root = np.arange(len(sets))
+    if len(sets) == 2:  # nothing to merge
+        return [(0, 1)] if _linked(*sets, percent) else []
+    lists = Lists([sets[i] for i in indexed], heap)
     names = np.array(indexed)
-    out = []
-    for q in queries:
+    root, hits = np.arange(len(sets)), np.zeros(len(sets), np.int64)
+    hub: dict[int, int] = {}  # of a component: the member that most queries linked to
+    out: list[tuple[int, int]] = []
+
+    def join(m: int, q: int) -> None:
+        out.append((m, q))
+        hits[m] += 1
+        a, b = sorted((int(root[m]), int(root[q])))
+        hub[a] = max(hub.pop(a, a), hub.pop(b, b), m, key=lambda i: hits[i])
+        root[root == b] = a
+
+    for q in indexed if own else [i for i, x in enumerate(index_of) if not x]:
         s = sets[q]
-        wanted = root[names] != root[q]
-        if own:
-            wanted &= names < q
+        before = names < q if own else np.ones(len(names), bool)
+        wanted = before & (root[names] != root[q])
+        others = np.unique(root[names[wanted]])
+        if len(others) <= HUBS:  # a link to a component's hub spares its other members
+            for r in others.tolist():
+                h = hub.get(r, r)
+                if (h < q if own else index_of[h]) and _linked(sets[h], s, percent):
+                    join(h, q)
+            wanted = before & (root[names] != root[q])
         if not wanted.any():
             continue
         need = -(-percent * len(s) // 100)  # an overlap of at least this share of either set
-        members, overlap = lists.search(s, need, wanted)
+        members, overlap = lists.search(s, need, wanted, int(np.searchsorted(names, q)) if own else len(names))
         union = len(s) + lists.sizes[members] - overlap
         for m in names[members[100 * overlap >= percent * union]].tolist():
-            if links.root(m) != links.root(q):
-                links.join(m, q)
-                out.append((m, q))
-        if out:
-            root = np.array([links.root(i) for i in range(len(sets))]) if members.size else root
+            if root[m] != root[q]:
+                join(m, q)
     return out
 
 
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    small, large = sorted((len(a), len(b)))
+    if 100 * small < percent * large:
+        return False
+    overlap = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * overlap >= percent * (len(a) + len(b) - overlap)
+
+
 def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[dict]]:
     """Runs of rows with equal (block, a, b); rows arrive sorted by them."""
     rows: list[dict] = []
@@ -170,7 +212,7 @@ def block_groups(edges: DataFrame, sizes: DataFrame, percent: int, chunk: int =
 
 
 def search_groups(rows: DataFrame, to_set: Callable[[str], np.ndarray], name: Callable[[np.ndarray], int] | None,
-                  percent: int) -> DataFrame:
+                  percent: int, heap: bool = True) -> DataFrame:
     """Links (x, y) between keys; ``rows``: key, block, a, b, index, n, text.
 
     With ``name``, a row whose text does not give the set that its key names
@@ -179,7 +221,7 @@ def search_groups(rows: DataFrame, to_set: Callable[[str], np.ndarray], name: Ca
         for group in _groups(batches):
             named = {r["key"]: (r, s) for r in group for s in [to_set(r["text"])] if name is None or name(s) == r["key"]}
             group, sets = [r for r, _ in named.values()], [s for _, s in named.values()]
-            found = group_links(sets, [r["index"] for r in group], percent)
+            found = group_links(sets, [r["index"] for r in group], percent, heap)
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([group[i]["key"] for i, _ in found], pa.int64()),

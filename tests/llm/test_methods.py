@@ -81,8 +81,9 @@ def classes(n, pairs):
     return [up.root(i) for i in range(n)]
 
 
+@pytest.mark.parametrize("heap", (True, False))
 @pytest.mark.parametrize("seed", range(6))
-def test_divide_skip_equals_brute_force(seed):
+def test_divide_skip_equals_brute_force(seed, heap):
     rng = random.Random(seed)
     base = [set(rng.sample(range(400), rng.randrange(5, 60))) for _ in range(6)]
     sets = []
@@ -94,11 +95,11 @@ def test_divide_skip_equals_brute_force(seed):
         sets.append(s)
     arrays = [np.array(sorted(s), np.uint64) for s in sets]
     want = classes(60, brute_links(sets, 85))
-    assert classes(60, blockjoin.group_links(arrays, [True] * 60, 85)) == want
+    assert classes(60, blockjoin.group_links(arrays, [True] * 60, 85, heap)) == want
     parts = []  # in chunks: within the first, within the second, across
     half = [i < 30 for i in range(60)]
     for members, flags in (([*range(30)], [True] * 30), ([*range(30, 60)], [True] * 30), ([*range(60)], half)):
-        parts += [(members[a], members[b]) for a, b in blockjoin.group_links([arrays[i] for i in members], flags, 85)]
+        parts += [(members[a], members[b]) for a, b in blockjoin.group_links([arrays[i] for i in members], flags, 85, heap)]
     assert classes(60, parts) == want
 
 
