@@ -243,7 +243,8 @@ def all_but_first(n: int) -> np.ndarray:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits: Limits = Limits(),
-                   may_cut: bool = True, loss_mask: Callable[[int], np.ndarray] = all_but_first) -> DataFrame:
+                   may_cut: bool = True, loss_mask: Callable[[int], np.ndarray] = all_but_first,
+                   keep_encoder: bool = True) -> DataFrame:
     """One row per piece: which ids of which document stand where.
 
     A document is the ids of its whole text (NULL: empty) and ``end_id``, so
@@ -252,7 +253,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits
     table's size or skew; a task's last sequence alone may have room left.
     ``sequence_id`` is the task's partition in the high bits and a running
     number in the low ones, so a task that runs again writes the same rows.
-    Repeated rows are packed one by one."""
+    Repeated rows are packed one by one.  ``keep_encoder``: a Python worker
+    keeps its encoder and encoded words for its next task; off, it frees them
+    for other work of the same session."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer_path)
         packer = Packer(limits, TaskContext.get().partitionId() << 36, may_cut)
@@ -270,4 +273,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits
                 rows += packer.add(Piece(doc_id, 0, x, loss_mask(len(x)), len(x)))
             yield table(rows)
         yield table(list(packer.pack()))
+        if not keep_encoder:
+            word_encoder.cache_clear()
     return id_and_text(docs).mapInArrow(run, SCHEMA)
