@@ -68,6 +68,11 @@ def test_similar_lines_share_a_band():
     assert found >= 199
 
 
+def test_bands_lose_few_pairs_at_the_threshold():
+    p = (line_dedup.PERCENT / 100) ** line_dedup.ROWS
+    assert (1 - p) ** line_dedup.BANDS < 0.004
+
+
 # ---- operators 1 and 7: search and components
 def brute_links(sets, percent):
     return {(i, j) for j in range(len(sets)) for i in range(j)
