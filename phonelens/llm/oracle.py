@@ -225,3 +225,28 @@ s AS MATERIALIZED (SELECT tree AS lang, '' AS tree, h, row_number() OVER (ORDER
 {climb("rest", "(SELECT rid, s.tree, s.i AS pos, s.w, cur, sib FROM way JOIN s ON s.lang = way.tree WHERE way.w = 1)", "above")}
 SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(sib) AS proof_sha256, rest.cur AS folded_root, rest.cur = r.h AS verified
 FROM a JOIN rest ON rest.rid = a.rid AND rest.w = 1 JOIN s ON s.lang = a.tree, (SELECT h FROM above WHERE w = 1) r"""
+
+
+def spelling_sql(noise: int, min_length: int = 7, min_count: int = 2, factor: int = 10) -> str:
+    """Near words by brute force over what one left-out code point leaves."""
+    table, crc = crc32_sql("named")
+    at = "CAST(h % length(run) AS INTEGER)"
+    return f"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT {table} AS crc),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+u AS MATERIALIZED (SELECT run, named, c, {crc} AS h FROM
+      (SELECT run, doc_id || ':' || run AS named, count(*) AS c FROM r WHERE length(run) >= {min_length} GROUP BY ALL), t),
+v AS (SELECT c, CASE WHEN h % {noise} = 0 THEN substr(run, 1, {at}) || substr(run, {at} + 2) ELSE run END AS word FROM u),
+w AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM v WHERE length(word) >= {min_length} GROUP BY 1 HAVING sum(c) >= {min_count}),
+p AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM
+      (SELECT word, n, unnest(range(0, length(word))) AS i FROM w)),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM p a JOIN p b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+   UNION SELECT p.word, w.word, w.n FROM p JOIN w ON w.word = p.rest
+   UNION SELECT w.word, p.word, p.n FROM p JOIN w ON w.word = p.rest),
+best AS MATERIALIZED (SELECT word, count(*) AS n_near, max(other_n) AS top, arg_min(other, (-other_n, encode(other))) AS other FROM near GROUP BY 1),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= {factor} * w.n THEN other END AS form,
+        CASE WHEN top >= {factor} * w.n THEN top END AS form_n FROM w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS here, form AS next FROM f
+  UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN f ON f.word = c.next)
+SELECT f.word, f.form, c.here AS root, f.n, f.n_near, f.form_n FROM f JOIN chain c ON c.word = f.word AND c.next IS NULL"""

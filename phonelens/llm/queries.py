@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phonelens.llm import (
-    decontaminate, lattice_lm, licenses, line_dedup, merkle, ngram_join, packing, quality, sharding, substring_dedup, token_counts)
+    decontaminate, lattice_lm, licenses, line_dedup, merkle, ngram_join, packing, quality, sharding, spelling, substring_dedup,
+    token_counts)
 from phonelens.llm import oracle
 from phonelens.llm.common import read_table
 
 N_SHARDS = 24
 TOKEN_LIMIT = 4096
+SPELLING_NOISE = 31
 PIECE_MODEL = "piece_bpe_32k.model"
 WORD_TOKENIZER = "word_bpe_49k.json"
 
@@ -74,6 +76,11 @@ def op10_licenses(spark, sf_dir) -> DataFrame:
     return licenses.license_matches(read_table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark, sf_dir) -> DataFrame:
+    """Operator 12 over all documents: every 31st run loses a code point."""
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"), noise=SPELLING_NOISE)
+
+
 def op13_merkle_manifest(spark, sf_dir) -> DataFrame:
     """Operator 13 over all documents: every seventh id's n_chars tampered with."""
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
@@ -82,7 +89,8 @@ def op13_merkle_manifest(spark, sf_dir) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_substring_dedup, op3_hash_tree, op4_quality_rules, op5_lattice_lm, op6_token_counts,
-    op7_ngram_join, op8_decontaminate, op9_packing, op10_licenses, op13_merkle_manifest)}
+    op7_ngram_join, op8_decontaminate, op9_packing, op10_licenses,
+    op12_spelling_variants, op13_merkle_manifest)}
 
 # op5 (sums over segmentations), op6 and op9 (a library's merges, a greedy
 # packing) have none: tests/llm holds them against brute-force versions
@@ -94,5 +102,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_ngram_join": oracle.jaccard_sql(4, 85),
     "op8_decontaminate": oracle.decontaminate_sql(),
     "op10_licenses": oracle.licenses_sql(),
+    "op12_spelling_variants": oracle.spelling_sql(SPELLING_NOISE),
     "op13_merkle_manifest": oracle.merkle_sql(),
 }
