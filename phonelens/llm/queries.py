@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phonelens.llm import (
-    decontaminate, lattice_lm, licenses, line_dedup, merkle, ngram_join, packing, quality, sharding, spelling, substring_dedup,
-    token_counts)
+    decontaminate, lattice_lm, licenses, line_dedup, merkle, ngram_join, packing, quality, quality_qda,
+    sharding, spelling, substring_dedup, token_counts)
 from phonelens.llm import oracle
 from phonelens.llm.common import read_table
 
 N_SHARDS = 24
 TOKEN_LIMIT = 4096
+QUALITY_CUT = 0.3
 SPELLING_NOISE = 31
 PIECE_MODEL = "piece_bpe_32k.model"
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -76,6 +77,12 @@ def op10_licenses(spark, sf_dir) -> DataFrame:
     return licenses.license_matches(read_table(spark, sf_dir, "documents"))
 
 
+def op11_quality_qda(spark, sf_dir) -> DataFrame:
+    """Operator 11 over all documents: labels of ``labels.quality``."""
+    scores = quality_qda.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return scores.withColumn("predicted", (F.col("score") >= QUALITY_CUT).cast("int"))
+
+
 def op12_spelling_variants(spark, sf_dir) -> DataFrame:
     """Operator 12 over all documents: every 31st run loses a code point."""
     return spelling.spelling_variants(read_table(spark, sf_dir, "documents"), noise=SPELLING_NOISE)
@@ -90,10 +97,11 @@ def op13_merkle_manifest(spark, sf_dir) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_substring_dedup, op3_hash_tree, op4_quality_rules, op5_lattice_lm, op6_token_counts,
     op7_ngram_join, op8_decontaminate, op9_packing, op10_licenses,
-    op12_spelling_variants, op13_merkle_manifest)}
+    op11_quality_qda, op12_spelling_variants, op13_merkle_manifest)}
 
 # op5 (sums over segmentations), op6 and op9 (a library's merges, a greedy
-# packing) have none: tests/llm holds them against brute-force versions
+# packing) and op11 (a fitted model) have none: tests/llm holds them against
+# brute-force versions and held-out labels
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": oracle.lines_sql(line_dedup.SHINGLE, line_dedup.PERCENT),
     "op2_substring_dedup": oracle.substring_sql(substring_dedup.N_WORDS),

@@ -5,8 +5,8 @@ import public_tokenizers as P
 import pytest
 
 from phonelens.llm import (
-    decontaminate, lattice_lm, licenses, line_dedup, merkle, ngram_join, packing, quality, sharding, spelling, substring_dedup,
-    token_counts)
+    decontaminate, lattice_lm, licenses, line_dedup, merkle, ngram_join, packing, quality, quality_qda,
+    sharding, spelling, substring_dedup, token_counts)
 
 PIECES, WORDS = P.path("piece_bpe_32k.model"), P.path("word_bpe_49k.json")
 
@@ -27,10 +27,11 @@ OPERATORS = {
     "ngram": lambda d: ngram_join.jaccard_components(d),
     "substring": lambda d: substring_dedup.without_repeats(d),
     "lattice": lambda d: lattice_lm.lattice_scores(d, PIECES),
+    "classifier": lambda d: quality_qda.quality_scores(d, d.selectExpr("doc_id", "doc_id % 2 as quality")),
     "spelling": lambda d: spelling.spelling_variants(d, noise=31),
     "merkle": lambda d: merkle.manifest(d),
 }
-PER_ROW = ("quality", "sharding", "tokens", "ngram", "substring", "lattice", "merkle")
+PER_ROW = ("quality", "sharding", "tokens", "ngram", "substring", "lattice", "merkle", "classifier")
 
 
 @pytest.mark.parametrize("name", OPERATORS)
