@@ -26,6 +26,7 @@ from phonelens.llm.components import components
 
 CHUNK = 512
 MU = 0.0085  # DivideSkip's price of a probe against a merge step
+DENSE = 64   # members of a group that are compared in one table, unless the heap is asked for
 HUBS = 4     # components whose hubs are tried before a search
 
 
@@ -132,6 +133,8 @@ def group_links(sets: list[np.ndarray], index_of: list[bool], percent: int, heap
         return []
     if len(sets) == 2:  # nothing to merge
         return [(0, 1)] if _linked(*sets, percent) else []
+    if not heap and own and len(sets) <= DENSE:
+        return _dense_links(sets, percent)
     lists = Lists([sets[i] for i in indexed], heap)
     names = np.array(indexed)
     root, hits = np.arange(len(sets)), np.zeros(len(sets), np.int64)
@@ -167,6 +170,23 @@ def group_links(sets: list[np.ndarray], index_of: list[bool], percent: int, heap
     return out
 
 
+def _dense_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """The same for a small group whose members are all indexed: one table of
+    members and tokens gives every overlap."""
+    sizes = np.array([len(s) for s in sets])
+    tokens, which = np.unique(np.concatenate(sets), return_inverse=True)
+    table = np.zeros((len(sets), len(tokens)), np.float32)
+    table[np.repeat(np.arange(len(sets)), sizes), which] = 1
+    overlap = np.rint(table @ table.T).astype(np.int64)
+    i, j = np.nonzero(np.triu(100 * overlap >= percent * (sizes[:, None] + sizes[None, :] - overlap), 1))
+    links, out = Links(len(sets)), []
+    for a, b in zip(i.tolist(), j.tolist()):
+        if links.root(a) != links.root(b):
+            links.join(a, b)
+            out.append((a, b))
+    return out
+
+
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     small, large = sorted((len(a), len(b)))
     if 100 * small < percent * large:

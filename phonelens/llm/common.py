@@ -40,3 +40,20 @@ def conf_bytes(spark: SparkSession, key: str) -> int:
     """A size setting ("16m", "128MB", "134217728b") in bytes."""
     number, unit = re.fullmatch(r"(\d+)([kmgt]?)i?b?", str(spark.conf.get(key)).strip().lower()).groups()
     return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
+HOT_KEYS = 1000
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` (one row per key; ``weight``: how many
+    of ``rows`` have it) so that no key's rows meet in one task.
+
+    Keys that hold more than 1 / HOT_KEYS of all rows, fewer than HOT_KEYS by that, are
+    broadcast; the others are joined by shuffle.  Both inputs are read twice: store them."""
+    share = rows.count() // HOT_KEYS
+    hot, rest = table.filter(F.col(weight) > share), table.filter(F.col(weight) <= share)
+    of_hot = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    out = others.join(rest.hint("shuffle_hash"), key, how)
+    return of_hot.unionByName(out)

@@ -99,6 +99,54 @@ def test_bands_lose_few_pairs_at_the_threshold():
     assert (1 - p) ** line_dedup.BANDS < 0.004
 
 
+def test_minima_agree_as_often_as_the_sets_do():
+    """Over many lines: no shingle is the least of a line under every factor."""
+    rng = random.Random(6)
+    none = total = bands = 0
+    for _ in range(1500):
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(600)).strip()
+        other = line
+        for _ in range(10):
+            at = rng.randrange(10, 580)
+            other = other[:at] + "#" + other[at + 1:]
+        a, b = (set(x[i:i + 5] for i in range(len(x) - 4)) for x in (line, other))
+        raw = np.frombuffer((line + "\n" + other).encode(), np.uint8)
+        sig = line_dedup.Lines(raw, np.array([0, len(raw)])).signatures(np.array([0, 1]))
+        alike = int((sig[0] == sig[1]).sum())
+        none += alike == 0
+        bands += alike
+        total += line_dedup.BANDS * (len(a & b) / len(a | b)) ** line_dedup.ROWS
+    assert none <= 12 and abs(bands / total - 1) < 0.05
+
+
+def test_long_lines_share_a_band_across_both_kinds():
+    """Lines whose sets are just below and just above what 16 bits hold."""
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(6000))
+    for a, b in ((4000, 4700), (4080, 4120), (4200, 5000), (5000, 5900)):
+        ls = line_dedup.Lines(np.frombuffer(f"x{base[:a]}x\nx{base[:b]}x".encode(), np.uint8), np.array([0, a + b + 5]))
+        bands, _ = ls.signed(np.array([0, 1]))
+        assert set(bands[0].tolist()) & set(bands[1].tolist())
+
+
+def test_places_keep_their_order(spark):
+    ids = [-(1 << 63), -5, 0, 7, (1 << 63) - 1]
+    rows = [(d, n) for d in ids for n in (0, 3, (1 << 31) - 1)]
+    t = spark.createDataFrame(rows, "doc_id long, line_no int").withColumn("place", line_dedup._place("doc_id", "line_no"))
+    got = t.select("place", line_dedup._doc_of("place").alias("d"), line_dedup._line_of("place").alias("n")).orderBy("place").collect()
+    assert [(r.d, r.n) for r in got] == sorted(rows)
+
+
+def test_spread_joins_equal_plain_joins(spark):
+    """One key with most rows, one without any, one missing."""
+    from pyspark.sql import functions as F
+    from phonelens.llm.common import join_spread
+    rows = spark.range(4000).select(F.when(F.col("id") < 3000, 1).otherwise(F.col("id") % 500).cast("long").alias("k"), F.col("id").alias("v"))
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("k % 7 <> 0").union(spark.createDataFrame([(-1, 0)], "k long, c long"))
+    for how in ("inner", "left"):
+        assert sorted(map(str, join_spread(rows, table, "k", "c", how).collect())) == sorted(map(str, rows.join(table, "k", how).collect()))
+
+
 @pytest.mark.parametrize("run", (1024, 10))
 def test_alike_lines_of_a_signature_hang_together(run, monkeypatch):
     monkeypatch.setattr(line_dedup, "RUN", run)
@@ -110,7 +158,7 @@ def test_alike_lines_of_a_signature_hang_together(run, monkeypatch):
     got = list(line_dedup.alike_links(sig, key, sketch))
     up = {a: b for x, y in got for a, b in zip(x.tolist(), y.tolist())}
     want = {}
-    for g, k in zip(zip(sig.tolist(), group.tolist() if run > 30 else sig.tolist()), key.tolist()):
+    for g, k in zip(zip(sig.tolist(), group.tolist()), key.tolist()):
         want.setdefault(g, []).append(k)
     assert up == {k: min(ks) for ks in want.values() for k in ks if k != min(ks)}
 
