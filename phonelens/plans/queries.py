@@ -28,7 +28,7 @@ from phonelens.operators import voice as V
 from phonelens.plans.dataset import (
     align_columns, baseline_dataset, fill_missing, outer_dataset, with_test_unlabelled)
 from phonelens.plans.model import (
-    SECOND_FLOW, TreeParams, category_sizes, kfold_mean_offset, kfold_train_score, split_train_test)
+    SECOND_FLOW, FlowResult, TreeParams, category_sizes, kfold_mean_offset, kfold_train_score, split_train_test)
 from phonelens.plans.report import segment_report
 from phonelens.session import materialize
 from phonelens.sources import views
@@ -411,20 +411,29 @@ def _q_tsg(spark, d):
     return res.submission
 
 
+_SECOND: dict[tuple[str, str], FlowResult] = {}
+
+
+def _second(spark, d) -> FlowResult:
+    """The second flow, fitted once per session and data set: its two queries
+    read the same fold models."""
+    name = (spark.sparkContext.applicationId, d)
+    if name not in _SECOND:
+        train, test, feats = _flow_inputs(spark, d, outer=True)
+        _SECOND[name] = kfold_mean_offset(train, test, feats, k=K.SECOND_FOLDS, seed=K.SECOND_SEED, params=SECOND_FLOW)
+    return _SECOND[name]
+
+
 @register("submission")
 def _q_sub(spark, d):
     """Second flow: 3 folds on the outer data set, mean score minus 0.3."""
-    train, test, feats = _flow_inputs(spark, d, outer=True)
-    return kfold_mean_offset(train, test, feats, k=K.SECOND_FOLDS, seed=K.SECOND_SEED,
-                             params=SECOND_FLOW).submission
+    return _second(spark, d).submission
 
 
 @register("feature_importance")
 def _q_fi(spark, d):
     """Mean importance per feature over the second flow's fold models."""
-    train, test, feats = _flow_inputs(spark, d, outer=True)
-    return kfold_mean_offset(train, test, feats, k=K.SECOND_FOLDS, seed=K.SECOND_SEED,
-                             params=SECOND_FLOW).importances
+    return _second(spark, d).importances
 
 
 # ---- splits, edges and time parts -------------------------------------------------
