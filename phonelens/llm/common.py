@@ -57,3 +57,11 @@ def join_spread(rows: DataFrame, table: DataFrame, key: str, weight: str, how: s
     others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     out = others.join(rest.hint("shuffle_hash"), key, how)
     return of_hot.unionByName(out)
+
+
+def rows_without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not among ``gone`` (doc_id, text_key: a
+    hash of the text), which may hold NULL and repeated ids."""
+    names = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
+    same = F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col("_gone_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id"))
+    return docs.join(names, same, "left_anti")

@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phonelens.llm.common import id_and_text
+from phonelens.llm.common import id_and_text, stored
 from phonelens.llm.textblocks import Words, blocks, combine
 
 SHINGLE = 5
 THRESHOLD = 0.8
 MISS = 1e-12
 INDEX_BYTES = 16 << 20  # item texts of one broadcast block; more items make more blocks
-SCHEMA = "doc_id long, item_id long, n_item_shingles long, n_shared long"
+SCHEMA = "doc_id long, text_key long, item_id long, n_item_shingles long, n_shared long"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -104,7 +104,7 @@ def _search(docs: DataFrame, index, threshold: float, n: int) -> DataFrame:
         ix: Index = index.value
         wanted: dict[int, set] = {}
         for batch in batches:
-            ids, rows = batch.column("doc_id"), []
+            ids, keys, rows = batch.column("doc_id"), batch.column("text_key"), []
             for span, raw, offsets in blocks(batch):
                 for d, candidates in _hits(Words(raw, offsets), ix).items():
                     text = raw[offsets[d]: offsets[d + 1]].tobytes()
@@ -117,24 +117,48 @@ def _search(docs: DataFrame, index, threshold: float, n: int) -> DataFrame:
                             own[width] = shingle_set(text, width)
                         shared = len(wanted[i] & own[width])
                         if shared >= threshold * len(wanted[i]):
-                            rows.append((ids[span.start + d].as_py(), ix.texts[i][0], len(wanted[i]), shared))
-            cols = list(zip(*rows)) if rows else [[]] * 4
+                            rows.append((ids[span.start + d].as_py(), keys[span.start + d].as_py(), ix.texts[i][0], len(wanted[i]), shared))
+            cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
                                              names=[c.split()[0] for c in SCHEMA.split(", ")])
     return docs.mapInArrow(run, SCHEMA)
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, limit: int = INDEX_BYTES) -> list[list[tuple[int, bytes]]]:
+def item_blocks(benchmark: DataFrame, id_col: str, limit: int = INDEX_BYTES) -> Iterator[list[tuple[int, bytes]]]:
     """The benchmark in blocks of at most ``limit`` bytes of text (one item
-    at least).  The query set is stated and of checked size: a block is what
-    one broadcast holds; a larger benchmark takes more passes over the
-    documents, never a larger broadcast."""
+    at least), a partition of it at a time on the driver.  The query set is
+    stated: a block is what one broadcast holds; a larger benchmark takes more
+    passes over the documents, never a larger broadcast."""
     q = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    q = q.filter(F.col("text").isNotNull())
-    total = q.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-int(total) // limit))
-    part = F.pmod(F.xxhash64("id", "text"), F.lit(parts))
-    return [[(r.id, r.text.encode()) for r in q.filter(part == p).collect()] for p in range(parts)] if total else []
+    block: list[tuple[int, bytes]] = []
+    size = 0
+    for r in q.filter(F.col("text").isNotNull()).toLocalIterator():
+        text = r.text.encode()
+        if block and size + len(text) > limit:
+            yield block
+            block, size = [], 0
+        block.append((r.id, text))
+        size += len(text)
+    if block:
+        yield block
+
+
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE,
+                      item_id: str = "item_id", limit: int = INDEX_BYTES) -> DataFrame:
+    """``contaminated`` with ``text_key``, a hash of the row's text that tells
+    apart rows with shared or NULL ids.
+
+    With several blocks of items, each block's matches are written and its
+    broadcast released before the next is read."""
+    d = id_and_text(docs).withColumn("text_key", F.xxhash64("text"))
+    spark = docs.sparkSession
+    out, last = spark.createDataFrame([], SCHEMA), None
+    for items in item_blocks(benchmark, item_id, limit):
+        if last is not None:
+            out = out.union(stored(_search(d, last, threshold, n)))
+            last.destroy()
+        last = spark.sparkContext.broadcast(build_index(items, threshold, n))
+    return out if last is None else out.union(_search(d, last, threshold, n))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE,
@@ -147,9 +171,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     nothing; repeated rows each report; an empty table on either side gives
     no rows.  Documents never move; a very common passage only makes more
     candidates within the tasks that read it."""
-    d = id_and_text(docs)
-    out = docs.sparkSession.createDataFrame([], SCHEMA)
-    for items in item_blocks(benchmark, item_id, limit):
-        index = docs.sparkSession.sparkContext.broadcast(build_index(items, threshold, n))
-        out = out.union(_search(d, index, threshold, n))
-    return out
+    return contaminated_rows(docs, benchmark, threshold, n, item_id, limit).drop("text_key")

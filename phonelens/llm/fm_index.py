@@ -5,9 +5,10 @@ wavelet matrix (one packed bit vector with block ranks per bit of the word
 number) and finds the suffix interval of a pattern by backward search, one
 word at a time, for many patterns in lockstep.
 
-Suffixes are sorted by their first ``DEPTH`` words only.  Patterns are
-shorter, and the ends of a pattern's interval then fall between suffixes that
-differ within that depth, so counting preceding words at them is exact.
+Suffixes are sorted by their first ``depth`` words only (``DEPTH`` at least).
+Patterns are no longer, and the ends of a pattern's interval then fall between
+suffixes that differ within that depth, so counting preceding words at them is
+exact.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ import numpy as np
 DEPTH = 64
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Positions sorted by their next DEPTH words (prefix doubling)."""
+def suffix_order(text: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Positions sorted by their next ``depth`` words or more (prefix doubling)."""
     n = len(text)
     rank = text.astype(np.int64)
     step = 1
@@ -32,7 +33,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[0, ahead[1:] != ahead[:-1]])
         step *= 2
-        if step >= DEPTH or rank[order[-1]] == n - 1:
+        if step >= depth or rank[order[-1]] == n - 1:
             return order
 
 
@@ -69,13 +70,14 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Over texts given as word numbers from 1 on; 0 ends each text."""
+    """Over texts given as word numbers from 1 on; 0 ends each text.
+    ``longest``: words of the longest pattern to be searched."""
 
-    def __init__(self, texts: list[np.ndarray], owners: np.ndarray):
+    def __init__(self, texts: list[np.ndarray], owners: np.ndarray, longest: int = DEPTH):
         ends = np.zeros(1, np.int64)
         self.text = np.concatenate([x for t in texts for x in (t, ends)])
         lengths = np.array([len(t) + 1 for t in texts])
-        self.order = suffix_order(self.text)
+        self.order = suffix_order(self.text, max(DEPTH, longest))
         # in suffix order, with a guard at the end
         self.owner_end = np.append(np.repeat(owners, lengths)[self.order], np.iinfo(np.int64).max)
         self.matrix = WaveletMatrix(self.text[self.order - 1])  # the word before each suffix

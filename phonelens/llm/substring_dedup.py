@@ -54,26 +54,29 @@ def _minimizers(n: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            keys = batch.column("text_key").to_numpy(zero_copy_only=False)
             for span, raw, offsets in blocks(batch):
                 words = Words(raw, offsets)
                 h = words.hashes(lower=False)
-                minis, docs = [], []
+                minis, docs, rows = [], [], []
                 for d, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
                     if b - a >= n:
                         m = np.unique(window_minima(h[a:b], n))
                         minis.append(m)
                         docs.append(np.full(len(m), ids[span.start + d], np.int64))
+                        rows.append(np.full(len(m), keys[span.start + d], np.int64))
                 if minis:
-                    yield pa.RecordBatch.from_arrays([longs(np.concatenate(minis)), pa.array(np.concatenate(docs))],
-                                                     names=["mini", "doc_id"])
+                    yield pa.RecordBatch.from_arrays(
+                        [longs(np.concatenate(minis)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(rows))],
+                        names=["mini", "doc_id", "text_key"])
     return run
 
 
 def _segments(n: int):
-    """Rows (doc_id, text, minis): the segments over those minimizers."""
+    """Rows (doc_id, text_key, text, minis): the segments over those minimizers."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, marks = batch.column("doc_id"), batch.column("minis")
+            ids, keys, marks = batch.column("doc_id"), batch.column("text_key"), batch.column("minis")
             for span, raw, offsets in blocks(batch):
                 words = Words(raw, offsets)
                 h = words.hashes(lower=False)
@@ -86,14 +89,14 @@ def _segments(n: int):
                     known = marks[span.start + d].values.to_numpy(zero_copy_only=False).view(np.uint64)
                     first, stop = runs(m)
                     shared = np.isin(m[first], known)
-                    doc = ids[span.start + d].as_py()
+                    doc, key = ids[span.start + d].as_py(), keys[span.start + d].as_py()
                     for s, e, x in zip(first[shared].tolist(), stop[shared].tolist(), m[first[shared]].view(np.int64).tolist()):
-                        out.append((x, doc, s, flat[words.start[a + s]: words.end[a + e + n - 2]]))
+                        out.append((x, doc, key, s, flat[words.start[a + s]: words.end[a + e + n - 2]]))
                 if out:
                     c = list(zip(*out))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()),
-                         pa.array(c[3], pa.binary())], names=["mini", "doc_id", "start", "words"])
+                        [*(pa.array(x, pa.int64()) for x in c[:4]), pa.array(c[4], pa.binary())],
+                        names=["mini", "doc_id", "text_key", "start", "words"])
     return run
 
 
@@ -110,13 +113,13 @@ class _Shard:
         self.n = n
         self.seen: dict[tuple[int, bytes], int] = {}
         self.texts: list[bytes] = []
-        self.rows: list[tuple[int, int, bool]] = []
+        self.rows: list[tuple[int, int, int, bool]] = []
         self.size = 0
         self.full: list[tuple[dict[bytes, int], FMIndex]] = []
         self.mini = None
         self.least = 0
 
-    def add(self, mini: int, doc: int, start: int, text: bytes) -> Iterator[tuple]:
+    def add(self, mini: int, doc: int, key: int, start: int, text: bytes) -> Iterator[tuple]:
         if mini != self.mini:
             if self.full:
                 yield from self.search()
@@ -130,11 +133,11 @@ class _Shard:
         name = (mini, hashlib.blake2b(text, digest_size=16).digest())
         owner = self.seen.get(name)
         if owner is not None and owner < doc:
-            yield (doc, start, start + len(words))
+            yield (doc, key, start, start + len(words))
             return
         self.seen[name] = doc
         self.texts.append(text)
-        self.rows.append((doc, start, doc > self.least))
+        self.rows.append((doc, key, start, doc > self.least))
         self.size += len(words) + 1
         if self.size > INDEX_WORDS:
             yield from self.search(keep=True)
@@ -145,18 +148,18 @@ class _Shard:
         number: dict[bytes, int] = {}
         texts = [np.array([number.setdefault(w, len(number) + 1) for w in t.split(b" ")], np.int64) for t in self.texts]
         owners = np.array([d for d, *_ in self.rows], np.int64)
-        index = FMIndex(texts, owners)
+        index = FMIndex(texts, owners, self.n)
         # a minimizer's least document loses nothing to it
         ask = [k for k, (*_, later) in enumerate(self.rows) if later]
         asked = [self.rows[k] for k in ask]
-        for (doc, start, _), spans in zip(asked, earlier_spans(index, [texts[k] for k in ask], owners[ask], self.n)):
+        for (doc, key, start, _), spans in zip(asked, earlier_spans(index, [texts[k] for k in ask], owners[ask], self.n)):
             for a, b in spans:
-                yield (doc, start + a, start + b)
+                yield (doc, key, start + a, start + b)
         for names, earlier in self.full:  # of the same, very common minimizer
             foreign = [np.array([names.get(w, 0) for w in self.texts[k].split(b" ")], np.int64) for k in ask]
-            for (doc, start, _), spans in zip(asked, foreign_spans(earlier, foreign, owners[ask], self.n)):
+            for (doc, key, start, _), spans in zip(asked, foreign_spans(earlier, foreign, owners[ask], self.n)):
                 for a, b in spans:
-                    yield (doc, start + a, start + b)
+                    yield (doc, key, start + a, start + b)
         if keep:
             self.full.append((number, index))
         self.texts, self.rows, self.size = [], [], 0
@@ -184,28 +187,29 @@ def _search(n: int):
         shard = _Shard(n)
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
-            c = list(zip(*rows)) if rows else [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], names=["doc_id", "first", "stop"])
+            c = list(zip(*rows)) if rows else [[], [], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], names=["doc_id", "text_key", "first", "stop"])
 
         for batch in batches:
             rows: list[tuple] = []
-            for mini, doc, start, words in zip(*(c.to_pylist() for c in batch.columns)):
-                rows += shard.add(mini, doc, start, words)
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                rows += shard.add(*row)
             yield table(rows)
         yield table(list(shard.search()))
     return run
 
 
 def covered_words(docs: DataFrame, n: int = N_WORDS) -> DataFrame:
-    """(doc_id, first, stop): word spans of each document to be removed."""
-    d = id_and_text(docs).filter("doc_id is not null and text is not null")
-    minis = d.mapInArrow(_minimizers(n), "mini long, doc_id long")
+    """(doc_id, text_key, first, stop): word spans of each row to be removed;
+    ``text_key`` is a hash of the row's text."""
+    d = id_and_text(docs).filter("doc_id is not null and text is not null").withColumn("text_key", F.xxhash64("text"))
+    minis = d.mapInArrow(_minimizers(n), "mini long, doc_id long, text_key long")
     shared = minis.groupBy("mini").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("mini")
-    marks = minis.join(shared, "mini").groupBy("doc_id").agg(F.collect_set("mini").alias("minis"))
-    segments = d.join(marks.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "minis").mapInArrow(
-        _segments(n), "mini long, doc_id long, start long, words binary")
-    dealt = segments.repartition("mini").sortWithinPartitions("mini", "doc_id", "start")
-    return dealt.mapInArrow(_search(n), "doc_id long, first long, stop long")
+    marks = minis.join(shared, "mini").groupBy("doc_id", "text_key").agg(F.collect_set("mini").alias("minis"))
+    segments = d.join(marks.hint("shuffle_hash"), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "minis").mapInArrow(
+        _segments(n), "mini long, doc_id long, text_key long, start long, words binary")
+    dealt = segments.repartition("mini").sortWithinPartitions("mini", "doc_id", "text_key", "start")
+    return dealt.mapInArrow(_search(n), "doc_id long, text_key long, first long, stop long")
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -239,12 +243,14 @@ def without_repeats(docs: DataFrame, n: int = N_WORDS, with_text: bool = True) -
     Words are runs without ASCII white space, unchanged; windows are judged
     on the input.  NULL and empty texts have no words (the hash of nothing);
     a document under ``n`` words keeps all.  Rows with a NULL doc_id keep all
-    words and remove none elsewhere.  doc_id names a document: rows that
-    repeat one are taken as equal, and never remove each other's words."""
+    words and remove none elsewhere.  Rows that share a doc_id are told apart
+    by their texts and never remove each other's words; each loses what a
+    smaller doc_id holds."""
     d = id_and_text(docs)
-    spans = covered_words(docs, n).distinct().groupBy("doc_id").agg(
+    spans = covered_words(docs, n).distinct().groupBy("doc_id", "text_key").agg(
         F.collect_list(F.struct("first", "stop")).alias("spans"))
-    whole = d.filter("doc_id is not null").join(stored(spans).hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans")
+    keyed = d.filter("doc_id is not null").withColumn("text_key", F.xxhash64("text"))
+    whole = keyed.join(stored(spans).hint("shuffle_hash"), ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
     none = F.lit(None).cast("array<struct<first:bigint,stop:bigint>>")
     rest = d.filter("doc_id is null").select("doc_id", "text", none.alias("spans"))
     return whole.union(rest).mapInArrow(_cut(with_text), RESULT)

@@ -257,6 +257,46 @@ def test_backward_search_counts(seed):
         assert int(high[0] - low[0]) == want
 
 
+def removed_words(texts, n):
+    """Per text how many words a window of n covers that starts in an earlier text."""
+    seen, out = {}, []
+    for i, w in enumerate(texts):
+        gone = set()
+        for k in range(len(w) - n + 1):
+            if seen.setdefault(tuple(w[k:k + n]), i) < i:
+                gone |= set(range(k, k + n))
+        out.append(len(gone))
+    return out
+
+
+@pytest.mark.parametrize("n", (3, 50, 64, 65, 80, 100, 130))
+def test_windows_of_any_length(n):
+    """The index sorts as deep as the windows are long."""
+    for seed in range(8):
+        rng = random.Random(seed)
+        base = [rng.choice("ab") for _ in range(40)] * 8
+        texts = []
+        for _ in range(6):  # long agreements that end shortly before or after n words
+            at = rng.randrange(0, 40)
+            w = base[at: at + rng.randrange(n, n + 60)]
+            w[rng.randrange(len(w))] = rng.choice("abc")
+            texts.append([rng.choice("xyz") for _ in range(rng.randrange(3))] + w + base[:rng.randrange(n // 2, n + 2)])
+        number = {c: k for k, c in enumerate("abcxyz", 1)}
+        shard, spans = substring_dedup._Shard(n), {}
+        found = [x for i, w in enumerate(texts) for x in shard.add(7, i, 0, 0, " ".join(w).encode())] + list(shard.search())
+        for d, _, a, b in found:
+            spans.setdefault(d, set()).update(range(a, b))
+        assert [len(spans.get(i, ())) for i in range(6)] == removed_words(texts, n), (n, seed, len(number))
+
+
+def test_rows_that_share_an_id_lose_only_their_own_repeats(spark):
+    repeated, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, repeated), (2, repeated), (2, other), (None, repeated), (2, other)], "doc_id long, text string")
+    rows = substring_dedup.without_repeats(docs).collect()
+    assert sorted((str(r.doc_id), r.kept_text == other, r.n_removed) for r in rows) == [
+        ("1", False, 0), ("2", False, 60), ("2", True, 0), ("2", True, 0), ("None", False, 0)]
+
+
 @pytest.mark.parametrize("limit", (400_000, 150))
 def test_substrings_small(spark, limit, monkeypatch):
     monkeypatch.setattr(substring_dedup, "INDEX_WORDS", limit)  # many indexes for one minimizer
@@ -284,11 +324,12 @@ def test_substrings_small(spark, limit, monkeypatch):
         for i, t in enumerate(texts):
             w = t.split()
             if len(w) >= 50:
-                segments.append((7, i, 0, " ".join(w).encode()))
+                segments.append((7, i, -i, 0, " ".join(w).encode()))
         for s in segments:
-            for d, a, b in shard.add(*s):
+            for d, _, a, b in shard.add(*s):
                 spans.setdefault(d, []).append((a, b))
-        for d, a, b in shard.search():
+        for d, key, a, b in shard.search():
+            assert key == -d
             spans.setdefault(d, []).append((a, b))
         assert len(shard.full) > 1
         removed = {d: len(set(x for a, b in v for x in range(a, b))) for d, v in spans.items()}
