@@ -21,6 +21,10 @@ from phonelens.session import materialize
 MAX_BROADCAST_OFFSETS = 200_000
 # Rows of one block of running sums (a divisor of 2**33, the id step between tasks).
 BLOCK_ROWS = 1024
+# Distinct values of a group whose quantiles are taken in one buffer.
+SMALL_GROUP = 10_000
+# Rows of a table (a value and a weight each) that one task may sort.
+SMALL_TABLE = 100_000
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], rank_col: str = "_rank") -> DataFrame:
@@ -45,49 +49,92 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], rank_col: str = "_
         "_pid", "_mid", "_first", "_off")
 
 
-def cumulative(df: DataFrame, by: list[str], order: str, weight: str) -> DataFrame:
+def cumulative(df: DataFrame, by: list[str], order: str, weight: str, small: int | None = None) -> DataFrame:
     """Add ``_start`` (weights of the group's rows before this one) and
     ``_total`` (the group's weight) to rows that are distinct on (by, order).
 
     Distinct values sort apart, so a value that a third of all rows share
-    is one light row, and a group with many values spans many tasks.  Group
-    keys must not be NULL."""
-    keys = [F.col(c) for c in by]
-    # blocks of BLOCK_ROWS neighbours: running sums stay in a block, so the
-    # rows of one large group are many hash keys, not one per task
+    is one light row, and a group with many values spans many tasks.  Sums
+    run on three levels: rows of a block of neighbours, blocks of a task of the
+    sort, tasks of a group; the last has a row per task, whatever the rows.
+    A table of at most ``small`` (default SMALL_TABLE) rows, counted first, is one task's work and takes one
+    window.  Group keys must not be NULL; without any, all rows are one group."""
+    small = SMALL_TABLE if small is None else small
+    if not by:
+        return cumulative(df.withColumn("_all", F.lit(0)), ["_all"], order, weight, small).drop("_all")
+
+    def before(of: str, within: list[str], at: str) -> Column:
+        w = Window.partitionBy(*within).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(of).over(w), F.lit(0))
+
+    df = materialize(df)
+    if df.count() <= small:
+        return df.withColumn("_start", before(weight, by, order)).withColumn("_total", F.sum(weight).over(Window.partitionBy(*by)))
     block = F.floor(F.monotonically_increasing_id() / BLOCK_ROWS)
-    srt = materialize(df.orderBy(*keys, F.col(order)).withColumn("_blk", block))
-    here = Window.partitionBy("_blk", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = srt.groupBy("_blk", *by).agg(F.sum(weight).alias("_cnt"))
-    before = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_blk", *by, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
-                            F.sum("_cnt").over(Window.partitionBy(*by)).alias("_total"))
-    run = srt.withColumn("_run", F.sum(weight).over(here))
+    srt = materialize(df.orderBy(*[F.col(c) for c in by], F.col(order)).withColumn("_pid", F.spark_partition_id())
+                      .withColumn("_blk", block))
+    blocks = materialize(srt.groupBy("_pid", "_blk", *by).agg(F.sum(weight).alias("_cnt")))
+    tasks = blocks.groupBy("_pid", *by).agg(F.sum("_cnt").alias("_task"))
+    tasks = tasks.select("_pid", *by, before("_task", by, "_pid").alias("_before"), F.sum("_task").over(Window.partitionBy(*by)).alias("_total"))
+    offsets = blocks.withColumn("_inside", before("_cnt", ["_pid", *by], "_blk")).join(tasks, ["_pid", *by]).select(
+        "_blk", *by, (F.col("_before") + F.col("_inside")).alias("_off"), "_total")
+    run = srt.withColumn("_run", before(weight, ["_blk", *by], order)).drop("_pid")
     out = join_bounded(run, offsets, ["_blk", *by], max_rows=MAX_BROADCAST_OFFSETS)
-    return out.withColumn("_start", F.col("_off") + F.col("_run") - F.col(weight)).drop("_blk", "_run", "_off")
+    return out.withColumn("_start", F.col("_off") + F.col("_run")).drop("_blk", "_run", "_off")
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
-    """Linear-interpolation quantiles (numpy ``percentile`` / SQL
-    ``quantile_cont``) of ``value`` per ``by`` group, one row per
-    (group, prob): columns ``*by, prob, q``.
+def quantiles_at(r: DataFrame, value: str, weight: str, probs: list[float], by: list[str]) -> DataFrame:
+    """Linear-interpolation quantiles from rows that ``cumulative`` has
+    numbered: ``*by, prob, q``.
 
-    Rows are first counted per distinct value.  Position ``p·(n-1)`` lies
-    between two order statistics; a row knows from its start and weight
-    which positions it holds, so all others are filtered before the last
-    grouping, which sees two rows per (group, prob)."""
-    by = by or []
-    base = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
-    r = cumulative(base.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_w")), by, "_x", "_w")
+    Position ``p·(n-1)`` lies between two order statistics; a row knows from
+    its start and weight which positions it holds, so all others are filtered before
+    the last grouping, which sees two rows per (group, prob)."""
     wanted = F.array(*[F.lit(float(p)) for p in probs])
     pos = lambda p: (F.col("_total") - 1).cast("double") * p
-    holds = lambda at: (F.col("_start") <= at) & (at < F.col("_start") + F.col("_w"))
+    holds = lambda at: (F.col("_start") <= at) & (at < F.col("_start") + F.col(weight))
     mine = F.filter(wanted, lambda p: holds(F.floor(pos(p))) | holds(F.ceil(pos(p))))
     rows = r.withColumn("_mine", mine).filter(F.size("_mine") > 0).select("*", F.explode("_mine").alias("prob"))
     p = pos(F.col("prob"))
     ends = rows.groupBy(*by, "prob").agg(
-        F.max(F.when(holds(F.floor(p)), F.col("_x"))).alias("_xlo"),
-        F.max(F.when(holds(F.ceil(p)), F.col("_x"))).alias("_xhi"), F.max(p - F.floor(p)).alias("_frac"))
+        F.max(F.when(holds(F.floor(p)), F.col(value))).alias("_xlo"),
+        F.max(F.when(holds(F.ceil(p)), F.col(value))).alias("_xhi"), F.max(p - F.floor(p)).alias("_frac"))
     q = F.when(F.col("_frac") == 0, F.col("_xlo")).otherwise(
         F.col("_xlo") + (F.col("_xhi") - F.col("_xlo")) * F.col("_frac"))
     return ends.select(*by, "prob", q.alias("q"))
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
+                    small: int | None = None) -> DataFrame:
+    """Linear-interpolation quantiles (numpy ``percentile`` / SQL
+    ``quantile_cont``) of ``value`` per ``by`` group, one row per
+    (group, prob): columns ``*by, prob, q``.
+
+    Rows are first counted per distinct value.  A group of at most ``small``
+    (default SMALL_GROUP) distinct values is one bounded buffer (Spark's exact ``percentile`` over values and
+    counts); only larger groups are sorted over all tasks.  Both ways are
+    exact.  Group keys must not be NULL."""
+    by = by or []
+    small = SMALL_GROUP if small is None else small
+    base = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
+    counted = materialize(base.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_w")))
+    large = counted.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > small).drop("_n")
+    few, many = counted, None
+    if not by:
+        if counted.count() > small:
+            few, many = None, counted
+    else:
+        large = materialize(large)
+        if not large.isEmpty():
+            many, few = join_bounded(counted, large, by, "left_semi"), join_bounded(counted, large, by, "left_anti")
+    out = None
+    if few is not None:
+        at = F.array(*[F.lit(float(p)) for p in probs])
+        q = few.groupBy(*by).agg(F.percentile("_x", at, F.col("_w")).alias("_q")).select(*by, F.posexplode("_q").alias("_i", "q"))
+        out = q.filter(F.col("q").isNotNull()).select(*by, F.get(at, F.col("_i")).alias("prob"), "q")
+    if many is not None:
+        # groups this large are spread over tasks, however few rows there are in all
+        run = cumulative(many, by, "_x", "_w", small=0 if by else None)
+        sorted_way = quantiles_at(run, "_x", "_w", probs, by)
+        out = sorted_way if out is None else out.unionByName(sorted_way)
+    return out
