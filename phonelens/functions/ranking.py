@@ -20,7 +20,7 @@ from phonelens.session import materialize
 # Offsets table rows = partitions x groups; broadcast it only below this.
 MAX_BROADCAST_OFFSETS = 200_000
 # Rows of one block of running sums (a divisor of 2**33, the id step between tasks).
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 256
 # Distinct values of a group whose quantiles are taken in one buffer.
 SMALL_GROUP = 10_000
 # Rows of a table (a value and a weight each) that one task may sort.
