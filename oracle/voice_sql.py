@@ -166,7 +166,40 @@ SELECT phone_no_m, {S("avg(r)", "in_out_ratio_mean")}, count(d) AS active_days
 FROM per_day GROUP BY phone_no_m
 """
 
+_DIRECTIONS = {"": "true", "_out": "calltype_id = 1", "_in": "calltype_id = 2"}
+
+
+def _class_measures(cell) -> str:
+    """C10's per-phone measures; ``cell(expr, name)`` writes a double."""
+    some = lambda when, e: f"CASE WHEN count(*) FILTER (WHERE {when}) > 0 THEN {e} END"
+    cols, per_day, day_cols = [], [], []
+    for end, when in _DIRECTIONS.items():
+        cols += [f"{some(when, f'count(opposite_no_m) FILTER (WHERE {when})')} AS calls{end}",
+                 f"{some(when, f'count(DISTINCT opposite_no_m) FILTER (WHERE {when})')} AS contacts{end}",
+                 f"{some(when, f'count(DISTINCT d) FILTER (WHERE {when})')} AS days{end}"]
+        per_day.append(f"nullif(count(*) FILTER (WHERE {when}), 0) AS n{end}")
+        day_cols += [f"max(n{end}) AS day_max{end}", f"CAST(sum(n{end}) AS DOUBLE) / count(n{end}) AS mean{end}"]
+    short = some("calltype_id = 1", "CAST(count(*) FILTER (WHERE calltype_id = 1 AND call_dur < 5) AS DOUBLE) "
+                                    "/ count(*) FILTER (WHERE calltype_id = 1)")
+    return f"""
+WITH {_DATED},
+main AS (SELECT phone_no_m, {", ".join(cols)}, coalesce(sum(call_dur), 0) AS seconds_, {short} AS short_
+         FROM base GROUP BY phone_no_m),
+pd AS (SELECT phone_no_m, d, {", ".join(per_day)} FROM base WHERE d IS NOT NULL GROUP BY phone_no_m, d),
+days AS (SELECT phone_no_m, {", ".join(day_cols)} FROM pd GROUP BY phone_no_m)
+SELECT main.phone_no_m, {", ".join(f"main.{c}{e}" for e in _DIRECTIONS for c in ("calls", "contacts", "days"))},
+       {", ".join(f"days.day_max{e}" for e in _DIRECTIONS)},
+       {", ".join(cell(f"days.mean{e}", f"day_mean{e}") for e in _DIRECTIONS)},
+       {cell("main.seconds_", "seconds")}, {cell("main.short_", "short_share")}
+FROM main LEFT JOIN days ON days.phone_no_m = main.phone_no_m
+"""
+
+
+VOICE_CLASS_MEASURES = _class_measures(S)
+VOICE_CLASS_MEASURES_RAW = _class_measures(lambda e, n: f"CAST(({e}) AS DOUBLE) AS {n}")
+
 QUERIES = {
+    "voice_class_measures": VOICE_CLASS_MEASURES,
     "voice_features_a": VOICE_FEATURES_A,
     "voice_features_b": VOICE_FEATURES_B,
     "short_call_ratio": SHORT_CALL_RATIO,

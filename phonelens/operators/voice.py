@@ -235,3 +235,36 @@ def daily_in_out_ratio(log: DataFrame) -> DataFrame:
         safe_ratio(F.count_if(_t2()), F.count_if(_t1())).alias("r"))
     return per_day.groupBy(KEY).agg(F.avg("r").alias("in_out_ratio_mean"),
                                     F.count("_date").alias("active_days"))
+
+
+def voice_class_measures(log: DataFrame) -> DataFrame:
+    """The per-phone measures whose class densities the source drew, in
+    one pass: calls (rows with a contact), contacts, active dates, most and
+    mean rows on a date, each over all rows / as caller (``_out``) / as
+    called (``_in``); total seconds; share of short caller calls.  A
+    direction the phone never had is NULL, as is a day measure without a
+    dated row of that kind."""
+    v = _voice(log)
+    d = is_grain("date")
+    busiest = lambda n: F.max(F.when(d & (F.col(n) > 0), F.col(n)))
+    level2 = [
+        row_val("n1").alias("_n1"), row_val("n2").alias("_n2"),
+        row_val("n_contact").alias("calls"), row_val("n1_contact").alias("_c1"), row_val("n2_contact").alias("_c2"),
+        n_values("contact").alias("contacts"),
+        n_values_if("contact", F.col("n1") > 0).alias("_k1"), n_values_if("contact", F.col("n2") > 0).alias("_k2"),
+        n_values("date").alias("days"),
+        n_values_if("date", F.col("n1") > 0).alias("_d1"), n_values_if("date", F.col("n2") > 0).alias("_d2"),
+        busiest("_n").alias("day_max"), busiest("n1").alias("day_max_out"), busiest("n2").alias("day_max_in"),
+        row_val("n_dated").alias("_t"), row_val("n1_dated").alias("_t1"), row_val("n2_dated").alias("_t2"),
+        row_val("dur_sum").alias("seconds"), row_val("n1_short").alias("_short"),
+    ]
+    agg = fan_out_aggregate(v, KEY, {"contact": F.col(CONTACT), "date": F.col("_date")}, _f7_level1(), level2)
+    per_day = lambda rows, days: safe_ratio(rows, F.nullif(F.col(days), F.lit(0)))
+    return agg.select(
+        KEY, "calls", when_any("_n1", F.col("_c1")).alias("calls_out"), when_any("_n2", F.col("_c2")).alias("calls_in"),
+        "contacts", when_any("_n1", F.col("_k1")).alias("contacts_out"), when_any("_n2", F.col("_k2")).alias("contacts_in"),
+        "days", when_any("_n1", F.col("_d1")).alias("days_out"), when_any("_n2", F.col("_d2")).alias("days_in"),
+        "day_max", "day_max_out", "day_max_in",
+        per_day("_t", "days").alias("day_mean"), per_day("_t1", "_d1").alias("day_mean_out"),
+        per_day("_t2", "_d2").alias("day_mean_in"),
+        "seconds", when_any("_n1", safe_ratio("_short", "_n1")).alias("short_share"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonelens import constants as K
-from phonelens.functions.expr import month_of, parse_datetime, stable, time_of, zero_sum
+from phonelens.functions.expr import month_of, np_round, parse_datetime, stable, time_of, zero_sum
 from phonelens.operators import app as A
 from phonelens.operators import coverage as C
 from phonelens.operators import device as D
@@ -48,6 +48,11 @@ def register(name: str):
     return deco
 
 
+def np_rounded(df: DataFrame, *cols: str) -> DataFrame:
+    """Correlations to 8 decimals: a near-zero one has few certain digits."""
+    return df.withColumns({c: np_round(c, 8) for c in cols})
+
+
 def _voice(spark, d):
     return views.voice(spark, d)
 
@@ -394,6 +399,49 @@ def _q_ch(spark, d):
     return P.class_histogram(V.voice_features_b(_voice(spark, d)), _labels(spark, d), C10_MEASURES, bins=20)
 
 
+@register("voice_class_measures")
+def _q_vcm(spark, d):
+    """C10's per-phone measures over the whole voice log."""
+    return V.voice_class_measures(_voice(spark, d))
+
+
+@register("class_density")
+def _q_cd(spark, d):
+    """Densities per class of all twenty measures; the density is given
+    per bandwidth, so that all measures compare on one scale."""
+    labels = _labels(spark, d)
+    per_phone = V.voice_class_measures(_voice(spark, d))
+    per_day = V.daily_mean_duration(_voice(spark, d))
+    values = P.class_values(per_phone, labels, [c for c in per_phone.columns if c != "phone_no_m"]).unionByName(
+        P.class_values(per_day, labels, ["dur_mean", "dur_mean_out", "dur_mean_in"]))
+    dens = P.class_density(values)
+    return dens.select("label", "measure", "point", "x", "n", "bandwidth",
+                       np_round(F.col("density") * F.col("bandwidth"), 6).alias("density_per_bandwidth"))
+
+
+@register("value_profile")
+def _q_vp(spark, d):
+    """C9 over the text, code and time columns of the voice log."""
+    return P.value_profile(_voice(spark, d).withColumn(
+        "start_datetime", F.date_format("start_datetime", "yyyy-MM-dd HH:mm:ss")).withColumn(
+        "call_dur", F.col("call_dur").cast("long")))
+
+
+@register("null_pairs")
+def _q_np(spark, d):
+    """Which C10 measures and monthly amounts are missing together."""
+    u = views.users(spark, d).join(V.voice_class_measures(_voice(spark, d)), "phone_no_m", "left")
+    return np_rounded(P.null_pairs(u.drop("phone_no_m", "label", "split")), "correlation")
+
+
+@register("column_correlations")
+def _q_cc9(spark, d):
+    """Correlations of the F7 features."""
+    f = V.voice_features_b(_voice(spark, d))
+    c = P.column_correlations(f, P.numeric_columns(f, exclude=["phone_no_m"]))
+    return np_rounded(c, "pearson", "spearman")
+
+
 # ---- step 10: training and scoring (rows-only checks) ---------------------------
 def _flow_inputs(spark, d, outer: bool):
     ds = _outer(spark, d) if outer else _q_dl(spark, d)
