@@ -245,6 +245,7 @@ QUERIES = {
     "reciprocated_rows": RECIPROCATED_ROWS,
     "repeat_ratio": REPEAT_RATIO,
     "callback_with_fallback": CALLBACK_WITH_FALLBACK,
+    "stored_graph_callbacks": CALLBACK_WITH_FALLBACK,
     "sms_callback_with_fallback": SMS_CALLBACK_WITH_FALLBACK,
     "callback_share": CALLBACK_SHARE,
     "log_coverage": LOG_COVERAGE,

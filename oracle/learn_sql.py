@@ -176,6 +176,7 @@ QUERIES = {
     "users_voice_features_b": USERS_VOICE_FEATURES_B,
     "dataset_left": DATASET_LEFT,
     "dataset_outer": DATASET_OUTER,
+    "dataset_outer_stored": DATASET_OUTER,
     "align_columns": ALIGN_COLUMNS,
     "fill_missing": FILL_MISSING,
     "category_codes": CATEGORY_CODES,

@@ -35,11 +35,28 @@ def contact_edges(log: DataFrame, channel: str = "call", reverse: bool = False)
             .withColumn("channel", F.lit(channel)))
 
 
+def is_pairs(log: DataFrame) -> bool:
+    """The table holds pairs of phone and contact, not log rows."""
+    return {"n", "n_out", "n_in"} <= set(log.columns)
+
+
+def edges_of_pairs(pairs: DataFrame, channel: str = "call") -> DataFrame:
+    """G1 from stored pairs: the rows of ``contact_edges`` without ``reverse``."""
+    sides = F.array(F.struct(F.lit(OUT).alias("direction"), F.col("n_out").alias("n")),
+                    F.struct(F.lit(IN).alias("direction"), F.col("n_in").alias("n")))
+    p = pairs.filter(F.col(KEY).isNotNull() & F.col(CONTACT).isNotNull())
+    return (p.select(KEY, F.col(CONTACT).alias("contact"), F.inline(sides)).filter(F.col("n") > 0)
+            .withColumn("channel", F.lit(channel)))
+
+
 def contact_pairs(log: DataFrame) -> DataFrame:
     """One row per (phone, contact) of the log: rows ``n``, caller rows
     ``n_out``, called rows ``n_in``.  The NULL contact keeps phones whose
     rows all lack a contact.  Every call-back measure derives from this one
-    aggregation (one scan, one shuffle of pre-aggregated pairs)."""
+    aggregation (one scan, one shuffle of pre-aggregated pairs).  Pairs that
+    were stored (``sources.graph_store``) stand for their log."""
+    if is_pairs(log):
+        return log.select(KEY, CONTACT, "n", "n_out", "n_in")
     return (log.filter(F.col(KEY).isNotNull()).groupBy(KEY, CONTACT)
             .agg(F.count(F.lit(1)).alias("n"),
                  F.count_if(F.col("calltype_id") == 1).alias("n_out"),
@@ -76,6 +93,8 @@ def callback_count(log: DataFrame) -> DataFrame:
 
 def no_outgoing(log: DataFrame) -> DataFrame:
     """Phones of the log with no outgoing (type-1) edge."""
+    if is_pairs(log):
+        return _callbacks_per_phone(contact_pairs(log)).filter(F.col("call") == 0).select(KEY)
     phones = log.filter(F.col(KEY).isNotNull()).select(KEY).distinct()
     # de-duplicated before the anti-join: a phone with a third of all caller
     # rows arrives as one row, not as a skewed partition
@@ -95,6 +114,8 @@ def reciprocated_rows(log: DataFrame) -> DataFrame:
 def repeat_ratio(log: DataFrame) -> DataFrame:
     """Distinct contacts / rows per phone (the source's never-filled
     ``res_set_2``)."""
+    if is_pairs(log):
+        return log.groupBy(KEY).agg(safe_ratio(F.count(CONTACT), F.sum("n")).alias("repeat_ratio"))
     v = log.filter(F.col(KEY).isNotNull())
     return v.groupBy(KEY).agg(safe_ratio(F.count_distinct(CONTACT), F.count(F.lit(1))).alias("repeat_ratio"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +14,7 @@ from phonelens.operators.sms import sms_features_a, sms_features_b
 from phonelens.operators.user import keep_last_month, user_arpu_mean
 from phonelens.operators.voice import voice_features_a, voice_features_b
 from phonelens.operators._common import KEY
+from phonelens.sources.sinks import open_bucketed, write_bucketed
 
 CATEGORIES = ["city_name", "county_name"]
 NON_FEATURES = [KEY, "label", "split"]
@@ -45,15 +48,56 @@ def outer_dataset(users: DataFrame, voice: DataFrame, sms: DataFrame, app: DataF
     (G3's ``recall``, ``call``) is the optional block the source loaded and
     never merged (D8).  ``months=None`` keeps the user table as it is (the
     source's test users, which have one month only)."""
-    u = users if months is None else user_arpu_mean(users, months)
-    out = (u.join(voice_features_b(voice), KEY, "full")
-           .join(sms_features_b(sms), KEY, "full")
-           .join(app_months(app), KEY, "full"))
-    if callbacks is not None:
-        out = out.join(callbacks.select(KEY, "recall", "call"), KEY, "full")
+    out, *blocks = outer_blocks(users, voice, sms, app, months, callbacks).values()
+    for block in blocks:
+        out = out.join(block, KEY, "full")
     return out
 
 
+def outer_blocks(users: DataFrame, voice: DataFrame, sms: DataFrame, app: DataFrame,
+                 months: list[str] | None, callbacks: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables that ``outer_dataset`` joins, users first."""
+    blocks = {"users": users if months is None else user_arpu_mean(users, months),
+              "voice": voice_features_b(voice), "sms": sms_features_b(sms), "app": app_months(app)}
+    if callbacks is not None:
+        blocks["recall"] = callbacks.select(KEY, "recall", "call")
+    return blocks
+
+
+def store_blocks(blocks: dict[str, DataFrame], folder: str, prefix: str, buckets: int) -> dict[str, DataFrame]:
+    """The blocks of ``outer_blocks`` as tables ``{prefix}_{block}``
+    bucketed by phone under ``folder``, and ``{prefix}_phones``, every phone that a
+    block other than the users has.  Returns them as read back."""
+    place = lambda n: f"{folder.rstrip('/')}/{prefix}_{n}"
+    stored = {n: write_bucketed(b, f"{prefix}_{n}", place(n), buckets) for n, b in blocks.items()}
+    # as plain files: distinct over a union of bucketed scans returns repeated
+    # phones (the union claims the buckets, which its scans then do not keep)
+    spark = blocks["users"].sparkSession
+    of = [spark.read.parquet(place(n)).select(KEY) for n in blocks if n != "users"]
+    phones = reduce(DataFrame.union, of).distinct()
+    stored["phones"] = write_bucketed(phones, f"{prefix}_phones", place("phones"), buckets)
+    return stored
+
+
+def open_blocks(spark: SparkSession, folder: str, prefix: str, names: list[str], buckets: int) -> dict[str, DataFrame]:
+    """The tables of ``store_blocks`` in a later session; ``names`` without ``phones``."""
+    return {n: open_bucketed(spark, f"{prefix}_{n}", f"{folder.rstrip('/')}/{prefix}_{n}", buckets)
+            for n in [*names, "phones"]}
+
+
+def join_stored_blocks(stored: dict[str, DataFrame]) -> DataFrame:
+    """J3 over stored blocks: the rows of ``outer_dataset``.  A full join's result
+    has no partitioning that the next join could use, so the
+    blocks join the stored phones from the right, and the users come
+    last, in the only full join.  Bucketed by phone, no row moves.  Blocks
+    hold one row per phone; user rows keep repeated and NULL phones."""
+    out = stored["phones"]
+    blocks = [b for n, b in stored.items() if n not in ("users", "phones")]
+    for block in blocks:
+        out = out.join(block, KEY, "left")
+    return stored["users"].join(out, KEY, "full")
+
+
 def feature_columns(df: DataFrame, exclude: list[str] | None = None) -> list[str]:
     exclude = NON_FEATURES if exclude is None else exclude
     return [c for c in df.columns if c not in exclude]

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonelens import constants as K
-from phonelens.plans.dataset import align_columns, baseline_dataset, outer_dataset
+from phonelens.plans.dataset import (
+    align_columns, baseline_dataset, join_stored_blocks, outer_blocks, outer_dataset, store_blocks)
 from phonelens.plans.model import (
     SECOND_FLOW, FlowResult, TreeParams, category_sizes, kfold_mean_offset, kfold_train_score, split_train_test,
     write_submissions)
@@ -71,14 +72,16 @@ def recall_flow(spark: SparkSession, base: str, out: str, fmt: str = "csv") -> N
 
 
 def second_flow(spark: SparkSession, base: str, out: str | None = None, fmt: str = "csv",
-                params: TreeParams | None = None, recall: str | None = None) -> FlowResult:
+                params: TreeParams | None = None, recall: str | None = None, buckets: int | None = None) -> FlowResult:
     """The source's second (switched-off) run: per split, users (training
     users with the ARPU mean) full-outer-joined to the voice, SMS and app
     blocks; features filled with 0; test columns aligned to training ones
     (its month renamed ``arpu_``); 3 folds; mean score minus 0.3, written
     as ``(phone_no_m, label)`` under ``out``.  The merged data sets are
     written there too and read back.  ``recall``: the folder of a
-    ``recall_flow``, whose call tables then join the data sets."""
+    ``recall_flow``, whose call tables then join the data sets.  ``buckets``
+    (with ``out``) stores each split's blocks bucketed by phone, to be joined
+    without a shuffle and read by later runs (``dataset.open_blocks``)."""
     def logs(split):
         return [load(spark, base, f"{split}_{name}", fmt) for name in ("voc", "sms", "app")]
 
@@ -87,7 +90,10 @@ def second_flow(spark: SparkSession, base: str, out: str | None = None, fmt: str
               .withColumn("label", F.lit(None).cast("int")).withColumn("split", F.lit("test")))
     def merged(split, users, months):
         calls = load(spark, recall, f"{split}_recall_call") if recall else None
-        ds = outer_dataset(users, *logs(split), months, callbacks=calls)
+        if out is not None and buckets:
+            ds = join_stored_blocks(store_blocks(outer_blocks(users, *logs(split), months, calls), out, f"{split}_block", buckets))
+        else:
+            ds = outer_dataset(users, *logs(split), months, callbacks=calls)
         if out is None:
             return ds
         write_named(ds, out, f"{split}_dataset")

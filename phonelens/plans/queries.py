@@ -9,6 +9,7 @@ rounded (snap to 14 significant digits, then 10) so that the DuckDB twin
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,12 +27,14 @@ from phonelens.operators import stats as ST
 from phonelens.operators import user as U
 from phonelens.operators import voice as V
 from phonelens.plans.dataset import (
-    align_columns, baseline_dataset, fill_missing, outer_dataset, with_test_unlabelled)
+    align_columns, baseline_dataset, fill_missing, join_stored_blocks, outer_blocks, outer_dataset, store_blocks,
+    with_test_unlabelled)
 from phonelens.plans.model import (
     SECOND_FLOW, FlowResult, TreeParams, category_sizes, kfold_mean_offset, kfold_train_score, split_train_test)
 from phonelens.plans.report import segment_report
-from phonelens.session import materialize
+from phonelens.session import ensure_checkpoint_dir, materialize
 from phonelens.sources import views
+from phonelens.sources.graph_store import load_pairs, merge_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -232,6 +235,22 @@ def _q_cs(spark, d):
     return G.callback_share(G.callback_count(_voice(spark, d)), _labels(spark, d))
 
 
+def _scratch(spark, name: str) -> str:
+    """A fresh folder in the session's shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid4().hex}"
+
+
+@register("stored_graph_callbacks")
+def _q_sgc(spark, d):
+    """The whole voice log merged into a stored graph as two batches
+    (before and from a date), then G3 read from the stored pairs."""
+    v, path = _voice(spark, d), _scratch(spark, "contact-graph")
+    first = F.coalesce(F.col("start_datetime") < F.lit("1995-06-17").cast("timestamp_ntz"), F.lit(False))
+    merge_log(spark, path, v.filter(first), "before", buckets=16)
+    merge_log(spark, path, v.filter(~first), "after", buckets=16)
+    return G.callback_with_fallback(load_pairs(spark, path))
+
+
 # ---- step 6: coverage and segments -----------------------------------------
 @register("log_coverage")
 def _q_lc(spark, d):
@@ -290,6 +309,15 @@ def _q_do(spark, d):
     return _outer(spark, d)
 
 
+@register("dataset_outer_stored")
+def _q_dos(spark, d):
+    """The outer data set from blocks stored in buckets by phone: all joins
+    without a shuffle."""
+    name = f"blocks_{uuid4().hex}"
+    blocks = outer_blocks(_users_split(spark, d), _voice(spark, d), views.sms(spark, d), views.app(spark, d), views.ARPU_COLS)
+    return join_stored_blocks(store_blocks(blocks, _scratch(spark, "blocks"), name, buckets=8))
+
+
 @register("align_columns")
 def _q_ac(spark, d):
     """Test rows of the outer data set in the training rows' columns."""

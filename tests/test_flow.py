@@ -100,6 +100,12 @@ def test_feature_and_recall_runs_load_by_name(spark, tables):
     assert load(spark, out, "test_recall_sms").count() == 12
     res = second_flow(spark, tables, out, params=TreeParams(max_iter=2, min_instances=2), recall=out)
     assert res.submission.count() == 12 and "recall" in load(spark, out, "train_dataset").columns
+    plain = load(spark, out, "train_dataset")
+    want = sorted(str(tuple(r[c] for c in sorted(plain.columns))) for r in plain.collect())
+    bucketed = os.path.join(tables, "bucketed")
+    second_flow(spark, tables, bucketed, params=TreeParams(max_iter=2, min_instances=2), recall=out, buckets=3)
+    again = load(spark, bucketed, "train_dataset")
+    assert sorted(str(tuple(r[c] for c in sorted(again.columns))) for r in again.collect()) == want
 
 
 def test_fallback_counts_rows_of_both_splits(spark):
