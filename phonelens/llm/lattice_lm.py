@@ -7,8 +7,10 @@ probability of its words and one end mark.  Segmentations do not cross words,
 so every distinct word is summed once, over the corpus.
 
 Counts are exact and corpus-wide.  Texts are dealt into chunks of a few
-megabytes; a chunk's distinct words travel to the counts and back, so a very
-frequent word moves once per chunk, and no table of all words is broadcast.
+megabytes.  A first pass sums the words of all chunks, map-side first, and weighs each
+distinct word once; a second names the words of each chunk, which meet their
+sums in a join, so a very frequent word moves once per chunk, as a narrow
+row, and no table of all words is broadcast.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phonelens.llm.common import conf_bytes, id_and_text, stored
@@ -139,60 +141,61 @@ def _distinct(words: Words, upto: np.ndarray | None = None) -> tuple[np.ndarray,
     return names, texts, n
 
 
-def _dictionary(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, h, word, n): a chunk's distinct words with their training counts.
+def _dictionary(counted: bool):
+    """A chunk's distinct words: with their texts and training counts
+    (chunk, h, word, n) if ``counted``, else their names (chunk, h).
 
     Words are gathered over a few blocks of one chunk; a chunk may send a
-    word more than once, which sums alike."""
-    held: dict[int, list] = {}
-    size: Counter = Counter()
-
-    def out(chunk: int) -> pa.RecordBatch:
-        h = np.concatenate([x[0] for x in held[chunk]])
-        texts = [t for x in held[chunk] for t in x[1]]
-        n = np.concatenate([x[2] for x in held.pop(chunk)])
-        size.pop(chunk)
-        names, at, place = np.unique(h, return_index=True, return_inverse=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(names), chunk)), pa.array(names.view(np.int64)),
-             pa.array([texts[i] for i in at.tolist()], pa.binary()).cast(pa.string()),
-             pa.array(np.bincount(place, weights=n).astype(np.int64))], names=["chunk", "h", "word", "n"])
-
-    for batch in batches:
-        chunks = batch.column("chunk").to_numpy(zero_copy_only=False)
-        for chunk in np.unique(chunks).tolist():
-            part = batch.filter(pa.array(chunks == chunk))
-            train = ~part.column("held_out").to_numpy(zero_copy_only=False)
-            for span, raw, offsets in blocks(part):
-                got = _distinct(Words(raw, offsets), train[span])
-                if not len(got[0]):
-                    continue
-                held.setdefault(chunk, []).append(got)
-                size[chunk] += len(got[0])
-                if size[chunk] > 600_000:
-                    yield out(chunk)
-        while sum(size.values()) > 900_000:
-            yield out(size.most_common(1)[0][0])
-    for chunk in list(held):
-        yield out(chunk)
+    word more than once, which sums and looks up alike."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        size: Counter = Counter()
+
+        def out(chunk: int) -> pa.RecordBatch:
+            got = held.pop(chunk)
+            size.pop(chunk)
+            h = np.concatenate([x[0] for x in got])
+            if not counted:
+                names = np.unique(h)
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), chunk)), pa.array(names.view(np.int64))],
+                                                  names=["chunk", "h"])
+            texts = [t for x in got for t in x[1]]
+            n = np.concatenate([x[2] for x in got])
+            names, at, place = np.unique(h, return_index=True, return_inverse=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(names), chunk)), pa.array(names.view(np.int64)),
+                 pa.array([texts[i] for i in at.tolist()], pa.binary()).cast(pa.string()),
+                 pa.array(np.bincount(place, weights=n).astype(np.int64))], names=["chunk", "h", "word", "n"])
+
+        for batch in batches:
+            chunks = batch.column("chunk").to_numpy(zero_copy_only=False)
+            for chunk in np.unique(chunks).tolist():
+                part = batch.filter(pa.array(chunks == chunk))
+                train = ~part.column("held_out").to_numpy(zero_copy_only=False)
+                for span, raw, offsets in blocks(part):
+                    words = Words(raw, offsets)
+                    got = _distinct(words, train[span]) if counted else (np.unique(words.hashes(lower=True)),)
+                    if not len(got[0]):
+                        continue
+                    held.setdefault(chunk, []).append(got)
+                    size[chunk] += len(got[0])
+                    if size[chunk] > 600_000:
+                        yield out(chunk)
+            while sum(size.values()) > 900_000:
+                yield out(size.most_common(1)[0][0])
+        for chunk in list(held):
+            yield out(chunk)
+    return run
 
 
 def _weigh(model_path: str, weights):
-    """Rows sorted by h: the lattice sum of each new word."""
+    """The lattice sum of each distinct word."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(model_path, weights.value)
-        last_h, last = None, 0.0
         for batch in batches:
-            h = batch.column("h").to_numpy(zero_copy_only=False)
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-            texts = batch.column("word").take(pa.array(first)).to_pylist()
-            values = np.array([last if k == 0 and h[i] == last_h else lattice.word(w)
-                               for k, (i, w) in enumerate(zip(first.tolist(), texts))])
-            if len(h):
-                last_h, last = h[-1], values[-1]
-            out = np.repeat(values, np.diff(np.r_[first, len(h)])) if len(h) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("h"), batch.column("c"),
-                                              batch.column("new"), pa.array(out)], names=["chunk", "h", "c", "new", "lp"])
+            sums = [lattice.word(w) for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), pa.array(sums, pa.float64())],
+                                             names=["h", "c", "lp"])
     return run
 
 
@@ -214,11 +217,8 @@ def _score(docs: pa.Table, words: pa.Table) -> pa.Table:
                 out.append(x[w.first[1:]] - x[w.first[:-1]])
             n_words.append(np.diff(w.first))
     cat = lambda x, kind: pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind))
-    new = np.zeros(docs.num_rows, np.int64)
-    if docs.num_rows:
-        new[0] = words.column("new").to_numpy().sum()
     return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_words": cat(n_words, np.int64),
-                     "known": cat(known, np.int64), "log_c": cat(base, float), "lp": cat(score, float), "new": pa.array(new)})
+                     "known": cat(known, np.int64), "log_c": cat(base, float), "lp": cat(score, float)})
 
 
 def lattice_scores(docs: DataFrame, model_path: str) -> DataFrame:
@@ -254,17 +254,19 @@ def lattice_scores(docs: DataFrame, model_path: str) -> DataFrame:
     total = weights[usable].sum() + end + 1
     log_weights, log_end = np.log(weights / total), math.log((end + 1) / total)
 
-    words = d.mapInArrow(_dictionary, "chunk long, h long, word string, n long")
-    same = Window.partitionBy("h")
-    words = words.withColumn("c", F.sum("n").over(same)).withColumn("r", F.row_number().over(same.orderBy("h")))
-    words = words.select("chunk", "h", "word", "c", ((F.col("r") == 1) & (F.col("c") > 0)).cast("long").alias("new"))
-    words = words.mapInArrow(_weigh(model_path, spark.sparkContext.broadcast(log_weights)),
-                             "chunk long, h long, c long, new long, lp double")
+    # one row per distinct word: summed in each task first, so that a word of
+    # all chunks is a row per task here, and in the join a narrow row per
+    # chunk on the side that a skewed key splits
+    words = d.mapInArrow(_dictionary(counted=True), "chunk long, h long, word string, n long")
+    totals = words.groupBy("h").agg(F.max("word").alias("word"), F.sum("n").alias("c"))
+    totals = stored(totals.mapInArrow(_weigh(model_path, spark.sparkContext.broadcast(log_weights)), "h long, c long, lp double"))
+    names = d.select("chunk", "text", "held_out").mapInArrow(_dictionary(counted=False), "chunk long, h long")
+    words = names.join(totals, "h").select("chunk", "h", "c", "lp")
     scored = d.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(
-        _score, "doc_id long, held_out boolean, n_words long, known long, log_c double, lp double, new long")
+        _score, "doc_id long, held_out boolean, n_words long, known long, log_c double, lp double")
     scored = stored(scored)
-    sums = scored.agg(F.sum(F.when(~F.col("held_out"), F.col("n_words") + 1)).alias("n"), F.sum("new").alias("v")).first()
-    n_train, v = sums["n"] or 0, (sums["v"] or 0) + (1 if end else 0)
+    n_train = scored.agg(F.sum(F.when(~F.col("held_out"), F.col("n_words") + 1))).first()[0] or 0
+    v = totals.filter(F.col("c") > 0).count() + (1 if end else 0)
     denominator = math.log10(n_train + v + 1)
     n_tokens = F.col("n_words") + 1
     return scored.select(
