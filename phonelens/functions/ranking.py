@@ -105,7 +105,7 @@ def quantiles_at(r: DataFrame, value: str, weight: str, probs: list[float], by:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
-                    small: int | None = None) -> DataFrame:
+                    small: int | None = None, weight: str | None = None) -> DataFrame:
     """Linear-interpolation quantiles (numpy ``percentile`` / SQL
     ``quantile_cont``) of ``value`` per ``by`` group, one row per
     (group, prob): columns ``*by, prob, q``.
@@ -113,11 +113,16 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     Rows are first counted per distinct value.  A group of at most ``small``
     (default SMALL_GROUP) distinct values is one bounded buffer (Spark's exact ``percentile`` over values and
     counts); only larger groups are sorted over all tasks.  Both ways are
-    exact.  Group keys must not be NULL."""
+    exact.  Group keys must not be NULL.  With ``weight``, rows are distinct
+    on (by, value) and that column holds their counts."""
     by = by or []
     small = SMALL_GROUP if small is None else small
-    base = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
-    counted = materialize(base.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_w")))
+    base = df.filter(F.col(value).isNotNull())
+    x = F.col(value).cast("double").alias("_x")
+    if weight is None:
+        counted = materialize(base.select(*by, x).groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_w")))
+    else:
+        counted = base.select(*by, x, F.col(weight).alias("_w"))
     large = counted.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > small).drop("_n")
     few, many = counted, None
     if not by:

@@ -41,20 +41,26 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     mean, sample std, min, quartiles, max, most frequent value (smallest on
     ties) and its count."""
     columns = columns or numeric_columns(df)
-    long = materialize(to_long(df, columns))      # read by three aggregations
-    stats = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("value").alias("count"),
-        F.count_if(F.col("value").isNull()).alias("nulls"), F.count_distinct("value").alias("distinct"),
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    q = exact_quantiles(long, "value", PROFILE_QUANTILES, by=["column"])
+    # every statistic follows from one table of (column, value, count)
+    counts = materialize(to_long(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n")))
+    n, value = F.col("_n"), F.col("value")
+    some = value.isNotNull()
+    total = F.sum(F.when(some, n))
+    stats = materialize(counts.groupBy("column").agg(
+        F.sum(n).alias("rows"), F.coalesce(total, F.lit(0)).alias("count"),
+        F.coalesce(F.sum(F.when(~some, n)), F.lit(0)).alias("nulls"), F.count(value).alias("distinct"),
+        (F.sum(n * value) / total).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
+        F.min(F.when(some, F.struct((-n).alias("neg_n"), value.alias("v")))).alias("_t")))
+    off = value - F.col("mean")
+    spread = join_bounded(counts.filter(some), stats.select("column", "mean"), "column").groupBy("column").agg(
+        F.sqrt(F.try_divide(F.sum(n * off * off), F.sum(n) - 1)).alias("std"))
+    q = exact_quantiles(counts, "value", PROFILE_QUANTILES, by=["column"], weight="_n")
     qw = q.groupBy("column").pivot("prob", PROFILE_QUANTILES).agg(F.first("q"))
     for p, name in zip(PROFILE_QUANTILES, ["q25", "q50", "q75"]):
         qw = qw.withColumnRenamed(str(p), name)
-    top = (long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
-           .groupBy("column").agg(F.min(F.struct((-F.col("_n")).alias("neg_n"), F.col("value").alias("v"))).alias("_t"))
-           .select("column", F.col("_t.v").alias("top"), (-F.col("_t.neg_n")).alias("top_count")))
-    return stats.join(qw, "column", "left").join(top, "column", "left")
+    return stats.join(spread, "column", "left").join(qw, "column", "left").select(
+        "column", "rows", "count", "nulls", "distinct", "mean", "std", "min", "max", "q25", "q50", "q75",
+        F.col("_t.v").alias("top"), (-F.col("_t.neg_n")).alias("top_count"))
 
 
 def class_quantiles(features: DataFrame, labels: DataFrame, measures: list[str], key: str = "phone_no_m",

@@ -161,3 +161,30 @@ def test_correlations_of_empty_and_one_row_tables(spark):
     got = [tuple(r) for r in P.column_correlations(df).collect()]
     assert got == [("a", "b", 1, None, None)]
     assert P.column_correlations(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("small", [None, 0])
+def test_column_profile_against_pandas(spark, monkeypatch, small):
+    """``small`` 0 sends the quantiles through the split running sums."""
+    if small is not None:
+        monkeypatch.setattr(ranking, "SMALL_GROUP", small)
+        monkeypatch.setattr(ranking, "SMALL_TABLE", small)
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"a": np.where(rng.random(300) < 0.4, 0.0, rng.normal(1e6, 3, 300)),
+                        "b": np.where(rng.random(300) < 0.3, np.nan, rng.integers(0, 9, 300).astype(float)),
+                        "one": np.r_[5.0, np.full(299, np.nan)], "none": np.full(300, np.nan)})
+    rows = [tuple(None if math.isnan(x) else x for x in r) for r in pdf.itertuples(index=False)]
+    df = spark.createDataFrame(rows, "a double, b double, one double, none double")
+    got = {r["column"]: r.asDict() for r in P.column_profile(df).collect()}
+    assert set(got) == set(pdf.columns)
+    for c, r in got.items():
+        xs = pdf[c].dropna()
+        assert (r["rows"], r["count"], r["nulls"], r["distinct"]) == (300, len(xs), 300 - len(xs), xs.nunique())
+        if len(xs) == 0:
+            assert all(r[k] is None for k in ("mean", "std", "min", "max", "q25", "q50", "q75", "top", "top_count"))
+            continue
+        assert r["mean"] == pytest.approx(xs.mean(), rel=1e-12) and (r["min"], r["max"]) == (xs.min(), xs.max())
+        assert r["std"] is None if len(xs) == 1 else r["std"] == pytest.approx(xs.std(), rel=1e-12)
+        assert [r["q25"], r["q50"], r["q75"]] == pytest.approx(xs.quantile([0.25, 0.5, 0.75]).tolist(), rel=1e-12)
+        counted = xs.value_counts()
+        assert r["top"] == min(counted[counted == counted.max()].index) and r["top_count"] == counted.max()
