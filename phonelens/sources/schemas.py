@@ -26,8 +26,6 @@ TRAIN_USER = _struct(("phone_no_m", _s), ("city_name", _s), ("county_name", _s),
                      ("idcard_cnt", _i), *[(m, _d) for m in ARPU_MONTHS], ("label", _i))
 TEST_USER = _struct(("phone_no_m", _s), ("city_name", _s), ("county_name", _s),
                     ("idcard_cnt", _i), (TEST_ARPU, _d))
-RECALL = _struct(("phone_no_m", _s), ("recall", T.LongType()), ("call", T.LongType()),
-                 ("re_ratio", _d))
 
 # logical name -> (schema, file stem); eight log/user names as in the source data
 SCHEMAS = {
