@@ -45,8 +45,10 @@ def merge_log(spark: SparkSession, path: str, log: DataFrame, batch: str, channe
     ``batch``; returns the number of folders rewritten.
 
     Only the folders that hold a phone of the batch are read and replaced,
-    together with the list of batches, in one commit; a batch that is in that
-    list raises, so that a repeated run does not count twice.  ``buckets``
+    together with the list of batches, in one job; a batch that is in that
+    list raises, so that a repeated run does not count twice.  One writer at a
+    time; should the job's last step, which swaps folders, be cut off, build the
+    graph anew.  ``buckets``
     must stay the same for a graph and raises otherwise; it bounds what the driver
     sees (the touched folder numbers).  Rows without a phone are left out, a NULL
     contact is kept (see ``contact_pairs``).  Keys are stored as text or as
