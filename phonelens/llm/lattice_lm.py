@@ -26,13 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phonelens.llm.common import conf_bytes, id_and_text, stored
-from phonelens.llm.textblocks import Words, blocks
+from phonelens.llm.textblocks import SMALL_BLOCK, Words, blocks
 
 SPACE_MARK = "▁"
 HELD_OUT_OF, HELD_OUT = 7, 2
 CHUNK_BYTES = 8 << 20       # of stored input per chunk
 LOOSE_CHUNKS = 4096         # for rows that come from no file
-MEMO_ENTRIES = 300_000      # a worker's memory of segmented words; emptied when full, results unaffected
+# A worker's memory; all workers of an executor share its limit.  Results are unaffected.
+MEMO_ENTRIES = 150_000      # segmented words; emptied when full
+CHUNK_WORDS = 400_000       # words gathered of one chunk before they are sent
+HELD_WORDS = 500_000        # of all chunks
 END = -1                    # stands for the end mark among piece ids
 LN10 = math.log(10.0)
 
@@ -106,7 +109,7 @@ def _piece_counts(model_path: str):
         for batch in batches:
             batch = batch.filter(pa.array(~batch.column("held_out").to_numpy(zero_copy_only=False)))
             total[END] += batch.num_rows
-            for _, raw, offsets in blocks(batch):
+            for _, raw, offsets in blocks(batch, size=SMALL_BLOCK):
                 words = _distinct(Words(raw, offsets))[1:]
                 if len(memo) > MEMO_ENTRIES:
                     memo = {}
@@ -172,16 +175,16 @@ def _dictionary(counted: bool):
             for chunk in np.unique(chunks).tolist():
                 part = batch.filter(pa.array(chunks == chunk))
                 train = ~part.column("held_out").to_numpy(zero_copy_only=False)
-                for span, raw, offsets in blocks(part):
+                for span, raw, offsets in blocks(part, size=SMALL_BLOCK):
                     words = Words(raw, offsets)
                     got = _distinct(words, train[span]) if counted else (np.unique(words.hashes(lower=True)),)
                     if not len(got[0]):
                         continue
                     held.setdefault(chunk, []).append(got)
                     size[chunk] += len(got[0])
-                    if size[chunk] > 600_000:
+                    if size[chunk] > CHUNK_WORDS:
                         yield out(chunk)
-            while sum(size.values()) > 900_000:
+            while sum(size.values()) > HELD_WORDS:
                 yield out(size.most_common(1)[0][0])
         for chunk in list(held):
             yield out(chunk)
@@ -209,7 +212,7 @@ def _score(docs: pa.Table, words: pa.Table) -> pa.Table:
     log_c = np.log10(c + 1.0)
     n_words, known, base, score = [], [], [], []
     for batch in docs.select(["text"]).combine_chunks().to_batches():
-        for _, raw, offsets in blocks(batch):
+        for _, raw, offsets in blocks(batch, size=SMALL_BLOCK):
             w = Words(raw, offsets)
             at = np.searchsorted(h, w.hashes(lower=True))
             run = [np.r_[0, np.cumsum(x[at])] for x in (c > 0, log_c, lp)] if len(at) else [np.zeros(1)] * 3

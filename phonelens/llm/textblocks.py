@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 2 << 20
+SMALL_BLOCK = 256 << 10     # for operators that hold tables of words beside a block
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -43,7 +44,7 @@ _POWERS: list[np.ndarray] = []
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, BLOCK_BYTES + (1 << 18))
+        n = 2 * SMALL_BLOCK if n <= 2 * SMALL_BLOCK else max(n, BLOCK_BYTES + (1 << 18))
         up = np.full(n, _BASE)
         up[0] = 1
         down = np.full(n, _INVERSE)
