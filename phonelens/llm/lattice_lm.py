@@ -19,6 +19,7 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +70,10 @@ class Lattice:
     def __init__(self, model_path: str, log_weights: np.ndarray):
         pieces, of_bytes = vocabulary(model_path)
         self.weight = {p: float(log_weights[i]) for p, i in pieces.items()}
+        # with the beginnings of pieces, so that a walk stops where no piece goes on; no weight is over 0
+        self.walk: dict[str, float | None] = {p[:k]: None for p in pieces for k in range(1, len(p))}
+        self.walk.update(self.weight)
         self.byte = {b: float(log_weights[i]) for b, i in of_bytes.items()}
-        self.longest = max(map(len, pieces))
 
     def spelled(self, char: str) -> float:
         """A character outside the vocabulary, byte by byte."""
@@ -79,7 +82,7 @@ class Lattice:
     def word(self, word: str) -> float:
         """log of the sum over all segmentations of the marked word."""
         s = SPACE_MARK + word
-        n, weight, longest = len(s), self.weight, self.longest
+        n, weight, walk, exp = len(s), self.weight, self.walk, math.exp
         reach: list[list[float]] = [[] for _ in range(n + 1)]
         reach[0].append(0.0)
         for i in range(n):
@@ -90,25 +93,29 @@ class Lattice:
                 a = here[0]
             else:
                 top = max(here)
-                a = top + math.log(sum(math.exp(x - top) for x in here))
+                a = top + math.log(sum([exp(x - top) for x in here]))
             if s[i] not in weight:
                 reach[i + 1].append(a + self.spelled(s[i]))
-            for j in range(i + 1, min(n, i + longest) + 1):
-                w = weight.get(s[i:j])
-                if w is not None:
-                    reach[j].append(a + w)
+            for j in range(i + 1, n + 1):
+                w = walk.get(s[i:j], 1.0)
+                if w is None:
+                    continue
+                if w > 0.0:
+                    break
+                reach[j].append(a + w)
             reach[i] = []
         top = max(reach[n])
-        return top + math.log(sum(math.exp(x - top) for x in reach[n]))
+        return top + math.log(sum([exp(x - top) for x in reach[n]]))
 
 
 def _piece_counts(model_path: str):
     """Per task: how often training words' segments and end marks occur."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp, total, memo = _library(model_path), Counter(), {}
+        sp, ends, memo = _library(model_path), 0, {}
+        total = np.zeros(sp.get_piece_size(), np.int64)
         for batch in batches:
             batch = batch.filter(pa.array(~batch.column("held_out").to_numpy(zero_copy_only=False)))
-            total[END] += batch.num_rows
+            ends += batch.num_rows
             for _, raw, offsets in blocks(batch, size=SMALL_BLOCK):
                 words = _distinct(Words(raw, offsets))[1:]
                 if len(memo) > MEMO_ENTRIES:
@@ -119,13 +126,10 @@ def _piece_counts(model_path: str):
                     memo.update(zip(fresh, sp.encode([w.decode() for w in fresh], num_threads=1)))
                 ids = [memo[w] for w in texts]
                 lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.fromiter((x for y in ids for x in y), np.int64, int(lengths.sum()))
-                n = np.bincount(flat, weights=np.repeat(words[1], lengths), minlength=1)
-                for i in np.flatnonzero(n).tolist():
-                    total[i] += int(n[i])
-        items = sorted(total.items())
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in items], pa.int64()), pa.array([v for _, v in items], pa.int64())],
-                                         names=["piece", "n"])
+                flat = np.fromiter(chain.from_iterable(ids), np.int64, int(lengths.sum()))
+                total += np.bincount(flat, weights=np.repeat(words[1], lengths), minlength=len(total)).astype(np.int64)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[END, used]), pa.array(np.r_[ends, total[used]])], names=["piece", "n"])
     return run
 
 
